@@ -78,17 +78,17 @@ def censored(texts: str) -> str:
     lines = "string_split(text, chr(10))"
     pattern, matched = phrase_text("b.no", "b.chunk")
     n_strong = len(A.DOC_STRONG)
-    return f"""lines AS (SELECT doc_id, unnest({lines}) AS chunk, generate_subscripts({lines}, 1) - 1 AS at FROM {texts}),
-numbered AS (SELECT doc_id, chunk, at, {phrase_no('chunk')} AS no FROM lines),
+    return f"""lines AS (SELECT doc_id, unnest({lines}) AS chunk, generate_subscripts({lines}, 1) - 1 AS pos FROM {texts}),
+numbered AS (SELECT doc_id, chunk, pos, {phrase_no('chunk')} AS no FROM lines),
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id
-    ORDER BY CASE WHEN no <= {n_strong} THEN at ELSE 1000000 - at + 1000000 END) AS rn FROM numbered WHERE no IS NOT NULL),
+    ORDER BY CASE WHEN no <= {n_strong} THEN pos ELSE 2000000 - pos END) AS rn FROM numbered WHERE no IS NOT NULL),
 cut AS (SELECT t.doc_id, t.text AS original,
   CASE WHEN length(trim(t.text, {BLANKS})) < 500 THEN ''
-       WHEN b.at IS NULL THEN t.text
-       ELSE coalesce(array_to_string(list_slice({lines}, 1, b.at), chr(10)), '') END AS text,
+       WHEN b.pos IS NULL THEN t.text
+       ELSE coalesce(array_to_string(list_slice({lines}, 1, b.pos), chr(10)), '') END AS text,
   CASE WHEN length(trim(t.text, {BLANKS})) >= 500 THEN {pattern} END AS pattern,
   CASE WHEN length(trim(t.text, {BLANKS})) >= 500 THEN {matched} END AS matched,
-  CASE WHEN length(trim(t.text, {BLANKS})) >= 500 THEN CAST(b.at AS INTEGER) END AS cut_chunk
+  CASE WHEN length(trim(t.text, {BLANKS})) >= 500 THEN CAST(b.pos AS INTEGER) END AS cut_chunk
   FROM {texts} t LEFT JOIN best b ON t.doc_id = b.doc_id AND b.rn = 1)"""
 
 

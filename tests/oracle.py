@@ -34,12 +34,34 @@ def _sorted(rows, columns):
     return sorted(plain, key=repr)
 
 
+_SQL_TYPES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+    "date": "DATE",
+    "timestamp_ntz": "TIMESTAMP",
+    "timestamp": "TIMESTAMP",
+}
+
+
+def _types(df, result):
+    """Columns whose types differ."""
+    got = {name: _SQL_TYPES.get(kind, kind) for name, kind in df.dtypes}
+    want = {c[0]: str(c[1]) for c in result.description}
+    return {n: (got[n], want[n]) for n in got if got[n] != want[n] and got[n] in _SQL_TYPES.values()}
+
+
 def compare(df, con, sql) -> str | None:
     """None when names and all values agree exactly, else what differs."""
     result = con.execute(sql)
     names = [c[0] for c in result.description]
     if sorted(names) != sorted(df.columns):
         return f"columns {sorted(df.columns)} != {sorted(names)}"
+    differing = _types(df, result)
+    if differing:
+        return f"types {differing}"
     want = _sorted(result.fetchall(), names)
     got = _sorted([tuple(r) for r in df.collect()], df.columns)
     if len(got) != len(want):
