@@ -251,9 +251,9 @@ def _prompt_sql(template):
     return f'WITH {_CASES} SELECT id AS "llm_caseID", {prompt} AS prompt FROM cases'
 
 
-_SPLIT = f"""{_CASES}, numbered AS (SELECT row_number() OVER (ORDER BY id) AS no, * FROM cases WHERE had_surgery IS NOT NULL)"""
+SPLIT = f"""{_CASES}, numbered AS (SELECT row_number() OVER (ORDER BY id) AS no, * FROM cases WHERE had_surgery IS NOT NULL)"""
 _OUTCOME = "CASE WHEN had_surgery THEN 'Yes' ELSE 'No' END"
-_EXAMPLE = S.fill(
+EXAMPLE = S.fill(
     templates.EXAMPLE, case_id="CAST(no AS VARCHAR)", note="note", report_section=_section(), outcome=_OUTCOME
 )
 _CHAT_EXAMPLE = S.fill(
@@ -263,7 +263,7 @@ _CHAT_EXAMPLE = S.fill(
     chat_report=_section(templates.CHAT_REPORT, templates.CHAT_REPORT_EMPTY),
     outcome=_OUTCOME,
 )
-_FEW_SHOT = S.fill(
+FEW_SHOT = S.fill(
     templates.FEW_SHOT, examples="examples", case_id="CAST(no AS VARCHAR)", note="note", report_section=_section()
 )
 _CHAT_CASE = S.fill(
@@ -380,12 +380,12 @@ SELECT patient_id AS "llm_caseID", coalesce(report, {_REPORT}) AS formatted_radi
 FROM l FULL JOIN r USING (patient_id)""",
     "prompt_zero_shot": _prompt_sql(templates.ZERO_SHOT),
     "prompt_scaled": _prompt_sql(templates.SCALED),
-    "train_test": f"""WITH {_SPLIT} SELECT no AS "llm_caseID", CASE WHEN no <= 3 THEN had_surgery END AS had_surgery,
+    "train_test": f"""WITH {SPLIT} SELECT no AS "llm_caseID", CASE WHEN no <= 3 THEN had_surgery END AS had_surgery,
   md5(note) AS note_md5 FROM numbered""",
-    "few_shot_prompt": f"""WITH {_SPLIT},
-ex AS (SELECT trim(string_agg({_EXAMPLE}, '' ORDER BY no), {S.BLANKS}) AS examples FROM numbered WHERE no <= 3)
-SELECT no AS "llm_caseID", md5({_FEW_SHOT}) AS prompt_md5 FROM numbered, ex WHERE no > 3""",
-    "messages": f"""WITH {_SPLIT},
+    "few_shot_prompt": f"""WITH {SPLIT},
+ex AS (SELECT trim(string_agg({EXAMPLE}, '' ORDER BY no), {S.BLANKS}) AS examples FROM numbered WHERE no <= 3)
+SELECT no AS "llm_caseID", md5({FEW_SHOT}) AS prompt_md5 FROM numbered, ex WHERE no > 3""",
+    "messages": f"""WITH {SPLIT},
 ex AS (SELECT {S.quoted(templates.CHAT_INTRO)} || string_agg({_CHAT_EXAMPLE}, '' ORDER BY no)
   || {S.quoted(templates.CHAT_INSTRUCTIONS)} AS examples FROM numbered WHERE no <= 3),
 rest AS (SELECT * FROM numbered WHERE no > 3)
