@@ -167,7 +167,7 @@ def message_history(spark, d):
     return history.select("conv_id", F.array_join(shown, "\n").alias("history"))
 
 
-def _profile_tables(spark, d):
+def profile_tables(spark, d):
     """Customers as patients: orders are their notes, reports and procedures."""
     orders = A.table(spark, d, "orders")
     items = orders.select(
@@ -211,7 +211,7 @@ PROFILE_OPTIONS = {
 
 
 def profile_join(spark, d):
-    return patient_profile(_profile_tables(spark, d), **PROFILE_OPTIONS)
+    return patient_profile(profile_tables(spark, d), **PROFILE_OPTIONS)
 
 
 def profile_prompt(spark, d):
@@ -296,7 +296,7 @@ cand AS (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY day DESC)
 texts AS (SELECT doc_id, text FROM src)"""
 
 _PATIENT_TEXT = """'Order ' || CAST(o_orderkey AS VARCHAR) || ' has priority ' || o_orderpriority || '. Status is ' || o_orderstatus || '.'"""
-_PROFILE = f"""cutoffs AS (SELECT o_custkey AS patient_id, min(o_orderdate) FILTER (WHERE o_orderpriority = '1-URGENT') AS cutoff,
+PROFILE = f"""cutoffs AS (SELECT o_custkey AS patient_id, min(o_orderdate) FILTER (WHERE o_orderpriority = '1-URGENT') AS cutoff,
   coalesce(bool_or(o_orderpriority = '1-URGENT' AND o_orderkey % 2 = 0), false) AS had_surgery,
   coalesce(bool_or(o_orderpriority = '5-LOW' AND o_orderkey % 2 = 0), false) AS had_endoscopy FROM orders GROUP BY o_custkey),
 items AS (SELECT o_custkey AS patient_id, o_orderkey, o_orderdate, o_orderpriority, o_orderstatus,
@@ -396,8 +396,8 @@ UNION ALL SELECT no, 3, 'user', md5({_CHAT_CASE}) FROM rest""",
     "conversation_trim": f"WITH {_TRIM} SELECT * FROM trimmed",
     "message_history": f"""WITH {_TRIM} SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS history
 FROM trimmed GROUP BY conv_id""",
-    "profile_join": f"WITH {_PROFILE} SELECT * FROM profile",
-    "prompt_profile": f"""WITH {_PROFILE}, p AS (SELECT *, coalesce(radiology_text, {_REPORT}) AS report FROM profile)
+    "profile_join": f"WITH {PROFILE} SELECT * FROM profile",
+    "prompt_profile": f"""WITH {PROFILE}, p AS (SELECT *, coalesce(radiology_text, {_REPORT}) AS report FROM profile)
 SELECT patient_id, {S.fill(templates.PROFILE, case_id="CAST(patient_id AS VARCHAR)", age="CAST(age AS VARCHAR)", sex="sex",
   note="censored_summary_statement", report_section=_section())} AS prompt FROM p""",
 }

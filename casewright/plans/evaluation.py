@@ -18,6 +18,7 @@ from casewright.operators.filters import (
     split_insufficient,
     to_binary,
 )
+from casewright.session import materialize
 
 RESULT_COLUMNS = ["llm_caseID", "decision", "confidence", "reasoning"]
 
@@ -54,15 +55,14 @@ def build_evaluation(
 
 
 def _statistics(eval_df: DataFrame, by: Sequence[str] = (M.STRATUM,)) -> DataFrame:
-    """The columns the report tables use, kept in memory while several tables are made."""
-    return eval_df.select(*by, M.ACTUAL, M.PRED, M.CONFIDENCE).persist()
+    """The few columns the report tables use, written once so that the joins run once."""
+    return materialize(eval_df.select(*by, M.ACTUAL, M.PRED, M.CONFIDENCE))
 
 
 def evaluation_report(eval_df: DataFrame) -> dict[str, DataFrame]:
-    """The overall report tables. Unpersist ``source`` when they are written."""
+    """The overall report tables."""
     source = _statistics(eval_df)
     return {
-        "source": source,
         "metrics": M.binary_metrics(source),
         "auc": M.roc_auc(source),
         "confidence_table": M.confidence_table(source),
@@ -75,12 +75,11 @@ def evaluation_report(eval_df: DataFrame) -> dict[str, DataFrame]:
 
 
 def stratified_report(eval_df: DataFrame, by: str = M.STRATUM) -> dict[str, DataFrame]:
-    """The tables with and without a boolean property. Unpersist ``source`` when they are written."""
+    """The tables with and without a boolean property."""
     source = _statistics(eval_df, [by])
     metrics = M.metrics_by(source, by)
     suffix = by.removeprefix("has_")
     return {
-        "source": source,
         "metrics": metrics,
         "confidence_table": M.confidence_table(source, [by]),
         "confidence_corr": M.confidence_corr(source, [by], min_n=5),
