@@ -114,35 +114,38 @@ def note_candidates(
     cutoff: str = "first_surgery_date",
     same_day: str = "reference",
     need_cutoff: bool = False,
+    carry: Sequence[str] = (),
     key: str = "patient_id",
     seq: str = "note_seq",
 ) -> DataFrame:
-    """(key, seq, k, first_day): the last titled note before the cutoff and its fallbacks.
+    """(key, seq, k, first_day, carry...): the last titled note before the cutoff and its fallbacks.
 
     k=0 is the last note before the cutoff, or overall without one; k=1..back are the
     last notes of the preceding distinct days. Works on keys and days only: a day's last
     note is pre-aggregated before any shuffle by patient, so a patient with many notes
     costs at most one row per day. Days are compared with the cutoff's full time, so a
     note of the cutoff's own day counts as before it unless ``same_day="exclude"``.
+    ``carry`` names flag columns to keep.
     """
     picked = notes if title is None else notes.filter(F.col("title") == title)
     per_day = picked.groupBy(key, F.to_date("date").alias("day")).agg(F.max(seq).alias(seq))
     if flags is not None:
         limit = F.col(cutoff) if same_day == "reference" else F.to_date(cutoff)
-        cutoffs = flags.select(key, limit.alias("_cutoff"))
+        cutoffs = flags.select(key, limit.alias("_cutoff"), *carry)
         if need_cutoff:
             cutoffs = cutoffs.filter(F.col("_cutoff").isNotNull())
         per_day = per_day.join(cutoffs, key, "inner" if need_cutoff else "left")
         per_day = per_day.filter(before_cutoff(F.col("day").cast("timestamp_ntz"), F.col("_cutoff")))
     newest = Window.partitionBy(key).orderBy(F.col("day").desc_nulls_last())
-    ranked = per_day.withColumn("k", F.row_number().over(newest) - 1).filter(F.col("k") <= back)
+    ranked = per_day.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= back + 1)
+    ranked = ranked.withColumn("k", F.col("_rn") - 1)
     if back == 0:
-        return ranked.select(key, seq, "k", F.col("day").alias("first_day"))
+        return ranked.select(key, seq, "k", F.col("day").alias("first_day"), *carry)
     # An undated note cannot be a fallback, and has none.
     return (
         ranked.withColumn("first_day", F.max("day").over(Window.partitionBy(key)))
         .filter((F.col("k") == 0) | F.col("day").isNotNull())
-        .select(key, seq, "k", "first_day")
+        .select(key, seq, "k", "first_day", *carry)
     )
 
 
@@ -173,17 +176,15 @@ def last_note(
     may lie after the event. Texts join the winners on (key, seq), which spreads a heavy
     patient's notes over all tasks.
     """
+    if flags is not None:
+        flags = flags.select(key, cutoff, (F.col(had) & F.col(cutoff).isNull()).alias("_undated"))
+    carry = [] if flags is None else ["_undated"]
     winners = note_candidates(
-        notes, flags, title=title, cutoff=cutoff, same_day=same_day, key=key, seq=seq
-    ).select(key, seq)
-    picked = notes.join(winners, [key, seq]).select(key, seq, _note_struct().alias("last_progress_note"))
-    if flags is None:
-        return picked.withColumn("cutoff_missing", F.lit(False))
-    undated = flags.select(key, (F.col(had) & F.col(cutoff).isNull()).alias("_undated"))
-    return (
-        picked.join(undated, key, "left")
-        .withColumn("cutoff_missing", F.coalesce(F.col("_undated"), F.lit(False)))
-        .drop("_undated")
+        notes, flags, title=title, cutoff=cutoff, same_day=same_day, carry=carry, key=key, seq=seq
+    ).select(key, seq, *carry)
+    undated = F.coalesce(F.col("_undated"), F.lit(False)) if carry else F.lit(False)
+    return notes.join(winners, [key, seq]).select(
+        key, seq, _note_struct().alias("last_progress_note"), undated.alias("cutoff_missing")
     )
 
 
@@ -231,7 +232,7 @@ def fallback_choice(
 ) -> DataFrame:
     """(key, choice): the first candidate note that is not blank once censored, else null.
 
-    choice holds k, the note, its censored text, the matched phrase and the removed tail.
+    choice holds k, the note, its censored text and the matched phrase.
     At most max_back+1 notes per patient are read and censored.
     """
     candidates = note_candidates(
@@ -247,7 +248,6 @@ def fallback_choice(
         F.col("cut.text").alias("text"),
         F.col("cut.pattern").alias("pattern"),
         F.col("cut.matched").alias("matched"),
-        removed_tail(F.col("note.text"), F.col("cut.text")).alias("removed"),
     )
     usable = F.when(~is_blank(F.col("cut.text")), F.col("k"))
     return censored.groupBy(key).agg(F.min_by(choice, usable).alias("choice"))
@@ -263,7 +263,7 @@ def expand_choice(df: DataFrame) -> DataFrame:
                 note.isNotNull(), note.withField("text", F.col("choice.text"))
             ),
             "matched_text": F.col("choice.matched"),
-            "censored_text": F.col("choice.removed"),
+            "censored_text": removed_tail(note["text"], F.col("choice.text")),
             "attempts": F.col("choice.k"),
         }
     ).drop("choice")

@@ -24,6 +24,7 @@ CONFIDENCE = "confidence"
 STRATUM = "has_radiology"
 METRICS = ["accuracy", "precision", "recall", "f1_score", "specificity"]
 CLASS_NAMES = ["No Surgery", "Surgery"]
+CELLS = ["true_positives", "true_negatives", "false_positives", "false_negatives", "total_cases"]
 
 
 def eval_counts(
@@ -129,20 +130,26 @@ def metrics_by(df: DataFrame, stratum: str = STRATUM, actual: str = ACTUAL, pred
     rows and the AUC.
     """
     counts = eval_counts(df, [stratum], actual, pred)
-    scored = counts.withColumn("score", confidence_score(F.col(CONFIDENCE)))
     # Each count row goes to the overall group and to its own stratum.
     name = stratum.removeprefix("has_")
-    own = F.when(F.col(stratum), f"with_{name}").otherwise(f"without_{name}")
-    spread = scored.withColumn("group", F.explode(F.array(F.lit("overall"), own)))
-    metrics = _with_metrics(spread.groupBy("group").agg(*_cells(), F.count(CONFIDENCE).alias("_rated")), ["group", "_rated"])
-    histogram = spread.groupBy("group", "score").agg(
-        _total(F.col(ACTUAL) == 1, "pos"), _total(F.col(ACTUAL) == 0, "neg")
+    with_name, without_name = f"with_{name}", f"without_{name}"
+    own = F.when(F.col(stratum), with_name).otherwise(without_name)
+    per_score = (
+        counts.withColumn("group", F.explode(F.array(F.lit("overall"), own)))
+        .groupBy("group", confidence_score(F.col(CONFIDENCE)).alias("score"))
+        .agg(*_cells(), F.count(CONFIDENCE).alias("_rated"))
     )
-    auc = _auc(histogram, ["group"])
-    names = F.explode(F.array(F.lit("overall"), F.lit(f"with_{name}"), F.lit(f"without_{name}")))
+    pos = F.col("true_positives") + F.col("false_negatives")
+    neg = F.col("true_negatives") + F.col("false_positives")
+    below = Window.partitionBy("group").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = per_score.withColumn("_below", F.coalesce(F.sum(neg).over(below), F.lit(0)))
+    sums = [F.sum(c).alias(c) for c in [*CELLS, "_rated"]]
+    totals = ranked.groupBy("group").agg(*sums, F.sum(pos * (F.col("_below") + neg / 2)).alias("_wins"))
+    auc = F.try_divide(F.col("_wins"), pos.cast("double") * neg.cast("double"))
+    scored = _with_metrics(totals, ["group", F.when(F.col("_rated") > 0, auc).alias("auc_roc")])
+    names = F.explode(F.array(F.lit("overall"), F.lit(with_name), F.lit(without_name)))
     groups = df.sparkSession.range(1).select(names.alias("group"))
-    full = groups.join(metrics, "group", "left").join(auc, "group", "left")
-    return full.withColumn("auc_roc", F.when(F.col("_rated") > 0, F.col("auc_roc"))).drop("_rated")
+    return groups.join(scored, "group", "left")
 
 
 def metrics_grouped(df: DataFrame, by: Sequence[str], actual: str = ACTUAL, pred: str = PRED) -> DataFrame:
