@@ -20,7 +20,9 @@ EVENT_CODES = {
 # Fragments that occur in the documents; plain enough to mean the same in any regex dialect.
 DOC_STRONG = [r"with\s+the\s+[a-z]+tion", r"that\s+[a-z]+ing\s+of", r"\sthble[.,]"]
 DOC_WEAK = [r"^the ", r"from.{0,20}this", r"erble\s+[a-z]+", r"\snicht\s+", r"ouaux"]
-DOC_PHRASES = phrase_rows(DOC_STRONG, DOC_WEAK)
+DOC_PHRASES = phrase_rows(
+    DOC_STRONG, DOC_WEAK, ["with", "that", "thble"], ["the ", "from", "erble", "nicht", "ouaux"]
+)
 DOC_KEYWORDS = ["thing", "nicht", "ouaux"]
 DOC_INSUFFICIENT = ["thble ", "nicht ", "Queque"]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
@@ -17,7 +18,6 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 _WS_CLASS = r"[\s\x1c-\x1f]"
-_FLAGS = "(?iUd)"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -43,23 +43,37 @@ def chunks(c: Column, min_ws: int = vocab.CHUNK_WHITESPACE, split_on: str | None
     return F.split(c, split_on or f"(?U){_WS_CLASS}{{{min_ws},}}")
 
 
-def java_pattern(pattern: str) -> str:
+def java_pattern(pattern: str, lowered: bool = False) -> str:
     """The pattern as Spark should run it.
 
     Case-insensitive and Unicode-aware, with ``.`` stopping at ``\\n`` only. Word
     runs written as a repeated group recurse once per word in the JVM's matcher and
     overflow its stack on long chunks; the single-class loop accepts the same texts.
+    ``lowered`` gives the form to search lower-cased text with: without case folding the
+    matcher skips ahead on literals, several times faster over long notes.
     """
     linear = pattern.replace(r"(?:\s+\w+)*\s+", r"\s(?:[\s\w]*\s)?")
     linear = linear.replace(r"(?:\w+\s+)*", r"(?:[\w\s]*\s)?")
-    return _FLAGS + linear
+    if not lowered:
+        return "(?iUd)" + linear
+    escape_or_capital = r"\\[pP]\{[^}]*\}|\\.|[A-Z]+"
+    return "(?Ud)" + re.sub(
+        escape_or_capital, lambda m: m[0] if m[0].startswith("\\") else m[0].lower(), linear
+    )
 
 
 def _first_match(chunk: Column, phrases: Sequence[Phrase], result: Callable[[int, Phrase], Column]) -> Column:
+    """The result for the first phrase found in the chunk, in priority order, else null."""
     ordered = sorted(phrases, key=lambda p: p.priority)
-    return F.coalesce(
-        *[F.when(chunk.rlike(java_pattern(p.pattern)), result(n, p)) for n, p in enumerate(ordered)]
-    )
+
+    def matches(low, phrase):
+        hit = low.rlike(java_pattern(phrase.pattern, lowered=True))
+        return hit if phrase.word is None else low.contains(phrase.word) & hit
+
+    def found(low):
+        return F.coalesce(*[F.when(matches(low, p), result(n, p)) for n, p in enumerate(ordered)])
+
+    return let(F.lower(chunk), found)
 
 
 def first_phrase(chunk: Column, phrases: Sequence[Phrase] = vocab.PHRASES) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 # --------------------------------------------------------------------------
@@ -86,6 +87,19 @@ WEAK_PHRASES = [
     r"\bpolypectomy\b",
 ]
 
+# A word each phrase cannot match without, in the order of the phrases above.
+STRONG_WORDS = [
+    "surgical", "surgical", "surgical", "surgical", "surgery", "surgery", "surgery", "surgery",
+    "ess", "ess", "ess",
+]
+
+WEAK_WORDS = [
+    "surgical", "surgical", "plan",
+    "surgery", "surgery", "surgery", "agree", "surgery", "surgery", "surgery",
+    "ess", "ess", "sept", "ess", "surgery", "surgery",
+    "septoplasty", "turbinate", "turbinectomy", "sinuplasty", "polypectomy",
+]
+
 SENTENCE_KEYWORDS = [
     "surgery", "fess", "ess", "operative", "operation", "surgical",
     "recommend proceeding with", "plan for", "schedule", "consent for",
@@ -119,17 +133,28 @@ EVAL_COLUMNS = ["llm_caseID", "confidence", "llm_surgery", "actual_surgery", "re
 
 
 class Phrase(NamedTuple):
-    """One censoring phrase; a lower priority number is tried first."""
+    """One censoring phrase; a lower priority number is tried first.
+
+    ``word`` is lower-case text that every match contains. Looking for it is much cheaper
+    than the pattern, which is tried only where the word occurs.
+    """
 
     priority: int
     strength: str
     pattern: str
+    word: str | None = None
 
 
-def phrase_rows(strong: list[str], weak: list[str]) -> list[Phrase]:
-    """Strong phrases first, then weak ones, numbered in that order."""
-    tagged = [("strong", p) for p in strong] + [("weak", p) for p in weak]
-    return [Phrase(n, strength, pattern) for n, (strength, pattern) in enumerate(tagged, start=1)]
+def phrase_rows(
+    strong: Sequence[str],
+    weak: Sequence[str],
+    strong_words: Sequence[str | None] | None = None,
+    weak_words: Sequence[str | None] | None = None,
+) -> list[Phrase]:
+    """Strong phrases first, then weak ones, numbered in that order; words are optional."""
+    tagged = list(zip(["strong"] * len(strong), strong, strong_words or [None] * len(strong), strict=True))
+    tagged += zip(["weak"] * len(weak), weak, weak_words or [None] * len(weak), strict=True)
+    return [Phrase(n, *row) for n, row in enumerate(tagged, start=1)]
 
 
-PHRASES = phrase_rows(STRONG_PHRASES, WEAK_PHRASES)
+PHRASES = phrase_rows(STRONG_PHRASES, WEAK_PHRASES, STRONG_WORDS, WEAK_WORDS)
