@@ -281,7 +281,7 @@ ORACLE = {
 cells AS (SELECT stratum, value, {_CELLS} FROM s GROUP BY stratum, value) SELECT stratum, value, {_METRICS} FROM cells""",
     "auc": f"WITH {_EV}, {_auc('aucs', 'ev', '')} SELECT auc_roc FROM aucs",
     "auc_by_stratum": f"WITH {_EV}, {_auc('aucs', 'ev', 'r')} SELECT r AS has_radiology, auc_roc FROM aucs",
-    "auc_directional": f"""WITH {_EV}, {_auc('aucs', 'ev', '', 'CASE WHEN p = 1 THEN coalesce(c, 5) / 10 ELSE 1 - coalesce(c, 5) / 10 END')}
+    "auc_directional": f"""WITH {_EV}, {_auc('aucs', 'ev', '', 'CASE WHEN p = 1 THEN coalesce(c, 5) / 10 ELSE (10 - coalesce(c, 5)) / 10 END')}
 SELECT auc_roc FROM aucs""",
     "confidence_table": f"WITH {_EV} SELECT c AS confidence, {_RATES} FROM ev WHERE c IS NOT NULL GROUP BY c",
     "confidence_by_stratum": f"""WITH {_EV} SELECT r AS has_radiology, c AS confidence, {_RATES} FROM ev

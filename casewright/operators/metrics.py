@@ -116,11 +116,12 @@ def roc_auc(
 
 
 def directional_score(pred: str = PRED) -> Column:
-    """The score for the positive class: 1 - score when the prediction is No."""
-    s = confidence_score(F.col(CONFIDENCE))
-    return F.when(F.col(pred) == 1, s).otherwise(F.lit(1.0) - s)
-
+    """The score for the positive class: 1 - score when the prediction is No.
 
+    Flipped before scaling, so that 9 under No ties exactly with 1 under Yes.
+    """
+    c = F.col(CONFIDENCE)
+    return F.when(F.col(pred) == 1, confidence_score(c)).otherwise(confidence_score(10 - c))
 
 
 def metrics_by(df: DataFrame, stratum: str = STRATUM, actual: str = ACTUAL, pred: str = PRED) -> DataFrame:
