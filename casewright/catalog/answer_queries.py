@@ -111,7 +111,7 @@ def safe_names(spark, d):
 
 def score_stub(spark, d):
     prompts = A.document_cases(spark, d).select("llm_caseID", F.col("formatted_progress_text").alias("prompt"))
-    return score(prompts, A.respond, provider="stub", model_name="length/1", concurrency=8)
+    return score(prompts, A.respond, provider="stub", model_name="length/1", concurrency=8).drop("part")
 
 
 def stored_answers(spark, d):

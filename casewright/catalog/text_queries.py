@@ -83,11 +83,13 @@ def prepared_cases(spark, d):
     cases, prepared = prepare_cases(A.clinical_tables(spark, d), CASES)
     rendered = cases.select(
         "llm_caseID",
+        "part",
         F.md5("formatted_progress_text").alias("note_md5"),
         F.md5("formatted_radiology_text").alias("report_md5"),
     )
     return prepared.select(
         "llm_caseID",
+        "part",
         "patient_id",
         "had_surgery",
         "had_endoscopy",
@@ -98,7 +100,7 @@ def prepared_cases(spark, d):
         F.col("last_progress_note.date").alias("note_day"),
         F.col("last_progress_note.original_date").alias("original_day"),
         "matched_text",
-    ).join(rendered, "llm_caseID")
+    ).join(rendered, ["llm_caseID", "part"])
 
 
 def _event_cases(spark, d):
@@ -161,8 +163,7 @@ def conversation_trim(spark, d):
 
 
 def message_history(spark, d):
-    trimmed = K.trim_conversation(A.table(spark, d, "conversations"), max_len=5, head=1, tail=3)
-    history = K.message_history(trimmed)
+    history = K.message_history(A.table(spark, d, "conversations"), max_len=5, head=1, tail=3)
     shown = F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"]))
     return history.select("conv_id", F.array_join(shown, "\n").alias("history"))
 
@@ -307,7 +308,7 @@ summaries AS (SELECT i.patient_id, string_agg(text, chr(10) || '---' || chr(10)
   GROUP BY i.patient_id),
 imaging AS (SELECT patient_id, string_agg(text, chr(10) || chr(10) ORDER BY o_orderdate, o_orderkey) AS radiology_text
   FROM items WHERE o_orderpriority = '4-NOT SPECIFIED' AND o_orderstatus IN ('O','P') GROUP BY patient_id),
-profile AS (SELECT c_custkey AS patient_id, c_nationkey AS age, n_name AS race, c_mktsegment AS ethnicity, 'F' AS sex,
+profile AS (SELECT c_custkey AS patient_id, CAST(0 AS BIGINT) AS part, c_nationkey AS age, n_name AS race, c_mktsegment AS ethnicity, 'F' AS sex,
   summary AS longitudinal_summary_statement,
   array_to_string(list_filter(string_split(regexp_replace(lower(summary), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)),
     lambda s: NOT (contains(s, 'high') OR contains(s, 'status is p'))), ' ') AS censored_summary_statement,
@@ -358,7 +359,7 @@ full_cases AS (SELECT row_number() OVER (ORDER BY kept.patient_id) AS case_no, k
   f.first_surgery_date, coalesce(r.n_reports, 0) > 0 AS has_radiology, r.report, c.day, c.k, c.first_day, c.text, c.matched, s.lang
   FROM kept LEFT JOIN pflags f USING (patient_id) LEFT JOIN reps r USING (patient_id)
   LEFT JOIN chosen c USING (patient_id) LEFT JOIN src s ON c.doc_id = s.doc_id)
-SELECT case_no AS "llm_caseID", patient_id, had_surgery, had_endoscopy, first_surgery_date,
+SELECT case_no AS "llm_caseID", CAST(0 AS BIGINT) AS part, patient_id, had_surgery, had_endoscopy, first_surgery_date,
   had_surgery AND first_surgery_date IS NULL AS cutoff_missing, n_notes, has_radiology, day AS note_day,
   CASE WHEN k > 0 THEN first_day END AS original_day, matched AS matched_text,
   md5(CASE WHEN text IS NULL THEN {S.quoted(vocab.NO_NOTE)} ELSE trim('Date: ' || strftime(day, '%Y-%m-%d')

@@ -82,12 +82,12 @@ def messages(cases: DataFrame, examples: DataFrame, confirmation: str | None = N
     return cases.withColumn("messages", F.array(*context, case))
 
 
-def message_history(turns: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
-    """A conversation's turns in order as an array of (role, content); trim long ones first."""
+def message_history(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", **trim) -> DataFrame:
+    """A conversation's trimmed turns in order as an array of (role, content)."""
     ordered = F.array_sort(
         F.collect_list(F.struct(F.col(turn).alias("at"), F.col("role"), F.col("text").alias("content")))
     )
-    return turns.groupBy(conv).agg(
+    return trim_conversation(turns, conv=conv, turn=turn, **trim).groupBy(conv).agg(
         F.transform(
             ordered, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))
         ).alias("messages")

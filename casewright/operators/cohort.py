@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewright import vocab
@@ -57,24 +57,14 @@ def reports_before_index(
     return joined.filter(before_cutoff(F.col("date"), F.col("_cutoff"))).drop("_cutoff")
 
 
-def collect_history(
-    df: DataFrame,
-    name: str,
-    key: str = "patient_id",
-    seq: str = "note_seq",
-    keep=None,
-    max_items: int | None = None,
-) -> DataFrame:
-    """Date-ordered nested history per key: array of (date, type, title, text).
+def nest_items(df: DataFrame, name: str, by: Sequence[str], seq: str = "note_seq", keep: Column | None = None) -> DataFrame:
+    """Items grouped into a date-ordered array of (date, type, title, text).
 
-    Undated items come first and ``seq`` breaks ties. ``keep`` is an optional predicate
-    applied inside the aggregate, so a key whose items all fail it still has a row.
-    With ``max_items`` a longer history continues in further rows (``part`` 0, 1, ...).
+    Undated items come first and ``seq`` breaks ties. ``keep`` is a predicate inside the
+    aggregate, so a group whose items all fail it still has a row.
     """
-    dated = df.withColumn("_day", F.to_date("date"))
-    grouped = with_parts(dated, key, ["_day"], seq, max_items).groupBy(key, "part") if max_items else dated.groupBy(key)
     item = F.struct(
-        F.col("_day").alias("date"), F.col(seq).alias("seq"), F.col("type"), F.col("title"), F.col("text")
+        F.to_date("date").alias("date"), F.col(seq).alias("seq"), F.col("type"), F.col("title"), F.col("text")
     )
     ordered = F.array_sort(F.collect_list(item if keep is None else F.when(keep, item)))
     shown = F.transform(
@@ -83,7 +73,29 @@ def collect_history(
             i["date"].alias("date"), i["type"].alias("type"), i["title"].alias("title"), i["text"].alias("text")
         ),
     )
-    return grouped.agg(shown.alias(name))
+    return df.groupBy(*by).agg(shown.alias(name))
+
+
+def history_parts(df: DataFrame, key: str, seq: str, max_items: int | None) -> DataFrame:
+    """Items with the ``part`` of their key's history they belong to."""
+    dated = df.withColumn("_day", F.to_date("date"))
+    return with_parts(dated, key, ["_day"], seq, max_items).drop("_day")
+
+
+def collect_history(
+    df: DataFrame,
+    name: str,
+    key: str = "patient_id",
+    seq: str = "note_seq",
+    max_items: int | None = None,
+) -> DataFrame:
+    """Date-ordered nested history per key (see ``nest_items``).
+
+    With ``max_items`` a longer history continues in further rows (``part`` 0, 1, ...),
+    so that no row or task has to hold more than that many items.
+    """
+    nested = nest_items(history_parts(df, key, seq, max_items), name, [key, "part"], seq)
+    return nested if max_items else nested.drop("part")
 
 
 def collect_text(
@@ -95,14 +107,21 @@ def collect_text(
     text: str = "text",
     max_items: int | None = None,
 ) -> DataFrame:
-    """A key's non-null texts in date order, undated last, joined with a separator (per part if limited)."""
+    """A key's non-null texts in date order, undated last, joined with a separator.
+
+    With ``max_items`` a longer text continues in further rows (``part`` 0, 1, ...).
+    """
     dated = df.filter(F.col(text).isNotNull()).withColumn("_undated", F.col("date").isNull())
-    order = ["_undated", "date"]
-    grouped = with_parts(dated, key, order, seq, max_items).groupBy(key, "part") if max_items else dated.groupBy(key)
     ordered = F.array_sort(
         F.collect_list(F.struct("_undated", "date", F.col(seq).alias("seq"), F.col(text).alias("text")))
     )
-    return grouped.agg(F.array_join(F.transform(ordered, lambda i: i["text"]), sep).alias(name))
+    grouped = with_parts(dated, key, ["_undated", "date"], seq, max_items).groupBy(key, "part")
+    joined = grouped.agg(F.array_join(F.transform(ordered, lambda i: i["text"]), sep).alias(name))
+    return joined if max_items else joined.drop("part")
+
+
+def _titled(notes: DataFrame, title: str | None) -> DataFrame:
+    return notes if title is None else notes.filter(F.col("title") == title)
 
 
 def note_candidates(
@@ -127,8 +146,7 @@ def note_candidates(
     note of the cutoff's own day counts as before it unless ``same_day="exclude"``.
     ``carry`` names flag columns to keep.
     """
-    picked = notes if title is None else notes.filter(F.col("title") == title)
-    per_day = picked.groupBy(key, F.to_date("date").alias("day")).agg(F.max(seq).alias(seq))
+    per_day = _titled(notes, title).groupBy(key, F.to_date("date").alias("day")).agg(F.max(seq).alias(seq))
     if flags is not None:
         limit = F.col(cutoff) if same_day == "reference" else F.to_date(cutoff)
         cutoffs = flags.select(key, limit.alias("_cutoff"), *carry)
@@ -183,7 +201,7 @@ def last_note(
         notes, flags, title=title, cutoff=cutoff, same_day=same_day, carry=carry, key=key, seq=seq
     ).select(key, seq, *carry)
     undated = F.coalesce(F.col("_undated"), F.lit(False)) if carry else F.lit(False)
-    return notes.join(winners, [key, seq]).select(
+    return _titled(notes, title).join(winners, [key, seq]).select(
         key, seq, _note_struct().alias("last_progress_note"), undated.alias("cutoff_missing")
     )
 
@@ -201,7 +219,7 @@ def previous_note(
     winners = note_candidates(
         notes, refs, title=title, cutoff=ref_date, need_cutoff=True, key=key, seq=seq
     ).select(key, seq)
-    return notes.join(winners, [key, seq]).select(key, seq, _note_struct().alias("previous_note"))
+    return _titled(notes, title).join(winners, [key, seq]).select(key, seq, _note_struct().alias("previous_note"))
 
 
 def censor_note(df: DataFrame, note: str, phrases: Sequence[Phrase] = vocab.PHRASES, **limits) -> DataFrame:
@@ -239,7 +257,7 @@ def fallback_choice(
         notes, flags, title=title, back=max_back, cutoff=cutoff, same_day=same_day, key=key, seq=seq
     )
     original = F.when(F.col("k") > 0, F.col("first_day"))
-    censored = notes.join(candidates, [key, seq]).select(
+    censored = _titled(notes, title).join(candidates, [key, seq]).select(
         key, "k", _note_struct(original).alias("note"), censor_plan(F.col("text"), phrases, **limits).alias("cut")
     )
     choice = F.struct(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.operators.cohort import collect_history
+from casewright.operators.cohort import collect_history, history_parts, nest_items
 from casewright.operators.filters import before_cutoff, fill_patient_defaults
 
 MAX_ITEMS = 100_000
@@ -28,18 +28,16 @@ def build_patient_table(
     patients only, which leaves the others with false flags and no dates. A history
     over ``max_items`` continues in further rows of the patient (``part`` 1, 2, ...).
     """
-    part = ["part"] if max_items else []
     histories = collect_history(notes, "ent_notes", key, max_items=max_items)
-    with_cutoff = reports.join(flags.select(key, F.col(cutoff).alias("_cutoff")), key, "left")
-    imaging = collect_history(
-        with_cutoff,
-        "radiology_reports",
-        key,
-        keep=before_cutoff(F.col("date"), F.col("_cutoff")),
-        max_items=max_items,
+    cutoffs = flags.select(key, F.col(cutoff).alias("_cutoff"))
+    parted = history_parts(reports, key, "note_seq", max_items).join(cutoffs, key, "left")
+    imaging = nest_items(
+        parted, "radiology_reports", [key, "part"], keep=before_cutoff(F.col("date"), F.col("_cutoff"))
     )
+    same = [key, "part"] if max_items else [key]
+    imaging = imaging if max_items else imaging.drop("part")
     if label_join == "reference":
-        patients = histories.join(flags, key, "left").join(imaging, [key, *part], "full")
+        patients = histories.join(flags, key, "left").join(imaging, same, "full")
     else:
-        patients = histories.join(imaging, [key, *part], "full").join(flags, key, "left")
+        patients = histories.join(imaging, same, "full").join(flags, key, "left")
     return fill_patient_defaults(patients)

@@ -12,10 +12,11 @@ from casewright import vocab
 from casewright.operators.cases import case_frame
 from casewright.operators.cohort import (
     EVENT_SETS,
-    collect_history,
     expand_choice,
     fallback_choice,
+    history_parts,
     index_event_flags,
+    nest_items,
     restrict_to,
 )
 from casewright.operators.filters import (
@@ -47,6 +48,7 @@ class CaseConfig:
     max_back: int = vocab.MAX_FALLBACK_NOTES
     same_day: str = "reference"
     limits: Mapping = field(default_factory=dict)
+    max_reports: int | None = 10_000
 
 
 def select_cases(tables: Mapping[str, DataFrame], cfg: CaseConfig = CaseConfig()) -> DataFrame:
@@ -54,7 +56,9 @@ def select_cases(tables: Mapping[str, DataFrame], cfg: CaseConfig = CaseConfig()
 
     Patients come from the clinical notes. Those without a titled note stay, with a null
     note; those whose notes all come out blank are dropped. Histories are not collected
-    for the selection: winners are picked on keys, and only their texts are joined.
+    for the selection: winners are picked on keys, and only their texts are joined. A
+    patient with over ``max_reports`` reports has further rows, ``part`` 1, 2, ..., that
+    continue them.
     """
     key = "patient_id"
     notes = extract_notes(
@@ -76,14 +80,16 @@ def select_cases(tables: Mapping[str, DataFrame], cfg: CaseConfig = CaseConfig()
         **cfg.limits,
     ).withColumn("_has_candidate", F.lit(True))
     seen = notes.groupBy(key).agg(F.count("*").alias("n_notes"))
-    dated = reports.join(flags.select(key, F.col("first_surgery_date").alias("_cutoff")), key, "left")
-    imaging = collect_history(
-        dated, "radiology_reports", key, keep=before_cutoff(F.col("date"), F.col("_cutoff"))
+    cutoffs = flags.select(key, F.col("first_surgery_date").alias("_cutoff"))
+    parted = history_parts(reports, key, "note_seq", cfg.max_reports).join(cutoffs, key, "left")
+    imaging = nest_items(
+        parted, "radiology_reports", [key, "part"], keep=before_cutoff(F.col("date"), F.col("_cutoff"))
     )
     patients = seen.join(imaging, key, "full").join(flags, key, "left").join(chosen, key, "left")
     kept = patients.filter(F.col("_has_candidate").isNull() | F.col("choice").isNotNull()).drop("_has_candidate")
     return fill_patient_defaults(expand_choice(kept)).withColumns(
         {
+            "part": F.coalesce(F.col("part"), F.lit(0)),
             "n_notes": F.coalesce(F.col("n_notes"), F.lit(0)),
             "cutoff_missing": F.col("had_surgery") & F.col("first_surgery_date").isNull(),
             "has_radiology": has_items(F.col("radiology_reports")),
@@ -99,5 +105,7 @@ def prepare_cases(
     The selected cases are written once to the shared folder: numbering needs the final
     set of patients, and reading it back avoids censoring every note a second time.
     """
-    prepared = number_cases(materialize(select_cases(tables, cfg)), ["patient_id"])
-    return case_frame(prepared), prepared
+    selected = materialize(select_cases(tables, cfg))
+    numbers = number_cases(distinct_ids(selected), ["patient_id"])
+    prepared = selected.join(numbers, "patient_id")
+    return case_frame(prepared, keep=("part",)), prepared

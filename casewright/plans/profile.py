@@ -17,6 +17,7 @@ from casewright.operators.cohort import (
     index_event_flags,
     latest_per_key,
     reports_before_index,
+    restrict_to,
 )
 from casewright.operators.filters import extract_notes, extract_reports, to_binary
 
@@ -30,12 +31,14 @@ def patient_profile(
     system: str | None = vocab.CODE_SYSTEM,
     keywords: Sequence[str] = vocab.SENTENCE_KEYWORDS,
     key: str = "patient_id",
+    max_items: int = 10_000,
 ) -> DataFrame:
     """Latest demographics, notes before the event as one text, imaging text and flags.
 
     Patients without a qualifying note before the event are left out. The cutoff is the
     first event code whatever its code system; the flags check the system. Imaging is
-    not cut at the event here. Each table is aggregated per patient before the joins.
+    not cut at the event here. Each table is aggregated per patient before the joins. A
+    patient with over ``max_items`` notes or reports has further rows (``part`` 1, ...).
     """
     latest = latest_per_key(tables["demographics"], "seq", key).drop("seq")
     flags = index_event_flags(tables["procedures"], event_sets, key, system)
@@ -43,17 +46,19 @@ def patient_profile(
         key, F.col("first_surgery_date")
     )
     notes = extract_notes(tables["clinical_note"], **(note_filter or {"columns": ("author", "text")}))
-    summary = collect_text(reports_before_index(notes, cutoff, key=key), "summary", key)
+    before = reports_before_index(notes, cutoff, key=key)
+    summary = collect_text(before, "summary", key, max_items=max_items)
     reports = extract_reports(tables["radiology_report"], **(report_filter or {}))
-    imaging = collect_text(reports, "radiology_text", key, sep="\n\n")
+    imaging = collect_text(reports, "radiology_text", key, sep="\n\n", max_items=max_items)
     flag_columns = [c for c in flags.columns if c.startswith("had_")]
+    texts = summary.join(imaging, [key, "part"], "full")
     joined = (
-        latest.join(summary, key)
-        .join(imaging, key, "left")
+        latest.join(restrict_to(texts, summary.filter(F.col("part") == 0), key), key)
         .join(flags.select(key, *flag_columns), key, "left")
     )
     return joined.select(
         key,
+        "part",
         "age",
         "race",
         "ethnicity",
@@ -70,7 +75,7 @@ def profile_prompts(profiles: DataFrame, key: str = "patient_id") -> DataFrame:
     return profiles.withColumn(
         "prompt",
         prompt_profile(
-            F.col(key), F.col("age"), F.col("sex"), F.col("censored_summary_statement"), F.col("radiology_text")
+            F.col(key), F.col("age"), F.col("sex"), F.coalesce("censored_summary_statement", F.lit("")), F.col("radiology_text")
         ),
     )
 
@@ -83,7 +88,7 @@ def legacy_profile(
     ``answers`` has (key, decision, confidence); any answer but yes counts as no.
     """
     profiles = patient_profile(tables, key=key, **options)
-    judged = profiles.join(answers.select(key, "decision", "confidence"), key).select(
+    judged = profiles.filter(F.col("part") == 0).join(answers.select(key, "decision", "confidence"), key).select(
         key,
         to_binary(F.col("had_surgery"), {True: 1, False: 0}).alias(M.ACTUAL),
         to_binary(F.col("decision"), mode="yes").alias(M.PRED),

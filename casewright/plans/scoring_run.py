@@ -25,6 +25,7 @@ def parsed_results(scored: DataFrame, parser: Callable[[Column], Column] = parse
     parsed = scored.withColumn("_answer", parser(F.col("api_response")))
     return parsed.select(
         "llm_caseID",
+        "part",
         F.col("_answer.decision").alias("decision"),
         F.col("_answer.confidence").alias("confidence"),
         F.coalesce(F.col("error"), F.col("_answer.reasoning")).alias("reasoning"),
@@ -68,7 +69,7 @@ def run_scoring(
             build_prompts(share), responder, provider=provider, model_name=model_name, concurrency=concurrency
         )
         append_results(parsed_results(scored, parser), store, run_id)
-    return dedup_results(stored(), PRIORITY).drop("stored_in")
+    return dedup_results(stored(), PRIORITY).drop("stored_in", "part")
 
 
 def run_few_shot(

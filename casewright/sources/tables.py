@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from casewright import schemas
 from casewright.operators.cohort import restrict_to
-from casewright.operators.numbering import first_ids
+from casewright.operators.numbering import BROADCAST_KEYS, first_ids
 
 
 def read_shards(
@@ -88,7 +88,8 @@ def pilot_sample(
 ) -> tuple[dict[str, DataFrame], DataFrame]:
     """All rows of the first n patients, per table, and their ids.
 
-    The id list has n rows at most, which is why it is broadcast.
+    The id list has n rows, so a small n is broadcast.
     """
     ids = first_ids(tables[id_table], n, key)
-    return {name: restrict_to(df, F.broadcast(ids), key) for name, df in tables.items()}, ids
+    listed = F.broadcast(ids) if n <= BROADCAST_KEYS else ids
+    return {name: restrict_to(df, listed, key) for name, df in tables.items()}, ids

@@ -11,7 +11,7 @@ from casewright.operators import cohort as C
 from casewright.operators import filters as R
 from casewright.operators import numbering as N
 from casewright.plans.patient_table import build_patient_table
-from casewright.plans.prepare import prepare_cases
+from casewright.plans.prepare import CaseConfig, prepare_cases
 from casewright.plans.profile import patient_profile, profile_prompts
 
 PROGRESS = "Progress Notes"
@@ -238,6 +238,17 @@ def test_prepare_cases(spark, partitions):
     assert text[3]["formatted_progress_text"] == vocab.NO_NOTE and text[5]["formatted_radiology_text"] == vocab.NO_REPORTS
 
 
+def test_prepared_reports_continue_in_parts(spark):
+    cases, prepared = prepare_cases(clinical(spark), CaseConfig(max_reports=1))
+    whole, _ = prepare_cases(clinical(spark))
+    texts = {(r["llm_caseID"], r["part"]): r for r in cases.collect()}
+    one = {r["llm_caseID"]: r for r in whole.collect()}
+    assert set(texts) == {(1, 0), (1, 1), (2, 0), (3, 0), (4, 0), (5, 0)}
+    joined = "\n\n".join(texts[(1, p)]["formatted_radiology_text"] for p in (0, 1))
+    assert joined == one[1]["formatted_radiology_text"]
+    assert {texts[(1, p)]["formatted_progress_text"] for p in (0, 1)} == {one[1]["formatted_progress_text"]}
+
+
 def test_profile(spark):
     tables = clinical(spark)
     tables["demographics"] = spark.createDataFrame(

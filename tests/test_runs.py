@@ -99,6 +99,15 @@ def test_earlier_results_win_over_duplicates(spark, tmp_path):
     assert {(r["reasoning"], r["count"]) for r in kept.groupBy("reasoning").count().collect()} == {("early", 5)}
 
 
+def test_parts_of_a_case_are_all_scored(spark, tmp_path):
+    store = f"{tmp_path}/store"
+    parted = cases(spark, 3).withColumn("part", F.explode(F.array(*[F.lit(n).cast("bigint") for n in (2, 0, 1)])))
+    got = run_scoring(parted, store, total, run_id="run-1", rounds=2, **RUN)
+    assert got.count() == 3
+    assert rows(S.read_results(spark, store).select("llm_caseID", "part")) == [(c, p) for c in (1, 2, 3) for p in (0, 1, 2)]
+    assert rows(P.dedup_results(S.read_results(spark, store), S.PRIORITY).select("part").distinct()) == [(0,)]
+
+
 def test_unreadable_files_are_skipped(spark, tmp_path):
     store = f"{tmp_path}/store"
     assert S.read_results(spark, store).count() == 0
