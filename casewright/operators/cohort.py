@@ -57,45 +57,43 @@ def reports_before_index(
     return joined.filter(before_cutoff(F.col("date"), F.col("_cutoff"))).drop("_cutoff")
 
 
-def nest_items(df: DataFrame, name: str, by: Sequence[str], seq: str = "note_seq", keep: Column | None = None) -> DataFrame:
-    """Items grouped into a date-ordered array of (date, type, title, text).
-
-    Undated items come first and ``seq`` breaks ties. ``keep`` is a predicate inside the
-    aggregate, so a group whose items all fail it still has a row.
-    """
-    item = F.struct(
-        F.to_date("date").alias("date"), F.col(seq).alias("seq"), F.col("type"), F.col("title"), F.col("text")
-    )
-    ordered = F.array_sort(F.collect_list(item if keep is None else F.when(keep, item)))
-    shown = F.transform(
-        ordered,
-        lambda i: F.struct(
-            i["date"].alias("date"), i["type"].alias("type"), i["title"].alias("title"), i["text"].alias("text")
-        ),
-    )
-    return df.groupBy(*by).agg(shown.alias(name))
-
-
-def history_parts(df: DataFrame, key: str, seq: str, max_items: int | None) -> DataFrame:
-    """Items with the ``part`` of their key's history they belong to."""
-    dated = df.withColumn("_day", F.to_date("date"))
-    return with_parts(dated, key, ["_day"], seq, max_items).drop("_day")
-
-
 def collect_history(
     df: DataFrame,
     name: str,
     key: str = "patient_id",
     seq: str = "note_seq",
+    cutoffs: DataFrame | None = None,
     max_items: int | None = None,
 ) -> DataFrame:
-    """Date-ordered nested history per key (see ``nest_items``).
+    """Date-ordered nested history per key: array of (date, type, title, text).
 
-    With ``max_items`` a longer history continues in further rows (``part`` 0, 1, ...),
-    so that no row or task has to hold more than that many items.
+    Undated items come first and ``seq`` breaks ties. ``cutoffs`` (key, cutoff) keeps the
+    items before the key's cutoff; a key left without items still has a row. With
+    ``max_items`` a longer history continues in further rows (``part`` 0, 1, ...), so that
+    no row or task has to hold more than that many items. Cutoffs join the nested rows,
+    after the parts have spread a heavy key.
     """
-    nested = nest_items(history_parts(df, key, seq, max_items), name, [key, "part"], seq)
-    return nested if max_items else nested.drop("part")
+    dated = df.withColumn("_day", F.to_date("date"))
+    item = F.struct(
+        F.col("_day").alias("day"), F.col(seq).alias("seq"), F.col("date").alias("at"),
+        F.col("type"), F.col("title"), F.col("text"),
+    )
+    nested = (
+        with_parts(dated, key, ["_day"], seq, max_items)
+        .groupBy(key, "part")
+        .agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    )
+    items = F.col("_items")
+    if cutoffs is not None:
+        nested = nested.join(cutoffs.toDF(key, "_cutoff"), key, "left")
+        items = F.filter(items, lambda i: before_cutoff(i["at"], F.col("_cutoff")))
+    shown = F.transform(
+        items,
+        lambda i: F.struct(
+            i["day"].alias("date"), i["type"].alias("type"), i["title"].alias("title"), i["text"].alias("text")
+        ),
+    )
+    return nested.select(key, *(["part"] if max_items else []), shown.alias(name))
 
 
 def collect_text(

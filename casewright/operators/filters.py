@@ -27,22 +27,30 @@ def whole_word(c: Column, keywords: Sequence[str]) -> Column:
     return F.coalesce(c.rlike(rf"(?iU)\b(?:{words})\b"), F.lit(False))
 
 
-def extract_notes(
-    notes: DataFrame,
+def is_specialty_note(
     types: Sequence[str] = vocab.NOTE_TYPES,
     titles: Sequence[str] = vocab.NOTE_TITLES,
     keywords: Sequence[str] = vocab.AUTHOR_KEYWORDS,
     columns: Sequence[str] = ("author", "linked_author"),
-) -> DataFrame:
-    """Notes with a specialty keyword in any of ``columns`` and a known type or title.
-
-    Text comes out in lower case. All keyword columns are matched ignoring case.
-    """
+) -> Column:
+    """A specialty keyword in any of ``columns``, ignoring case, and a known type or title."""
     hit = F.lit(False)
     for c in columns:
         hit = hit | whole_word(F.col(c), keywords)
     known = _in(F.col("type"), types) | _in(F.col("title"), titles)
-    return normalize_text(notes.filter(known & hit), lower=["text"], strings=["type", "title"])
+    return known & hit
+
+
+def extract_notes(
+    notes: DataFrame,
+    types: Sequence[str] = vocab.NOTE_TYPES,
+    titles: Sequence[str] = vocab.NOTE_TITLES,
+    keywords: Sequence[str] = vocab.AUTHOR_KEYWORDS,
+    columns: Sequence[str] = ("author", "linked_author"),
+) -> DataFrame:
+    """The specialty notes, with their text in lower case."""
+    found = notes.filter(is_specialty_note(types, titles, keywords, columns))
+    return normalize_text(found, lower=["text"], strings=["type", "title"])
 
 
 def extract_reports(

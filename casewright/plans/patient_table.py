@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from casewright.operators.cohort import collect_history, history_parts, nest_items
-from casewright.operators.filters import before_cutoff, fill_patient_defaults
+from casewright.operators.cohort import collect_history
+from casewright.operators.filters import fill_patient_defaults
 
 MAX_ITEMS = 100_000
 
@@ -29,13 +27,10 @@ def build_patient_table(
     over ``max_items`` continues in further rows of the patient (``part`` 1, 2, ...).
     """
     histories = collect_history(notes, "ent_notes", key, max_items=max_items)
-    cutoffs = flags.select(key, F.col(cutoff).alias("_cutoff"))
-    parted = history_parts(reports, key, "note_seq", max_items).join(cutoffs, key, "left")
-    imaging = nest_items(
-        parted, "radiology_reports", [key, "part"], keep=before_cutoff(F.col("date"), F.col("_cutoff"))
+    imaging = collect_history(
+        reports, "radiology_reports", key, cutoffs=flags.select(key, cutoff), max_items=max_items
     )
     same = [key, "part"] if max_items else [key]
-    imaging = imaging if max_items else imaging.drop("part")
     if label_join == "reference":
         patients = histories.join(flags, key, "left").join(imaging, same, "full")
     else:

@@ -12,19 +12,17 @@ from casewright import vocab
 from casewright.operators.cases import case_frame
 from casewright.operators.cohort import (
     EVENT_SETS,
+    collect_history,
     expand_choice,
     fallback_choice,
-    history_parts,
     index_event_flags,
-    nest_items,
-    restrict_to,
 )
 from casewright.operators.filters import (
-    before_cutoff,
     extract_notes,
     extract_reports,
     fill_patient_defaults,
     has_items,
+    is_specialty_note,
 )
 from casewright.operators.numbering import distinct_ids, number_cases
 from casewright.session import materialize
@@ -48,27 +46,26 @@ class CaseConfig:
     max_back: int = vocab.MAX_FALLBACK_NOTES
     same_day: str = "reference"
     limits: Mapping = field(default_factory=dict)
-    max_reports: int | None = 10_000
+    max_reports: int = 10_000
 
 
-def select_cases(tables: Mapping[str, DataFrame], cfg: CaseConfig = CaseConfig()) -> DataFrame:
+def select_cases(
+    tables: Mapping[str, DataFrame], cfg: CaseConfig = CaseConfig(), flags: DataFrame | None = None
+) -> DataFrame:
     """Unnumbered cases: one row per kept patient with flags, chosen note and reports.
 
     Patients come from the clinical notes. Those without a titled note stay, with a null
     note; those whose notes all come out blank are dropped. Histories are not collected
     for the selection: winners are picked on keys, and only their texts are joined. A
     patient with over ``max_reports`` reports has further rows, ``part`` 1, 2, ..., that
-    continue them.
+    continue them. Pass ``flags`` to use event flags that are already stored.
     """
     key = "patient_id"
-    notes = extract_notes(
-        tables["clinical_note"], cfg.note_types, cfg.note_titles, cfg.keywords, cfg.keyword_columns
-    )
-    population = distinct_ids(tables["clinical_note"], key)
-    reports = extract_reports(
-        restrict_to(tables["radiology_report"], population, key), cfg.report_types, cfg.report_titles
-    )
-    flags = index_event_flags(tables["procedures"], cfg.event_sets, key, cfg.code_system)
+    all_notes = tables["clinical_note"]
+    vocabulary = (cfg.note_types, cfg.note_titles, cfg.keywords, cfg.keyword_columns)
+    notes = extract_notes(all_notes, *vocabulary)
+    if flags is None:
+        flags = index_event_flags(tables["procedures"], cfg.event_sets, key, cfg.code_system)
     chosen = fallback_choice(
         notes,
         flags,
@@ -79,18 +76,23 @@ def select_cases(tables: Mapping[str, DataFrame], cfg: CaseConfig = CaseConfig()
         key=key,
         **cfg.limits,
     ).withColumn("_has_candidate", F.lit(True))
-    seen = notes.groupBy(key).agg(F.count("*").alias("n_notes"))
-    cutoffs = flags.select(key, F.col("first_surgery_date").alias("_cutoff"))
-    parted = history_parts(reports, key, "note_seq", cfg.max_reports).join(cutoffs, key, "left")
-    imaging = nest_items(
-        parted, "radiology_reports", [key, "part"], keep=before_cutoff(F.col("date"), F.col("_cutoff"))
+    # One row per patient of the notes table, whether or not any note is a specialty note.
+    people = all_notes.groupBy(key).agg(F.count_if(is_specialty_note(*vocabulary)).alias("n_notes"))
+    people = people.join(flags, key, "left").join(chosen, key, "left")
+    people = people.filter(F.col("_has_candidate").isNull() | F.col("choice").isNotNull()).drop("_has_candidate")
+    imaging = collect_history(
+        extract_reports(tables["radiology_report"], cfg.report_types, cfg.report_titles),
+        "radiology_reports",
+        key,
+        cutoffs=flags.select(key, "first_surgery_date"),
+        max_items=cfg.max_reports,
     )
-    patients = seen.join(imaging, key, "full").join(flags, key, "left").join(chosen, key, "left")
-    kept = patients.filter(F.col("_has_candidate").isNull() | F.col("choice").isNotNull()).drop("_has_candidate")
-    return fill_patient_defaults(expand_choice(kept)).withColumns(
+    first = people.join(imaging.filter(F.col("part") == 0), key, "left")
+    first = first.filter((F.col("n_notes") > 0) | F.col("part").isNotNull())
+    further = imaging.filter(F.col("part") > 0).join(people, key)
+    return fill_patient_defaults(expand_choice(first.unionByName(further))).withColumns(
         {
             "part": F.coalesce(F.col("part"), F.lit(0)),
-            "n_notes": F.coalesce(F.col("n_notes"), F.lit(0)),
             "cutoff_missing": F.col("had_surgery") & F.col("first_surgery_date").isNull(),
             "has_radiology": has_items(F.col("radiology_reports")),
         }
@@ -102,10 +104,12 @@ def prepare_cases(
 ) -> tuple[DataFrame, DataFrame]:
     """(case frame, prepared frame), numbered 1..n in patient order.
 
-    The selected cases are written once to the shared folder: numbering needs the final
-    set of patients, and reading it back avoids censoring every note a second time.
+    The event flags and the selected cases are written once to the shared folder. Several
+    joins use the flags, and reading them back gives those joins their true size; numbering
+    needs the final set of patients, and must not censor every note a second time.
     """
-    selected = materialize(select_cases(tables, cfg))
+    flags = materialize(index_event_flags(tables["procedures"], cfg.event_sets, "patient_id", cfg.code_system))
+    selected = materialize(select_cases(tables, cfg, flags))
     numbers = number_cases(distinct_ids(selected), ["patient_id"])
     prepared = selected.join(numbers, "patient_id")
     return case_frame(prepared, keep=("part",)), prepared
