@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casewright.catalog import adapters as A
-from casewright.catalog.sql import EVENT_SQL, ordered_days, quoted
+from casewright.catalog.sql import EVENT_SQL, ordered_days
 from casewright.functions.dates import day_str, parse_ts
 from casewright.operators import cohort as C
 from casewright.operators.filters import before_cutoff, extract_notes, extract_reports
@@ -101,6 +101,18 @@ def patient_table(spark, d):
     )
 
 
+def patient_labels(spark, d):
+    """Labels of the older join order: patients with French reports but no English note get none."""
+    tables = A.clinical_tables(spark, d)
+    patients = build_patient_table(
+        extract_notes(tables["clinical_note"], keywords=["en"]),
+        extract_reports(tables["radiology_report"]),
+        C.index_event_flags(tables["procedures"], A.EVENT_CODES),
+        label_join="reference",
+    )
+    return patients.select("patient_id", "had_surgery", "had_endoscopy", "first_surgery_date")
+
+
 def history_parts(spark, d):
     history = C.collect_history(A.event_items(spark, d), "items", max_items=16)
     days = F.array_join(F.transform("items", lambda i: F.concat(day_str(i["date"]), i["text"])), "|")
@@ -188,6 +200,7 @@ QUERIES = {
     "reports_before_index": reports_before_index,
     "events_before_cutoff": events_before_cutoff,
     "patient_table": patient_table,
+    "patient_labels": patient_labels,
     "history_parts": history_parts,
     "patient_text": patient_text,
     "last_note_before_index": last_note_before_index,
@@ -241,10 +254,17 @@ SELECT patient_id, CAST(0 AS BIGINT) AS part, coalesce(had_surgery, false) AS ha
   coalesce(had_endoscopy, false) AS had_endoscopy, first_surgery_date, coalesce(n_notes, 0) AS n_notes,
   coalesce(n_reports, 0) AS n_reports, coalesce(notes, '') AS notes, coalesce(reports, '') AS reports
 FROM n FULL JOIN r USING (patient_id) LEFT JOIN flags USING (patient_id)""",
+    "patient_labels": f"""{EVENT_SQL}, docs AS (SELECT 'p' || CAST(doc_id // 8 AS VARCHAR) AS patient_id, lang FROM documents),
+noted AS (SELECT DISTINCT patient_id FROM docs WHERE lang = 'en'),
+people AS (SELECT patient_id FROM noted UNION SELECT patient_id FROM docs WHERE lang = 'fr'),
+labels_of AS (SELECT 'p' || CAST(patient_id AS VARCHAR) AS patient_id, had_surgery, had_endoscopy, first_surgery_date FROM flags)
+SELECT p.patient_id, coalesce(had_surgery, false) AS had_surgery, coalesce(had_endoscopy, false) AS had_endoscopy,
+  first_surgery_date FROM people p
+LEFT JOIN (SELECT * FROM labels_of WHERE patient_id IN (SELECT patient_id FROM noted)) f USING (patient_id)""",
     "history_parts": f"""WITH p AS (SELECT user_id AS patient_id, event_id AS note_seq, CAST(ts AS DATE) AS day, props AS text,
   (row_number() OVER (PARTITION BY user_id ORDER BY CAST(ts AS DATE), event_id) - 1) // 16 AS part FROM events)
 SELECT patient_id, part, count(*) AS n_items, {ordered_days('items')} FROM p GROUP BY patient_id, part""",
-    "patient_text": """SELECT user_id AS patient_id, string_agg(props, chr(10) || '---' || chr(10) ORDER BY ts, event_id) AS summary
+    "patient_text": """SELECT user_id AS patient_id, CAST(0 AS BIGINT) AS part, string_agg(props, chr(10) || '---' || chr(10) ORDER BY ts, event_id) AS summary
 FROM events WHERE event_type = 'view' GROUP BY user_id""",
     "last_note_before_index": f"""{_LAST.format(rule=_BEFORE)}
 SELECT patient_id, note_seq, day AS note_day, text AS note_text,

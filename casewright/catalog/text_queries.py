@@ -107,19 +107,20 @@ def _event_cases(spark, d):
     """One case per user: last view before the event and the errors before it."""
     flags = _flags(spark, d)
     last = C.last_note(A.event_items(spark, d, "view"), flags, title="view")
-    reports = C.reports_before_index(A.event_items(spark, d, "error"), flags)
-    imaging = C.collect_history(reports, "radiology_reports")
-    joined = last.join(imaging, "patient_id", "full").select(
+    imaging = C.collect_history(
+        A.event_items(spark, d, "error"), "radiology_reports", cutoffs=flags.select("patient_id", "first_surgery_date")
+    ).filter(has_items(F.col("radiology_reports")))
+    return last.join(imaging, "patient_id", "full").select(
         F.col("patient_id").alias("llm_caseID"),
+        F.coalesce("part", F.lit(0)).alias("part"),
         F.col("last_progress_note").alias("last_progress_note_censored"),
         "radiology_reports",
     )
-    return joined
 
 
 def format_cases(spark, d):
     cases = _event_cases(spark, d)
-    return K.case_frame(cases, keep=(has_items(F.col("radiology_reports")).alias("has_radiology"),))
+    return K.case_frame(cases, keep=("part", has_items(F.col("radiology_reports")).alias("has_radiology")))
 
 
 def _doc_prompt(build):
@@ -376,7 +377,7 @@ r AS (SELECT r.patient_id, string_agg({_ENTRY.format(day="day", type="'error'",
     chr(10) || chr(10) ORDER BY day, note_seq) AS report
   FROM reports r LEFT JOIN flags f USING (patient_id)
   WHERE f.first_surgery_date IS NULL OR r.date < f.first_surgery_date GROUP BY r.patient_id)
-SELECT patient_id AS "llm_caseID", coalesce(report, {_REPORT}) AS formatted_radiology_text,
+SELECT patient_id AS "llm_caseID", CAST(0 AS BIGINT) AS part, coalesce(report, {_REPORT}) AS formatted_radiology_text,
   coalesce(note, {S.quoted(vocab.NO_NOTE)}) AS formatted_progress_text, report IS NOT NULL AS has_radiology
 FROM l FULL JOIN r USING (patient_id)""",
     "prompt_zero_shot": _prompt_sql(templates.ZERO_SHOT),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from casewright import vocab
 from casewright.functions.text import censor_plan, is_blank, removed_tail
 from casewright.operators.filters import before_cutoff, code_in
-from casewright.operators.numbering import with_parts
+from casewright.operators.numbering import MAX_ITEMS, with_parts
 from casewright.vocab import Phrase
 
 EVENT_SETS = {"surgery": vocab.SURGERY_CODES, "endoscopy": vocab.ENDOSCOPY_CODES}
@@ -63,15 +63,15 @@ def collect_history(
     key: str = "patient_id",
     seq: str = "note_seq",
     cutoffs: DataFrame | None = None,
-    max_items: int | None = None,
+    max_items: int | None = MAX_ITEMS,
 ) -> DataFrame:
-    """Date-ordered nested history per key: array of (date, type, title, text).
+    """Date-ordered nested history per key and part: array of (date, type, title, text).
 
     Undated items come first and ``seq`` breaks ties. ``cutoffs`` (key, cutoff) keeps the
-    items before the key's cutoff; a key left without items still has a row. With
-    ``max_items`` a longer history continues in further rows (``part`` 0, 1, ...), so that
-    no row or task has to hold more than that many items. Cutoffs join the nested rows,
-    after the parts have spread a heavy key.
+    items before the key's cutoff; a key left without items still has a row. Nearly all
+    keys have the one part 0. A history over ``max_items`` continues in further rows, so
+    that no row or task has to hold more than that many items. Cutoffs join the nested
+    rows, after the parts have spread a heavy key.
     """
     dated = df.withColumn("_day", F.to_date("date"))
     item = F.struct(
@@ -93,7 +93,7 @@ def collect_history(
             i["day"].alias("date"), i["type"].alias("type"), i["title"].alias("title"), i["text"].alias("text")
         ),
     )
-    return nested.select(key, *(["part"] if max_items else []), shown.alias(name))
+    return nested.select(key, "part", shown.alias(name))
 
 
 def collect_text(
@@ -103,19 +103,18 @@ def collect_text(
     seq: str = "note_seq",
     sep: str = "\n---\n",
     text: str = "text",
-    max_items: int | None = None,
+    max_items: int | None = MAX_ITEMS,
 ) -> DataFrame:
     """A key's non-null texts in date order, undated last, joined with a separator.
 
-    With ``max_items`` a longer text continues in further rows (``part`` 0, 1, ...).
+    More than ``max_items`` texts continue in further rows (``part`` 0, 1, ...).
     """
     dated = df.filter(F.col(text).isNotNull()).withColumn("_undated", F.col("date").isNull())
     ordered = F.array_sort(
         F.collect_list(F.struct("_undated", "date", F.col(seq).alias("seq"), F.col(text).alias("text")))
     )
     grouped = with_parts(dated, key, ["_undated", "date"], seq, max_items).groupBy(key, "part")
-    joined = grouped.agg(F.array_join(F.transform(ordered, lambda i: i["text"]), sep).alias(name))
-    return joined if max_items else joined.drop("part")
+    return grouped.agg(F.array_join(F.transform(ordered, lambda i: i["text"]), sep).alias(name))
 
 
 def _titled(notes: DataFrame, title: str | None) -> DataFrame:

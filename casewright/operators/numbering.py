@@ -11,6 +11,7 @@ from casewright.session import shared_dir
 
 _PARTITION_BITS = 33  # monotonically_increasing_id keeps the partition above this bit
 BROADCAST_KEYS = 100_000
+MAX_ITEMS = 100_000
 
 
 def row_index(keys: DataFrame, order: Sequence[str], name: str = "row_no", start: int = 1) -> DataFrame:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from casewright.operators.cohort import collect_history
-from casewright.operators.filters import fill_patient_defaults
 
-MAX_ITEMS = 100_000
+from casewright.operators.cohort import collect_history, restrict_to
+from casewright.operators.filters import fill_patient_defaults
+from casewright.operators.numbering import MAX_ITEMS
 
 
 def build_patient_table(
@@ -22,17 +22,14 @@ def build_patient_table(
     """Notes, reports before the cutoff, and flags per patient.
 
     Patients with reports only are kept. Flags join after the outer join, so such
-    patients get their true labels; ``label_join="reference"`` joins them to note
-    patients only, which leaves the others with false flags and no dates. A history
+    patients get their true labels; ``label_join="reference"`` labels the patients
+    with notes only, which leaves the others with false flags and no dates. A history
     over ``max_items`` continues in further rows of the patient (``part`` 1, 2, ...).
     """
     histories = collect_history(notes, "ent_notes", key, max_items=max_items)
     imaging = collect_history(
         reports, "radiology_reports", key, cutoffs=flags.select(key, cutoff), max_items=max_items
     )
-    same = [key, "part"] if max_items else [key]
-    if label_join == "reference":
-        patients = histories.join(flags, key, "left").join(imaging, same, "full")
-    else:
-        patients = histories.join(imaging, same, "full").join(flags, key, "left")
+    labels = restrict_to(flags, notes, key) if label_join == "reference" else flags
+    patients = histories.join(imaging, [key, "part"], "full").join(labels, key, "left")
     return fill_patient_defaults(patients)
