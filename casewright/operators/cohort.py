@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from casewright import vocab
 from casewright.functions.text import censor_plan, is_blank, removed_tail
 from casewright.operators.filters import before_cutoff, code_in
-from casewright.operators.numbering import MAX_ITEMS, with_parts
+from casewright.operators.numbering import MAX_ITEMS, group_in_parts
 from casewright.vocab import Phrase
 
 EVENT_SETS = {"surgery": vocab.SURGERY_CODES, "endoscopy": vocab.ENDOSCOPY_CODES}
@@ -78,11 +78,8 @@ def collect_history(
         F.col("_day").alias("day"), F.col(seq).alias("seq"), F.col("date").alias("at"),
         F.col("type"), F.col("title"), F.col("text"),
     )
-    nested = (
-        with_parts(dated, key, ["_day"], seq, max_items)
-        .groupBy(key, "part")
-        .agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    )
+    ordered = F.array_sort(F.collect_list(item)).alias("_items")
+    nested = group_in_parts(dated, key, ["_day"], seq, ordered, max_items)
     items = F.col("_items")
     if cutoffs is not None:
         nested = nested.join(cutoffs.toDF(key, "_cutoff"), key, "left")
@@ -113,8 +110,8 @@ def collect_text(
     ordered = F.array_sort(
         F.collect_list(F.struct("_undated", "date", F.col(seq).alias("seq"), F.col(text).alias("text")))
     )
-    grouped = with_parts(dated, key, ["_undated", "date"], seq, max_items).groupBy(key, "part")
-    return grouped.agg(F.array_join(F.transform(ordered, lambda i: i["text"]), sep).alias(name))
+    joined = F.array_join(F.transform(ordered, lambda i: i["text"]), sep).alias(name)
+    return group_in_parts(dated, key, ["_undated", "date"], seq, joined, max_items)
 
 
 def _titled(notes: DataFrame, title: str | None) -> DataFrame:

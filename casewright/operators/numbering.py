@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewright.session import shared_dir
@@ -92,31 +92,40 @@ def page(df: DataFrame, size: int, page_no: int, key: str = "patient_id") -> Dat
     return distinct_ids(df, key).orderBy(key).offset(size * page_no).limit(size)
 
 
-def with_parts(
-    df: DataFrame, key: str, order: Sequence[str], seq: str, max_items: int | None, name: str = "part"
+def _heavy_keys(df: DataFrame, key: str, max_items: int) -> DataFrame | None:
+    """Keys with more rows than ``max_items``, broadcast when few; None if there are none."""
+    shared_dir(df.sparkSession)
+    sizes = df.groupBy(key).agg(F.count("*").alias("_n"))
+    heavy = sizes.filter(F.col("_n") > max_items).select(key, F.lit(True).alias("_heavy")).checkpoint()
+    n = heavy.count()
+    return None if n == 0 else F.broadcast(heavy) if n <= BROADCAST_KEYS else heavy
+
+
+def group_in_parts(
+    df: DataFrame,
+    key: str,
+    order: Sequence[str],
+    seq: str,
+    aggregate: Column,
+    max_items: int | None = MAX_ITEMS,
 ) -> DataFrame:
-    """Number the parts of each key's ordered history, at most ``max_items`` rows each.
+    """The aggregate per (key, part), over at most ``max_items`` rows at a time.
 
-    Nearly every key has one part. Keys over the limit are found by a count on the key
-    column alone; only their rows are positioned, by a distributed sort, so a key with
-    a large share of all rows is spread over tasks and its history stays whole.
+    Rows go to parts in the given order, ``seq`` breaking ties. Nearly every key has the
+    one part 0. Keys over the limit are found by a count on the key column alone; only
+    their rows are positioned, by a distributed sort, so a key with a large share of all
+    rows is spread over tasks and its history stays whole.
     """
     single = F.lit(0).cast("bigint")
-    if max_items is None:
-        return df.withColumn(name, single)
-    shared_dir(df.sparkSession)
-    sizes = df.groupBy(key).agg(F.count("*").alias("_n"))
-    hot = sizes.filter(F.col("_n") > max_items).select(key, F.lit(True).alias("_hot")).checkpoint()
-    n_hot = hot.count()
-    if n_hot == 0:
-        return df.withColumn(name, single)
-    small = n_hot <= BROADCAST_KEYS
-    marked = df.join(F.broadcast(hot) if small else hot, key, "left")
-    cold = marked.filter(F.col("_hot").isNull()).drop("_hot").withColumn(name, single)
-    rows = marked.filter(F.col("_hot")).drop("_hot")
+    heavy = None if max_items is None else _heavy_keys(df, key, max_items)
+    if heavy is None:
+        return df.groupBy(key).agg(aggregate).withColumn("part", single)
+    marked = df.join(heavy, key, "left")
+    light = marked.filter(F.col("_heavy").isNull()).drop("_heavy").withColumn("part", single)
+    rows = marked.filter(F.col("_heavy")).drop("_heavy")
     placed = row_index(rows.select(key, *order, seq), [key, *order, seq], "_no")
-    first = placed.groupBy(key).agg(F.min("_no").alias("_first"))
-    parts = placed.join(F.broadcast(first) if small else first, key).select(
-        key, seq, F.floor((F.col("_no") - F.col("_first")) / max_items).alias(name)
+    first = heavy.join(placed.groupBy(key).agg(F.min("_no").alias("_first")), key).drop("_heavy")
+    parts = placed.join(first, key).select(
+        key, seq, F.floor((F.col("_no") - F.col("_first")) / max_items).alias("part")
     )
-    return cold.unionByName(rows.join(parts, [key, seq]))
+    return light.unionByName(rows.join(parts, [key, seq])).groupBy(key, "part").agg(aggregate)

@@ -51,11 +51,12 @@ def patient_profile(
     reports = extract_reports(tables["radiology_report"], **(report_filter or {}))
     imaging = collect_text(reports, "radiology_text", key, sep="\n\n", max_items=max_items)
     flag_columns = [c for c in flags.columns if c.startswith("had_")]
-    texts = summary.join(imaging, [key, "part"], "full")
-    joined = (
-        latest.join(restrict_to(texts, summary.filter(F.col("part") == 0), key), key)
-        .join(flags.select(key, *flag_columns), key, "left")
+    same = [key, "part"]
+    further = imaging.filter(F.col("part") > 0).join(summary, same, "left_anti")
+    texts = summary.join(imaging, same, "left").unionByName(
+        restrict_to(further, summary.filter(F.col("part") == 0), key), allowMissingColumns=True
     )
+    joined = latest.join(texts, key).join(flags.select(key, *flag_columns), key, "left")
     return joined.select(
         key,
         "part",
