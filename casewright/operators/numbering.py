@@ -94,11 +94,14 @@ def page(df: DataFrame, size: int, page_no: int, key: str = "patient_id") -> Dat
 
 def _heavy_keys(df: DataFrame, key: str, max_items: int) -> DataFrame | None:
     """Keys with more rows than ``max_items``, broadcast when few; None if there are none."""
-    shared_dir(df.sparkSession)
     sizes = df.groupBy(key).agg(F.count("*").alias("_n"))
-    heavy = sizes.filter(F.col("_n") > max_items).select(key, F.lit(True).alias("_heavy")).checkpoint()
+    heavy = sizes.filter(F.col("_n") > max_items).select(key, F.lit(True).alias("_heavy"))
     n = heavy.count()
-    return None if n == 0 else F.broadcast(heavy) if n <= BROADCAST_KEYS else heavy
+    if n == 0:
+        return None
+    shared_dir(df.sparkSession)
+    stored = heavy.checkpoint()
+    return F.broadcast(stored) if n <= BROADCAST_KEYS else stored
 
 
 def group_in_parts(
