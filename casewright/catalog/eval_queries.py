@@ -165,6 +165,7 @@ QUERIES = {
     "confidence_by_stratum": _table(lambda e: M.confidence_table(e, ["has_radiology"])),
     "confidence_corr": _table(lambda e: M.confidence_corr(e, ["has_radiology"], min_n=5)),
     "pearson_test": _table(M.pearson_test),
+    "pearson_r": _table(lambda e: M.pearson_test(e, ["has_radiology"]).drop("p_value")),
     "confidence_pivot": _table(M.confidence_pivot),
     "confusion": _table(lambda e: M.confusion_table(e, ["has_radiology"])),
     "distribution": _table(M.value_distribution),
@@ -288,6 +289,9 @@ SELECT auc_roc FROM aucs""",
 WHERE c IS NOT NULL GROUP BY r, c""",
     "confidence_corr": f"""WITH {_EV}, {_CORR} SELECT r AS has_radiology, n_all AS n_cases, CASE WHEN n_all > 5 THEN
   (n * sxy - sx * sy) / nullif(sqrt(n * sxx - sx * sx) * sqrt(n * sy - sy * sy), 0) END AS correlation FROM sums""",
+    "pearson_r": f"""WITH {_EV}, filled AS (SELECT * REPLACE (coalesce(c, 5) AS c) FROM ev), {_CORR.replace("FROM ev", "FROM filled")}
+SELECT r AS has_radiology, n_all AS n_cases, CASE WHEN n_all > 10 THEN
+  (n * sxy - sx * sy) / nullif(sqrt(n * sxx - sx * sx) * sqrt(n * sy - sy * sy), 0) END AS r FROM sums""",
     "confidence_pivot": f"""WITH {_EV} SELECT c AS confidence, count(*) FILTER (WHERE a <> p) AS incorrect,
   count(*) FILTER (WHERE a = p) AS correct FROM ev WHERE c IS NOT NULL GROUP BY c""",
     "confusion": f"""WITH {_EV}, {_GRID}, sides AS (SELECT DISTINCT r FROM ev)

@@ -16,8 +16,8 @@ from casewright.operators.numbering import train_test_split_ordered
 from casewright.plans.prepare import CaseConfig, prepare_cases
 from casewright.plans.profile import patient_profile, profile_prompts
 
-# The documents have line breaks where clinical notes have wide gaps; whole texts are searched.
-BY_LINE = {"split_on": "\n", "joiner": "\n", "max_len": None, "max_chunk": None}
+# The documents have line breaks where clinical notes have wide gaps.
+BY_LINE = {"split_on": "\n", "joiner": "\n"}
 SENTENCE_KEYWORDS = ["thble", "nicht", "ess", "the of"]
 
 

@@ -95,8 +95,8 @@ def censor_plan(
     phrases: Sequence[Phrase] = vocab.PHRASES,
     *,
     min_len: int = vocab.MIN_TEXT_CHARS,
-    max_len: int | None = vocab.MAX_TEXT_CHARS,
-    max_chunk: int | None = vocab.MAX_CHUNK_CHARS,
+    max_len: int | None = None,
+    max_chunk: int | None = None,
     min_ws: int = vocab.CHUNK_WHITESPACE,
     split_on: str | None = None,
     joiner: str | None = None,
@@ -105,9 +105,9 @@ def censor_plan(
 
     Returns struct(text, pattern, matched, cut_chunk). A chunk belongs to its first
     phrase in priority order. The earliest strong chunk decides; without one, the
-    latest weak chunk does. Texts under ``min_len`` characters become empty, texts
-    over ``max_len`` are shortened first and chunks over ``max_chunk`` are not
-    searched; pass None to lift either upper limit.
+    latest weak chunk does. Texts under ``min_len`` characters become empty. Whole texts
+    are searched; with ``**vocab.LENGTH_LIMITS`` texts over ``max_len`` are shortened
+    first and chunks over ``max_chunk`` are not searched.
     """
     ordered = sorted(phrases, key=lambda p: p.priority)
     strong = [n for n, p in enumerate(ordered) if p.strength == "strong"]

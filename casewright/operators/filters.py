@@ -149,7 +149,7 @@ def require_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """The frame itself, or an error naming the missing columns."""
     missing = [c for c in cols if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing required columns: {missing}")
+        raise ValueError(f"columns absent: {missing}")
     return df
 
 

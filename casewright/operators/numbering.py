@@ -49,19 +49,19 @@ def row_index(keys: DataFrame, order: Sequence[str], name: str = "row_no", start
 def number_cases(
     df: DataFrame, order: Sequence[str] = ("patient_id",), start: int = 1, name: str = "llm_caseID"
 ) -> DataFrame:
-    """Number the rows 1..n in the order of unique, non-null key columns.
+    """Number the distinct, non-null keys 1..n in key order; rows of one key share its number.
 
     Only the keys are sorted; the numbers join back to the rows.
     """
-    numbered = row_index(df.select(*order), order, name, start)
+    numbered = row_index(df.select(*order).distinct(), order, name, start)
     return df.join(numbered, list(order))
 
 
 def assign_batches(
     df: DataFrame, order: Sequence[str], size: int, name: str = "batch_no"
 ) -> DataFrame:
-    """Fixed-size batch number (from 1) in key order."""
-    numbered = row_index(df.select(*order), order, "_no", 0)
+    """Fixed-size batch number (from 1) of the distinct keys in key order."""
+    numbered = row_index(df.select(*order).distinct(), order, "_no", 0)
     batches = numbered.withColumn(name, F.floor(F.col("_no") / size) + 1).drop("_no")
     return df.join(batches, list(order))
 

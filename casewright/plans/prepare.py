@@ -24,7 +24,7 @@ from casewright.operators.filters import (
     has_items,
     is_specialty_note,
 )
-from casewright.operators.numbering import distinct_ids, number_cases
+from casewright.operators.numbering import number_cases
 from casewright.session import materialize
 from casewright.vocab import Phrase
 
@@ -110,6 +110,5 @@ def prepare_cases(
     """
     flags = materialize(index_event_flags(tables["procedures"], cfg.event_sets, "patient_id", cfg.code_system))
     selected = materialize(select_cases(tables, cfg, flags))
-    numbers = number_cases(distinct_ids(selected), ["patient_id"])
-    prepared = selected.join(numbers, "patient_id")
+    prepared = number_cases(selected, ["patient_id"])
     return case_frame(prepared, keep=("part",)), prepared

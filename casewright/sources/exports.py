@@ -21,9 +21,9 @@ def select_eval_columns(df: DataFrame, columns: Sequence[str] = vocab.EVAL_COLUM
     present = [c for c in columns if c in df.columns]
     missing = [c for c in columns if c not in df.columns]
     if not present:
-        raise ValueError("None of the required columns found in dataframe")
+        raise ValueError(f"no column to export among {list(columns)}")
     if missing:
-        warnings.warn(f"Missing columns in dataframe: {missing}", stacklevel=2)
+        warnings.warn(f"not exported, absent: {missing}", stacklevel=2)
     return df.select(*present)
 
 

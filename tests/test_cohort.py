@@ -304,5 +304,5 @@ def test_timestamps(spark):
 def test_defaults_and_columns(spark):
     df = spark.createDataFrame([(None, None, 1)], "flag boolean, items array<string>, n int")
     assert tuple(R.fill_patient_defaults(df).first()) == (False, [], 1)
-    with pytest.raises(ValueError, match="Missing required columns: \\['x'\\]"):
+    with pytest.raises(ValueError, match="columns absent: \\['x'\\]"):
         R.require_columns(df, ["n", "x"])

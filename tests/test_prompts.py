@@ -109,8 +109,10 @@ def test_trim_with_overlapping_ends(spark):
     assert got == sorted([0, 1, 2] + [1, 2, 3])
 
 
-def test_display(spark):
-    df = spark.range(1).select(
-        fmt_pct(F.lit(0.12345)), fmt_num(F.lit(-0.5), signed=True), fmt_num(F.lit(2)), round_even(F.lit(0.0625))
-    )
-    assert tuple(df.first()) == ("12.3%", "-0.500", "2.000", 0.062)
+def test_display_matches_python(spark):
+    values = [0.12345, -0.5, 2.0, 0.0625, 0.125, 2.675, -0.0004, 0.9995, 1234567.5, 0.0, 1 / 3]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    v = F.col("v")
+    got = df.select(v, fmt_pct(v), fmt_num(v), fmt_num(v, signed=True), fmt_num(v, 2)).collect()
+    assert [tuple(r)[1:] for r in got] == [(f"{x:.1%}", f"{x:.3f}", f"{x:+.3f}", f"{x:.2f}") for x in values]
+    assert spark.range(1).select(round_even(F.lit(0.0625)), fmt_num(F.lit(None))).first() == (0.062, None)

@@ -136,7 +136,7 @@ def test_csv_exports(spark, tmp_path):
     read = lambda p: spark.read.option("header", True).option("escape", '"').csv(p)
     assert path.endswith(".csv") and read(path).columns == ["llm_caseID", "confidence", "llm_surgery", "reasoning"]
     assert {r["reasoning"] for r in read(path).collect()} >= {"a, b", 'say "1", insufficient data'}
-    with pytest.raises(ValueError, match="None of the required"):
+    with pytest.raises(ValueError, match="no column to export"):
         E.export_eval_csv(df.select("other"), f"{tmp_path}/none")
     kept = E.export_insufficient(df, f"{tmp_path}/dropped")
     assert kept.count() == 125 and read(f"{tmp_path}/dropped").count() == 125
