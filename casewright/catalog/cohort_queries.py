@@ -129,7 +129,7 @@ def last_note_before_index(spark, d):
     return chosen.select(
         "patient_id",
         "note_seq",
-        F.col("last_progress_note.date").alias("note_day"),
+        day_str(F.col("last_progress_note.date")).alias("note_day"),
         F.col("last_progress_note.text").alias("note_text"),
         "cutoff_missing",
     )
@@ -138,7 +138,7 @@ def last_note_before_index(spark, d):
 def last_note_excluding_day(spark, d):
     notes = A.event_items(spark, d, "view")
     chosen = C.last_note(notes, _flags(spark, d), title="view", same_day="exclude")
-    return chosen.select("patient_id", "note_seq", F.col("last_progress_note.date").alias("note_day"))
+    return chosen.select("patient_id", "note_seq", day_str(F.col("last_progress_note.date")).alias("note_day"))
 
 
 def previous_note(spark, d):
@@ -146,11 +146,12 @@ def previous_note(spark, d):
     last = C.last_note(notes, _flags(spark, d), title="view")
     refs = last.select("patient_id", F.col("last_progress_note.date").cast("timestamp_ntz").alias("ref_date"))
     found = C.previous_note(notes, refs, title="view")
-    return found.select("patient_id", "note_seq", F.col("previous_note.date").alias("note_day"))
+    return found.select("patient_id", "note_seq", day_str(F.col("previous_note.date")).alias("note_day"))
 
 
 def note_candidates(spark, d):
-    return C.note_candidates(A.event_items(spark, d, "view"), _flags(spark, d), title="view", back=5)
+    found = C.note_candidates(A.event_items(spark, d, "view"), _flags(spark, d), title="view", back=5)
+    return found.withColumn("first_day", day_str(F.col("first_day")))
 
 
 def case_numbers(spark, d):
@@ -267,21 +268,21 @@ SELECT patient_id, part, count(*) AS n_items, {ordered_days('items')} FROM p GRO
     "patient_text": """SELECT user_id AS patient_id, CAST(0 AS BIGINT) AS part, string_agg(props, chr(10) || '---' || chr(10) ORDER BY ts, event_id) AS summary
 FROM events WHERE event_type = 'view' GROUP BY user_id""",
     "last_note_before_index": f"""{_LAST.format(rule=_BEFORE)}
-SELECT patient_id, note_seq, day AS note_day, text AS note_text,
+SELECT patient_id, note_seq, strftime(day, '%Y-%m-%d') AS note_day, text AS note_text,
   coalesce(had_surgery AND first_surgery_date IS NULL, false) AS cutoff_missing FROM ranked WHERE rn = 1""",
     "last_note_excluding_day": f"""{_LAST.format(rule="f.first_surgery_date IS NULL OR n.day < CAST(f.first_surgery_date AS DATE)")}
-SELECT patient_id, note_seq, day AS note_day FROM ranked WHERE rn = 1""",
+SELECT patient_id, note_seq, strftime(day, '%Y-%m-%d') AS note_day FROM ranked WHERE rn = 1""",
     "previous_note": f"""{_LAST.format(rule=_BEFORE)},
 refs AS (SELECT patient_id, day AS ref_day FROM ranked WHERE rn = 1),
 earlier AS (SELECT n.patient_id, n.note_seq, n.day,
   row_number() OVER (PARTITION BY n.patient_id ORDER BY n.day DESC, n.note_seq DESC) AS rn
   FROM notes n JOIN refs USING (patient_id) WHERE n.day < refs.ref_day)
-SELECT patient_id, note_seq, day AS note_day FROM earlier WHERE rn = 1""",
+SELECT patient_id, note_seq, strftime(day, '%Y-%m-%d') AS note_day FROM earlier WHERE rn = 1""",
     "note_candidates": f"""{_LAST.format(rule=_BEFORE)},
 days AS (SELECT patient_id, day, max(note_seq) AS note_seq FROM eligible GROUP BY patient_id, day),
 placed AS (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY day DESC) - 1 AS k,
   max(day) OVER (PARTITION BY patient_id) AS first_day FROM days)
-SELECT patient_id, note_seq, CAST(k AS INTEGER) AS k, first_day FROM placed WHERE k <= 5""",
+SELECT patient_id, note_seq, CAST(k AS INTEGER) AS k, strftime(first_day, '%Y-%m-%d') AS first_day FROM placed WHERE k <= 5""",
     "number_cases": """SELECT user_id AS patient_id, row_number() OVER (ORDER BY user_id) AS "llm_caseID"
 FROM (SELECT DISTINCT user_id FROM events)""",
     "batches": """SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 200 + 1 AS batch_no FROM documents""",

@@ -9,6 +9,7 @@ from casewright.catalog import adapters as A
 from casewright.catalog import sql as S
 from casewright.functions import render, templates
 from casewright.functions import text as X
+from casewright.functions.dates import day_str
 from casewright.operators import cases as K
 from casewright.operators import cohort as C
 from casewright.operators.filters import has_items
@@ -61,8 +62,8 @@ def censor_fallback(spark, d):
     return chosen.select(
         "patient_id",
         F.col("attempts").alias("k"),
-        F.col("last_progress_note.date").alias("note_day"),
-        F.col("last_progress_note.original_date").alias("original_day"),
+        day_str(F.col("last_progress_note.date")).alias("note_day"),
+        day_str(F.col("last_progress_note.original_date")).alias("original_day"),
         F.md5("last_progress_note_censored.text").alias("text_md5"),
         "matched_text",
         F.md5("censored_text").alias("removed_md5"),
@@ -97,8 +98,8 @@ def prepared_cases(spark, d):
         "cutoff_missing",
         "n_notes",
         "has_radiology",
-        F.col("last_progress_note.date").alias("note_day"),
-        F.col("last_progress_note.original_date").alias("original_day"),
+        day_str(F.col("last_progress_note.date")).alias("note_day"),
+        day_str(F.col("last_progress_note.original_date")).alias("original_day"),
         "matched_text",
     ).join(rendered, ["llm_caseID", "part"])
 
@@ -344,8 +345,8 @@ cand AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY day DESC) - 1
 usable AS (SELECT cand.*, cut.original, cut.text, cut.matched,
   row_number() OVER (PARTITION BY source ORDER BY k) AS rn
   FROM cand JOIN cut USING (doc_id) WHERE k <= 5 AND length(trim(cut.text, {S.BLANKS})) > 0)
-SELECT source AS patient_id, CAST(k AS INTEGER) AS k, day AS note_day,
-  CASE WHEN k > 0 THEN first_day END AS original_day, md5(text) AS text_md5, matched AS matched_text,
+SELECT source AS patient_id, CAST(k AS INTEGER) AS k, strftime(day, '%Y-%m-%d') AS note_day,
+  CASE WHEN k > 0 THEN strftime(first_day, '%Y-%m-%d') END AS original_day, md5(text) AS text_md5, matched AS matched_text,
   md5({S.REMOVED}) AS removed_md5 FROM usable WHERE rn = 1""",
     "prepare_cases": f"""WITH {S.FLAGS}, {_CASE_DOCS}, {S.censored('texts')},
 tried AS (SELECT cand.*, cut.text, cut.matched, length(trim(cut.text, {S.BLANKS})) > 0 AS usable
@@ -361,8 +362,8 @@ full_cases AS (SELECT row_number() OVER (ORDER BY kept.patient_id) AS case_no, k
   FROM kept LEFT JOIN pflags f USING (patient_id) LEFT JOIN reps r USING (patient_id)
   LEFT JOIN chosen c USING (patient_id) LEFT JOIN src s ON c.doc_id = s.doc_id)
 SELECT case_no AS "llm_caseID", CAST(0 AS BIGINT) AS part, patient_id, had_surgery, had_endoscopy, first_surgery_date,
-  had_surgery AND first_surgery_date IS NULL AS cutoff_missing, n_notes, has_radiology, day AS note_day,
-  CASE WHEN k > 0 THEN first_day END AS original_day, matched AS matched_text,
+  had_surgery AND first_surgery_date IS NULL AS cutoff_missing, n_notes, has_radiology, strftime(day, '%Y-%m-%d') AS note_day,
+  CASE WHEN k > 0 THEN strftime(first_day, '%Y-%m-%d') END AS original_day, matched AS matched_text,
   md5(CASE WHEN text IS NULL THEN {S.quoted(vocab.NO_NOTE)} ELSE trim('Date: ' || strftime(day, '%Y-%m-%d')
     || CASE WHEN k > 0 THEN ' (originally from ' || strftime(first_day, '%Y-%m-%d') || ')' ELSE '' END
     || ', Type: Other, Title: Progress Notes' || chr(10) || 'Content: ' || text, {S.BLANKS}) END) AS note_md5,

@@ -31,7 +31,7 @@ def score(
     part = F.col("part") if "part" in prompts.columns else F.lit(0)
     work = prompts.select(key, part.cast("bigint").alias("part"), prompt)
     if concurrency is not None:
-        work = work.repartition(concurrency)
+        work = work.repartition(concurrency, key)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
