@@ -92,16 +92,9 @@ def page(df: DataFrame, size: int, page_no: int, key: str = "patient_id") -> Dat
     return distinct_ids(df, key).orderBy(key).offset(size * page_no).limit(size)
 
 
-def _heavy_keys(df: DataFrame, key: str, max_items: int) -> DataFrame | None:
-    """Keys with more rows than ``max_items``, broadcast when few; None if there are none."""
-    sizes = df.groupBy(key).agg(F.count("*").alias("_n"))
-    heavy = sizes.filter(F.col("_n") > max_items).select(key, F.lit(True).alias("_heavy"))
-    n = heavy.count()
-    if n == 0:
-        return None
-    shared_dir(df.sparkSession)
-    stored = heavy.checkpoint()
-    return F.broadcast(stored) if n <= BROADCAST_KEYS else stored
+def _small(keys: DataFrame, n: int) -> DataFrame:
+    """One row per key, broadcast when the counted keys are few."""
+    return F.broadcast(keys) if n <= BROADCAST_KEYS else keys
 
 
 def group_in_parts(
@@ -114,21 +107,26 @@ def group_in_parts(
 ) -> DataFrame:
     """The aggregate per (key, part), over at most ``max_items`` rows at a time.
 
-    Rows go to parts in the given order, ``seq`` breaking ties. Nearly every key has the
-    one part 0. Keys over the limit are found by a count on the key column alone; only
-    their rows are positioned, by a distributed sort, so a key with a large share of all
-    rows is spread over tasks and its history stays whole.
+    Rows go to parts in the given order, the unique, non-null ``seq`` breaking ties.
+    Nearly every key has the one part 0. Keys over the limit are found by a count on the
+    key column alone; only their rows are positioned, by a distributed sort, so a key
+    with a large share of all rows is spread over tasks and its history stays whole.
     """
     single = F.lit(0).cast("bigint")
-    heavy = None if max_items is None else _heavy_keys(df, key, max_items)
-    if heavy is None:
+    heavy, n = None, 0
+    if max_items is not None:
+        sizes = df.groupBy(key).agg(F.count("*").alias("_n"))
+        heavy = sizes.filter(F.col("_n") > max_items).select(key, F.lit(True).alias("_heavy"))
+        n = heavy.count()
+    if n == 0:
         return df.groupBy(key).agg(aggregate).withColumn("part", single)
-    marked = df.join(heavy, key, "left")
+    shared_dir(df.sparkSession)
+    marked = df.join(_small(heavy.checkpoint(), n), key, "left")
     light = marked.filter(F.col("_heavy").isNull()).drop("_heavy").withColumn("part", single)
     rows = marked.filter(F.col("_heavy")).drop("_heavy")
     placed = row_index(rows.select(key, *order, seq), [key, *order, seq], "_no")
-    first = heavy.join(placed.groupBy(key).agg(F.min("_no").alias("_first")), key).drop("_heavy")
-    parts = placed.join(first, key).select(
+    first = placed.groupBy(key).agg(F.min("_no").alias("_first"))
+    parts = placed.join(_small(first, n), key).select(
         key, seq, F.floor((F.col("_no") - F.col("_first")) / max_items).alias("part")
     )
     return light.unionByName(rows.join(parts, [key, seq])).groupBy(key, "part").agg(aggregate)

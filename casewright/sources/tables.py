@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from casewright import schemas
 from casewright.operators.cohort import restrict_to
 from casewright.operators.numbering import BROADCAST_KEYS, first_ids
+from casewright.session import materialize
 
 
 def read_shards(
@@ -66,6 +67,15 @@ def load_tables(
     return tables
 
 
+def with_sequence(df: DataFrame, name: str = "note_seq") -> DataFrame:
+    """Rows with a unique number that follows the input order within a file.
+
+    Ties between notes of one day break by this number, so it must not change when a
+    task runs again: the numbered rows are written once to the shared folder.
+    """
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()))
+
+
 def profile_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
     """One row per table: name, rows, number of columns, column names."""
     return union_all(

@@ -61,6 +61,12 @@ def test_shards_and_optional_tables(spark, tmp_path):
     assert rows(ids) == [("0",), ("1",)] and picked["procedures"].count() == 4
 
 
+def test_sequence_is_unique_and_stable(spark):
+    numbered = T.with_sequence(spark.range(1000).repartition(5))
+    once = rows(numbered)
+    assert len({seq for _, seq in once}) == 1000 and rows(numbered) == once
+
+
 def test_score_captures_errors(spark):
     prompts = with_prompt(cases(spark, 6))
     got = {r["llm_caseID"]: r for r in score(prompts, failing, **RUN, concurrency=3).collect()}
