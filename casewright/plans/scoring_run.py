@@ -15,7 +15,7 @@ from casewright.operators.filters import require_columns
 from casewright.operators.numbering import train_test_split_ordered
 from casewright.operators.progress import dedup_results, pending
 from casewright.operators.scoring import Responder, score
-from casewright.sources.results import PRIORITY, append_results, read_results
+from casewright.sources.results import PRIORITY, append_results, read_results, write_latest
 
 CASE_COLUMNS = [f.name for f in schemas.CASE]
 
@@ -48,12 +48,15 @@ def run_scoring(
     parser: Callable[[Column], Column] = parse_json_answer,
     rounds: int = 1,
     concurrency: int | None = None,
+    latest: str | None = None,
+    latest_every: int = 5,
 ) -> DataFrame:
     """Score the cases that have no stored result of this model and return all results.
 
     Each of the ``rounds`` appends its share of the pending cases as one committed
     write, so a stopped run loses at most one round. Later duplicates of a case lose
-    to the earliest stored result. Run ids should sort in time order.
+    to the earliest stored result. Run ids should sort in time order. ``latest`` names a
+    snapshot of all results so far, overwritten every ``latest_every`` rounds.
     """
     require_columns(cases, CASE_COLUMNS)
     spark = cases.sparkSession
@@ -62,6 +65,9 @@ def run_scoring(
         found = read_results(spark, store)
         return found.filter((F.col("provider") == provider) & (F.col("model_name") == model_name))
 
+    def combined() -> DataFrame:
+        return dedup_results(stored(), PRIORITY).drop("stored_in", "part")
+
     todo = pending(cases, stored())
     for n in range(rounds):
         share = todo if rounds == 1 else todo.filter(F.pmod(F.xxhash64("llm_caseID"), F.lit(rounds)) == n)
@@ -69,7 +75,9 @@ def run_scoring(
             build_prompts(share), responder, provider=provider, model_name=model_name, concurrency=concurrency
         )
         append_results(parsed_results(scored, parser), store, run_id)
-    return dedup_results(stored(), PRIORITY).drop("stored_in", "part")
+        if latest is not None and (n + 1) % latest_every == 0:
+            write_latest(combined(), latest)
+    return combined()
 
 
 def run_few_shot(

@@ -105,6 +105,13 @@ def test_earlier_results_win_over_duplicates(spark, tmp_path):
     assert {(r["reasoning"], r["count"]) for r in kept.groupBy("reasoning").count().collect()} == {("early", 5)}
 
 
+def test_snapshot_every_other_round(spark, tmp_path):
+    store, latest = f"{tmp_path}/store", f"{tmp_path}/latest"
+    run_scoring(cases(spark), store, total, run_id="run-1", rounds=3, latest=latest, latest_every=2, **RUN)
+    seen = spark.read.parquet(latest).count()
+    assert 0 < seen < 40 == S.read_results(spark, store).count()
+
+
 def test_parts_of_a_case_are_all_scored(spark, tmp_path):
     store = f"{tmp_path}/store"
     parted = cases(spark, 3).withColumn("part", F.explode(F.array(*[F.lit(n).cast("bigint") for n in (2, 0, 1)])))
