@@ -34,7 +34,7 @@ def text_chunks(spark, d):
 
 def first_phrase(spark, d):
     docs = A.table(spark, d, "documents")
-    found = docs.select("doc_id", X.first_phrase(F.col("text"), A.DOC_PHRASES).alias("hit"))
+    found = docs.select("doc_id", X.compute_once(X.first_phrase(F.col("text"), A.DOC_PHRASES)).alias("hit"))
     return found.filter(F.col("hit").isNotNull()).select("doc_id", "hit.priority", "hit.strength", "hit.matched")
 
 

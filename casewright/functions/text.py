@@ -25,6 +25,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def compute_once(value: Column) -> Column:
+    """A costly column in generator form, for use in ``select``.
+
+    A filter on a plain column moves below it and computes the expression a second time;
+    it cannot move below a generator.
+    """
+    return F.explode(F.array(value))
+
+
 def strip_ws(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewright import vocab
-from casewright.functions.text import censor_plan, is_blank, removed_tail
+from casewright.functions.text import censor_plan, compute_once, is_blank, let, removed_tail
 from casewright.operators.filters import before_cutoff, code_in
 from casewright.operators.numbering import MAX_ITEMS, group_in_parts
+from casewright.schemas import NOTE_ITEM
 from casewright.vocab import Phrase
 
+CHOICE = f"struct<k:int,note:{NOTE_ITEM},text:string,pattern:string,matched:string>"
 EVENT_SETS = {"surgery": vocab.SURGERY_CODES, "endoscopy": vocab.ENDOSCOPY_CODES}
 
 
@@ -244,25 +246,37 @@ def fallback_choice(
 ) -> DataFrame:
     """(key, choice): the first candidate note that is not blank once censored, else null.
 
-    choice holds k, the note, its censored text and the matched phrase.
-    At most max_back+1 notes per patient are read and censored.
+    choice holds k, the note, its censored text and the matched phrase. At most max_back+1
+    notes per patient are brought together, and each is censored only if the ones before it
+    came out blank.
     """
     candidates = note_candidates(
         notes, flags, title=title, back=max_back, cutoff=cutoff, same_day=same_day, key=key, seq=seq
     )
     original = F.when(F.col("k") > 0, F.col("first_day"))
-    censored = _titled(notes, title).join(candidates, [key, seq]).select(
-        key, "k", _note_struct(original).alias("note"), censor_plan(F.col("text"), phrases, **limits).alias("cut")
-    )
-    choice = F.struct(
-        F.col("k"),
-        F.col("note"),
-        F.col("cut.text").alias("text"),
-        F.col("cut.pattern").alias("pattern"),
-        F.col("cut.matched").alias("matched"),
+    texts = _titled(notes, title).join(candidates, [key, seq])
+    tries = F.array_sort(F.collect_list(F.struct("k", _note_struct(original).alias("note"))))
+    grouped = texts.groupBy(key).agg(tries.alias("tries"))
+
+    def usable(attempt: Column) -> Column:
+        return let(
+            censor_plan(attempt["note"]["text"], phrases, **limits),
+            lambda cut: F.when(
+                ~is_blank(cut["text"]),
+                F.struct(
+                    attempt["k"].alias("k"),
+                    attempt["note"].alias("note"),
+                    cut["text"].alias("text"),
+                    cut["pattern"].alias("pattern"),
+                    cut["matched"].alias("matched"),
+                ),
+            ),
+        )
+
+    choice = F.aggregate(
+        "tries", F.lit(None).cast(CHOICE), lambda best, attempt: F.when(best.isNotNull(), best).otherwise(usable(attempt))
     )
-    usable = F.when(~is_blank(F.col("cut.text")), F.col("k"))
-    return censored.groupBy(key).agg(F.min_by(choice, usable).alias("choice"))
+    return grouped.select(key, compute_once(choice).alias("choice"))
 
 
 def expand_choice(df: DataFrame) -> DataFrame:

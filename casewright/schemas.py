@@ -48,3 +48,5 @@ TABLES = {
     "procedures": PROCEDURE,
     "demographics": DEMOGRAPHICS,
 }
+
+NOTE_ITEM = "struct<date:date,type:string,title:string,text:string,original_date:date>"

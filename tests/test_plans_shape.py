@@ -48,6 +48,12 @@ def test_ranked_rows_are_limited_before_the_shuffle(spark, what):
         assert "Partial" in below.split("FileScan")[0]
 
 
+@pytest.mark.parametrize("name,times", [("censor_fallback", 1), ("censor_plan", 1), ("first_phrase", 1)])
+def test_costly_search_runs_once(spark, name, times):
+    text = plan(entry.queries()[name](spark, SF_DIR))
+    assert len(re.findall(r"RLIKE\([^,]*, \(\?Ud\)ouaux\)", text)) == times
+
+
 def test_flags_prune_and_push(spark):
     text = plan(entry.queries()["index_flags"](spark, SF_DIR))
     assert "EqualTo(event_type,purchase)" in text and "value" not in re.search(r"ReadSchema: (\S+)", text)[1]
