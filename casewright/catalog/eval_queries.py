@@ -54,6 +54,14 @@ def auc_directional(spark, d):
     return M.roc_auc(_eval(spark, d), score=M.directional_score())
 
 
+def auc_by_length(spark, d):
+    """AUC of the text length as a score with many values."""
+    lengths = A.table(spark, d, "documents").select(F.col("doc_id").alias("llm_caseID"), "n_chars")
+    scored = A.document_cases(spark, d).join(lengths, "llm_caseID").filter(F.col("had_surgery").isNotNull())
+    labelled = scored.withColumn("actual_surgery", F.col("had_surgery").cast("int"))
+    return M.roc_auc(labelled, score="n_chars", by=["has_radiology"], many_scores=True)
+
+
 def metrics_display(spark, d):
     m = M.metrics_by(_eval(spark, d))
     return m.select(
@@ -161,6 +169,7 @@ QUERIES = {
     "auc": _table(M.roc_auc),
     "auc_by_stratum": _table(lambda e: M.roc_auc(e, by=["has_radiology"])),
     "auc_directional": auc_directional,
+    "auc_by_length": auc_by_length,
     "confidence_table": _table(M.confidence_table),
     "confidence_by_stratum": _table(lambda e: M.confidence_table(e, ["has_radiology"])),
     "confidence_corr": _table(lambda e: M.confidence_corr(e, ["has_radiology"], min_n=5)),
@@ -284,6 +293,9 @@ cells AS (SELECT stratum, value, {_CELLS} FROM s GROUP BY stratum, value) SELECT
     "auc_by_stratum": f"WITH {_EV}, {_auc('aucs', 'ev', 'r')} SELECT r AS has_radiology, auc_roc FROM aucs",
     "auc_directional": f"""WITH {_EV}, {_auc('aucs', 'ev', '', 'CASE WHEN p = 1 THEN coalesce(c, 5) / 10 ELSE (10 - coalesce(c, 5)) / 10 END')}
 SELECT auc_roc FROM aucs""",
+    "auc_by_length": f"""WITH lab AS (SELECT lang = 'en' AS r, n_chars, CAST(quality = 1 AS INTEGER) AS a
+  FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL), {_auc('aucs', 'lab', 'r', 'n_chars')}
+SELECT r AS has_radiology, auc_roc FROM aucs""",
     "confidence_table": f"WITH {_EV} SELECT c AS confidence, {_RATES} FROM ev WHERE c IS NOT NULL GROUP BY c",
     "confidence_by_stratum": f"""WITH {_EV} SELECT r AS has_radiology, c AS confidence, {_RATES} FROM ev
 WHERE c IS NOT NULL GROUP BY r, c""",

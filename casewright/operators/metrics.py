@@ -17,6 +17,7 @@ from casewright.functions.answers import confidence_score
 from casewright.functions.render import has_valid_text
 from casewright.functions.stats import p_value
 from casewright.operators.filters import range_bucket
+from casewright.operators.numbering import total_before
 
 ACTUAL = "actual_surgery"
 PRED = "llm_surgery"
@@ -91,28 +92,36 @@ def binary_metrics(df: DataFrame, actual: str = ACTUAL, pred: str = PRED) -> Dat
     return _with_metrics(eval_counts(df, (), actual, pred, None).agg(*_cells()))
 
 
-def _auc(histogram: DataFrame, by: Sequence[str]) -> DataFrame:
+def _auc(histogram: DataFrame, by: Sequence[str], many_scores: bool) -> DataFrame:
     """Mann-Whitney AUC from a score histogram (columns by..., score, pos, neg)."""
-    below = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = histogram.withColumn("below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    if many_scores:
+        ranked = total_before(histogram, by, "score", "neg", "below")
+    else:
+        below = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+        ranked = histogram.withColumn("below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
     wins = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
     return ranked.groupBy(*by).agg(F.try_divide(wins, pairs).alias("auc_roc"))
 
 
 def roc_auc(
-    df: DataFrame, actual: str = ACTUAL, score: Column | str | None = None, by: Sequence[str] = ()
+    df: DataFrame,
+    actual: str = ACTUAL,
+    score: Column | str | None = None,
+    by: Sequence[str] = (),
+    many_scores: bool = False,
 ) -> DataFrame:
     """ROC-AUC with ties counted half; null when one class is absent.
 
     The score defaults to confidence/10 with missing confidence as the middle. It is
-    grouped first, so the ranking sees one row per distinct score.
+    grouped first, so the ranking sees one row per distinct score: a handful for
+    confidence levels. ``many_scores`` ranks by a distributed sort, for continuous scores.
     """
     value = confidence_score(F.col(CONFIDENCE)) if score is None else F.col(score) if isinstance(score, str) else score
     histogram = df.groupBy(*by, value.alias("score")).agg(
         F.count_if(F.col(actual) == 1).alias("pos"), F.count_if(F.col(actual) == 0).alias("neg")
     )
-    return _auc(histogram, by)
+    return _auc(histogram, by, many_scores)
 
 
 def directional_score(pred: str = PRED) -> Column:

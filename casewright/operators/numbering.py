@@ -14,25 +14,34 @@ BROADCAST_KEYS = 100_000
 MAX_ITEMS = 100_000
 
 
-def row_index(keys: DataFrame, order: Sequence[str], name: str = "row_no", start: int = 1) -> DataFrame:
-    """Dense numbers in the order of unique ``order`` columns, without a single-task window.
+def _placed(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Rows sorted over the tasks, with the number of their partition and their place in it.
 
-    A range-partitioned sort spreads any key distribution over the tasks. The sorted
-    keys are checkpointed, so numbers cannot change if an executor is lost, and each
-    partition gets the count of the partitions before it as offset. The offsets are
-    one row per partition, hence the broadcast.
+    A range-partitioned sort spreads any key distribution. The sorted rows are
+    checkpointed, so places cannot change if an executor is lost.
     """
-    shared_dir(keys.sparkSession)
-    placed = (
-        keys.orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    shared_dir(df.sparkSession)
+    return (
+        df.orderBy(*[F.col(c).asc_nulls_first() for c in order])
         .withColumn("_at", F.monotonically_increasing_id())
         .checkpoint()
-        .select(
-            "*",
-            F.shiftright("_at", _PARTITION_BITS).alias("_slot"),
-            F.col("_at").bitwiseAND(F.lit((1 << _PARTITION_BITS) - 1)).alias("_pos"),
+        .withColumns(
+            {
+                "_slot": F.shiftright("_at", _PARTITION_BITS),
+                "_pos": F.col("_at").bitwiseAND(F.lit((1 << _PARTITION_BITS) - 1)),
+            }
         )
+        .drop("_at")
     )
+
+
+def row_index(keys: DataFrame, order: Sequence[str], name: str = "row_no", start: int = 1) -> DataFrame:
+    """Dense numbers in the order of unique ``order`` columns, without a single-task window.
+
+    Each partition of the sorted keys adds the count of the partitions before it. These
+    offsets are one row per partition, hence the broadcast.
+    """
+    placed = _placed(keys, order)
     before = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         placed.groupBy("_slot")
@@ -42,7 +51,28 @@ def row_index(keys: DataFrame, order: Sequence[str], name: str = "row_no", start
     return (
         placed.join(F.broadcast(offsets), "_slot")
         .withColumn(name, F.col("_offset") + F.col("_pos") + F.lit(start))
-        .drop("_slot", "_pos", "_at", "_offset")
+        .drop("_slot", "_pos", "_offset")
+    )
+
+
+def total_before(df: DataFrame, by: Sequence[str], order: str, value: str, name: str) -> DataFrame:
+    """The sum of ``value`` over the group's rows before this one, for groups of any size.
+
+    Sums within a partition of the sorted rows, plus the group's total of the partitions
+    before; the latter is one row per group and partition that meet.
+    """
+    placed = _placed(df, [*by, order])
+    earlier = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*by, "_slot").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    slots = placed.groupBy(*by, "_slot").agg(F.sum(value).alias("_n"))
+    offsets = slots.select(
+        F.struct(*by, "_slot").alias("_where"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset")
+    )
+    local = placed.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return (
+        local.join(offsets, F.struct(*by, "_slot") == F.col("_where"))
+        .withColumn(name, F.col(name) + F.col("_offset"))
+        .drop("_slot", "_pos", "_where", "_offset")
     )
 
 

@@ -86,6 +86,16 @@ def test_auc(spark):
     assert M.roc_auc(df, score=M.directional_score()).first()[0] == pytest.approx(auc(flipped), abs=1e-9)
 
 
+def test_auc_of_many_scores(spark):
+    pick = random.Random(21)
+    rows = [(int(pick.random() < 0.5), 0, round(pick.random(), 3), pick.choice([True, True, False, None])) for _ in range(600)]
+    df = frame(spark, rows).repartition(5)
+    assert M.roc_auc(df, score="confidence", many_scores=True).first()[0] == pytest.approx(auc([(a, 0, c * 10, r) for a, _, c, r in rows]), abs=1e-12)
+    got = {r["has_radiology"]: r["auc_roc"] for r in M.roc_auc(df, score="confidence", by=["has_radiology"], many_scores=True).collect()}
+    for side in (True, False, None):
+        assert got[side] == pytest.approx(auc([(a, 0, c * 10, r) for a, _, c, r in rows if r is side]), abs=1e-12)
+
+
 def test_confidence_tables(spark):
     rows = generated(seed=11)
     df = frame(spark, rows)
