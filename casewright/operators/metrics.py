@@ -256,7 +256,7 @@ def value_distribution(df: DataFrame, cols: Sequence[str] = (ACTUAL, PRED, STRAT
     counts = df.groupBy(*cols).agg(F.count("*").alias("n"))
     entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])
     values = counts.select(F.explode(entries).alias("e"), "n").groupBy("e.column", "e.value").agg(F.sum("n").alias("n"))
-    whole = F.sum("n").over(Window.partitionBy("column"))
+    whole = counts.agg(F.sum("n").alias("n")).scalar()
     return values.select("column", "value", "n", ratio(F.col("n"), whole).alias("share"))
 
 

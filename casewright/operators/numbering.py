@@ -112,14 +112,22 @@ def distinct_ids(df: DataFrame, key: str = "patient_id") -> DataFrame:
     return df.select(key).distinct()
 
 
+def _first(ids: DataFrame, n: int, key: str, skip: int = 0, direct: int = BROADCAST_KEYS) -> DataFrame:
+    """Ids skip+1 .. skip+n in id order: a top-k while that is short, numbered ids beyond."""
+    if skip + n <= direct:
+        return ids.orderBy(key).offset(skip).limit(n)
+    numbered = row_index(ids, [key], "_no").filter((F.col("_no") > skip) & (F.col("_no") <= skip + n))
+    return numbered.orderBy("_no").drop("_no")
+
+
 def first_ids(df: DataFrame, n: int, key: str = "patient_id") -> DataFrame:
     """The first n distinct ids in id order."""
-    return distinct_ids(df, key).orderBy(key).limit(n)
+    return _first(distinct_ids(df, key), n, key)
 
 
 def page(df: DataFrame, size: int, page_no: int, key: str = "patient_id") -> DataFrame:
     """Page ``page_no`` (from 0) of the ordered distinct ids; for all pages use ``assign_batches``."""
-    return distinct_ids(df, key).orderBy(key).offset(size * page_no).limit(size)
+    return _first(distinct_ids(df, key), size, key, size * page_no)
 
 
 def _small(keys: DataFrame, n: int) -> DataFrame:

@@ -278,6 +278,8 @@ def test_pages(spark):
     ids = spark.range(10).selectExpr("id % 7 as patient_id")
     assert [r[0] for r in N.page(ids, 3, 2).collect()] == [6]
     assert N.page(ids, 3, 3).count() == 0
+    numbered = N._first(N.distinct_ids(ids), 3, "patient_id", skip=2, direct=0)
+    assert [r[0] for r in numbered.collect()] == [r[0] for r in N._first(N.distinct_ids(ids), 3, "patient_id", skip=2).collect()] == [2, 3, 4]
 
 
 def test_split(spark):
