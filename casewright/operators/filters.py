@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewright import vocab
-from casewright.functions.text import let
 
 
 def normalize_text(df: DataFrame, lower: Sequence[str] = (), strings: Sequence[str] = ()) -> DataFrame:
@@ -92,14 +91,10 @@ def complete_cases(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def is_insufficient(c: Column, patterns: Sequence[str] = vocab.INSUFFICIENT_PATTERNS) -> Column:
     """Any pattern as a substring, ignoring case; null and empty are not insufficient."""
-
-    def any_of(low: Column) -> Column:
-        hit = F.lit(False)
-        for p in patterns:
-            hit = hit | low.contains(p.lower())
-        return hit
-
-    return F.coalesce(let(F.lower(c), any_of), F.lit(False))
+    hit = F.lit(False)
+    for p in patterns:
+        hit = hit | F.lower(c).contains(p.lower())
+    return F.coalesce(hit, F.lit(False))
 
 
 def split_insufficient(

@@ -1,5 +1,6 @@
 """Filters, flags, histories, note choice and fallback on hand-made rows."""
 
+import random
 from datetime import date, datetime
 
 import pytest
@@ -308,3 +309,50 @@ def test_defaults_and_columns(spark):
     assert tuple(R.fill_patient_defaults(df).first()) == (False, [], 1)
     with pytest.raises(ValueError, match="columns absent: \\['x'\\]"):
         R.require_columns(df, ["n", "x"])
+
+
+def brute_force_choice(items, cutoff, same_day):
+    """(text, k, first day) of the first usable note by stepping back day by day, or None."""
+    ordered = sorted(items, key=lambda n: (n[1] is not None, n[1].date() if n[1] else date.min, n[0]))
+    if cutoff is not None:
+        limit = cutoff if same_day == "reference" else datetime.combine(cutoff.date(), datetime.min.time())
+        ordered = [n for n in ordered if n[1] and datetime.combine(n[1].date(), datetime.min.time()) < limit]
+    if not ordered:
+        return None
+    current = ordered[-1]
+    first = current[1].date() if current[1] else None
+    for k in range(6):
+        if len(current[2]) >= 500:
+            return current[2], k, first if k else None
+        earlier = [n for n in ordered if current[1] and n[1] and n[1].date() < current[1].date()]
+        if not earlier:
+            return None
+        current = earlier[-1]
+    return None
+
+
+@pytest.mark.parametrize("same_day", ["reference", "exclude"])
+def test_fallback_matches_brute_force(spark, same_day):
+    pick = random.Random(17)
+    rows, cutoffs, seq = [], [], 0
+    for p in range(250):
+        for _ in range(pick.randint(0, 9)):
+            seq += 1
+            at = None if pick.random() < 0.1 else day(pick.randint(1, 9), pick.choice([0, 6, 18]))
+            rows.append((f"p{p}", seq, at, f"{LONG} note {seq}" if pick.random() < 0.35 else f"short {seq}"))
+        if pick.random() < 0.6:
+            at = None if pick.random() < 0.2 else day(pick.randint(2, 9), pick.choice([0, 12]))
+            cutoffs.append((f"p{p}", True, at, False, None))
+    pick.shuffle(rows)
+    chosen = C.censor_with_fallback(notes(spark, rows).repartition(7), flags(spark, cutoffs), same_day=same_day)
+    got = {
+        r["patient_id"]: (r["last_progress_note_censored"]["text"], r["attempts"], r["last_progress_note"]["original_date"])
+        for r in chosen.collect()
+    }
+    limits = {c[0]: c[2] for c in cutoffs}
+    want = {}
+    for p in {r[0] for r in rows}:
+        best = brute_force_choice([r[1:] for r in rows if r[0] == p], limits.get(p), same_day)
+        if best:
+            want[p] = best
+    assert got == want and {k for _, k, _ in want.values()} >= {0, 1, 2, 3}
