@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casewright.llm.html_text import extract_pages
 from casewright.llm.mixing import mix_sources
 from casewright.llm.quality import quality_scores
+from casewright.llm.quality_rules import LIMIT, RISK, RULES, quality_rules
+from casewright.llm.search import bm25_top_k
 from casewright.llm.simhash import simhash_groups
 from casewright.llm.substring_dedup import substring_dedup
+from casewright.llm.token_shards import pack_sequences, training_shards
 from casewright.llm.tokenizer import sentencepiece_encode
 from casewright.llm.toxicity import toxicity_scores
 
@@ -32,6 +36,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("row.doc_id", "ids", F.size("ids").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_shards(pack_sequences(_table(spark, sf_dir, "documents")))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_groups(_table(spark, sf_dir, "documents"))
     return found.select(
@@ -39,11 +47,22 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_pages(_table(spark, sf_dir, "pages"))
+    return found.select("row.page_id", "row.url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return scored.select("row.doc_id", "held_out", "score", "predicted")
 
 
+def op8_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose id is divisible by 50 is a query against all documents."""
+    docs = _table(spark, sf_dir, "documents")
+    return bm25_top_k(docs, docs.filter("doc_id % 50 = 0"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(_table(spark, sf_dir, "documents"))
     return mixed.select(
@@ -51,15 +70,31 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return judged.select(
+        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_token_shards": op4_token_shards,
     "op5_simhash": op5_simhash,
+    "op6_main_text": op6_main_text,
     "op7_quality": op7_quality,
+    "op8_bm25_search": op8_bm25_search,
     "op9_mix_sources": op9_mix_sources,
+    "op10_quality_rules": op10_quality_rules,
 }
 
+_CUTS = ", ".join(
+    f"('{rule}', {i}, {c})" for rule, cutoffs in RULES.items() for i, c in enumerate(sorted(cutoffs, reverse=True))
+)
+_METRICS = ", ".join(RULES)
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE = {
@@ -81,6 +116,20 @@ kept AS (
 SELECT docs.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
   sha256(coalesce(s, '')) AS kept_sha256
 FROM docs LEFT JOIN kept ON docs.doc_id = kept.doc_id""",
+    "op8_bm25_search": r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS term
+  FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term),
+lengths AS (SELECT doc_id, count(*) AS dl FROM words GROUP BY doc_id),
+stats AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM words) / (SELECT count(*) FROM documents) AS mean),
+idf AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, stats GROUP BY term, n),
+scores AS (
+  SELECT q.doc_id AS qid, d.doc_id, round(sum(q.tf * idf * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS score
+  FROM tf q JOIN tf d ON q.term = d.term JOIN idf ON q.term = idf.term JOIN lengths ON d.doc_id = lengths.doc_id, stats
+  WHERE q.doc_id % 50 = 0 GROUP BY q.doc_id, d.doc_id)
+SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores QUALIFY rank <= 10""",
     "op9_mix_sources": f"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size,
@@ -108,4 +157,50 @@ ranked AS (
 SELECT doc_id, size, source_size, target,
   CAST(size * (whole + CASE WHEN upto <= budget THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM ranked""",
+    "op10_quality_rules": f"""
+WITH docs AS (
+  SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t, {_WORDS} AS w,
+    [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\\x20\\x09-\\x0D]')] AS l
+  FROM documents),
+windows AS (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM docs),
+repeated AS (
+  SELECT doc_id, p FROM (
+    SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, w[p:p+4]) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT p + i) AS n FROM repeated, (SELECT unnest(range(5)) AS i) GROUP BY doc_id),
+base AS (
+  SELECT docs.doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words,
+    CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, len(l) AS n_lines,
+    CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words,
+    length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS capitals,
+    length(t) - length(translate(t, '!', '')) AS exclamations
+  FROM docs LEFT JOIN covered ON docs.doc_id = covered.doc_id),
+measured AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    n_symbols / greatest(word_chars, 1) AS symbol_share, n_dup_lines / greatest(n_lines, 1) AS dup_line_share,
+    n_repeat_words / greatest(n_words, 1) AS repeat_share, capitals / greatest(word_chars, 1) AS capital_share,
+    exclamations / greatest(n_words, 1) AS exclamation_share, word_chars / greatest(n_words, 1) AS mean_length
+  FROM base),
+long AS (UNPIVOT (SELECT doc_id, stratum, base_failed, {_METRICS} FROM measured) ON {_METRICS} INTO NAME rule VALUE x),
+truth AS (SELECT doc_id, CASE WHEN avg(quality) >= 0.5 THEN 1 ELSE 0 END AS y FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+cuts AS (SELECT * FROM (VALUES {_CUTS}) AS c(rule, step, cutoff)),
+counted AS (
+  SELECT stratum, long.rule, step, cutoff, sum(y) AS good,
+    sum(CASE WHEN x > cutoff THEN y ELSE 0 END) AS g, sum(CASE WHEN x > cutoff THEN 1 - y ELSE 0 END) AS b
+  FROM long JOIN truth ON long.doc_id = truth.doc_id JOIN cuts ON long.rule = cuts.rule
+  WHERE NOT base_failed GROUP BY stratum, long.rule, step, cutoff),
+tested AS (
+  SELECT *, CASE WHEN g > good * {LIMIT / len(RULES)} THEN 1.0 ELSE list_sum([exp(
+      lgamma(good + 1) - lgamma(i + 1) - lgamma(good - i + 1) + i * ln({LIMIT / len(RULES)}) + (good - i) * ln(1 - {LIMIT / len(RULES)}))
+      FOR i IN range(0, CAST(g AS BIGINT) + 1)]) END
+    <= {RISK / len(RULES)} / (SELECT count(DISTINCT stratum) FROM counted) AS passes
+  FROM counted),
+allowed AS (
+  SELECT * FROM (SELECT *, bool_and(passes) OVER (PARTITION BY stratum, rule ORDER BY step) AS ok FROM tested) WHERE ok AND b > g),
+best AS (SELECT stratum, rule, arg_max(cutoff, (b - g) * 100 - step) AS cutoff FROM allowed GROUP BY stratum, rule),
+failed AS (SELECT DISTINCT doc_id FROM long JOIN best ON long.stratum = best.stratum AND long.rule = best.rule WHERE x > cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM failed) AS kept
+FROM measured""",
 }
