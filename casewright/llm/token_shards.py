@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import functools
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +14,6 @@ from pyspark.sql import functions as F
 
 from casewright.llm import text as T
 from casewright.llm.chunks import chunk_bounds, chunk_of
-from casewright.llm.tokenizer import distinct_spans, gather
 from casewright.session import materialize
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -27,82 +25,15 @@ LENGTH = 1024  # ids in a sequence
 SHARD = 1024  # sequences in a shard
 ROUNDS = 4
 CHUNK_BYTES = 8 << 20
-CACHED = 2_000_000
-
-#: White space beyond ASCII, in UTF-8: texts with it are encoded whole, not word by word.
-_WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|[\x1c-\x1f]")
-
-
-class Ranks:
-    """A public byte-pair vocabulary; ids of words met before are remembered."""
-
-    def __init__(self, path: str, pattern: str = PATTERN, bound: int = CACHED):
-        import tiktoken
-
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.coder = tiktoken.Encoding("shards", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.bound = bound
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.flat, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
-
-    def encode(self, text: str) -> list[int]:
-        return self.coder.encode_ordinary(text)
-
-    def learn(self, words: list[bytes]) -> np.ndarray:
-        """The place of each word among the remembered."""
-        if len(self.place) > self.bound:
-            self.clear()
-        new = [w for w in words if w not in self.place]
-        if new:
-            lists = [self.encode(w.decode()) for w in new]
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-            self.flat = np.concatenate([self.flat, np.array([i for x in lists for i in x], np.int32)])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in lists])])
-        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-
 
 @functools.lru_cache(2)
-def ranks(path: str) -> Ranks:
-    return Ranks(path)
-
-
-def spaced_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spans that the split pattern never crosses: a word with the one space before it, and the
-    rest of each run of white space (its last character apart, if no space and a word follows)."""
-    gap = T.SPACE[data]
-    starts, ends = T.runs(~gap, offsets)
-    first = np.zeros(len(data), bool)
-    texts = offsets[:-1][np.diff(offsets) > 0]
-    first[texts] = True
-    first[ends[ends < len(data)]] = True
-    opening = np.zeros(len(data) + 1, bool)
-    opening[texts] = True
-    before = starts[~opening[starts]] - 1  # the white space in front of a word
-    first[before] = True
-    plain = data[before] != 32
-    first[before[plain] + 1] = True
-    at = np.flatnonzero(first)
-    return at, np.append(at[1:], len(data))[: len(at)]
-
+def coder(path: str):
+    """A public byte-pair vocabulary, from its rank file."""
+    import tiktoken
 
-def encode_texts(known: Ranks, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For runs of rows: first and last row, ids end to end, the offset of each row's ids."""
-    for lo, hi, data, offsets in T.pieces(column):
-        if _WIDE_SPACE.search(data.tobytes()):
-            view = data.tobytes()
-            lists = [known.encode(view[a:b].decode()) for a, b in zip(offsets[:-1], offsets[1:])]
-            yield lo, hi, np.array([i for x in lists for i in x], np.int64), np.cumsum([0, *map(len, lists)])
-            continue
-        starts, ends = spaced_words(data, offsets)
-        spans, place = distinct_spans(data, starts, ends)
-        where = known.learn(spans)[place]
-        sizes = known.ends[where + 1] - known.ends[where]
-        upto = np.concatenate([[0], np.cumsum(sizes)])
-        yield lo, hi, gather(known.flat, known.ends[where], sizes), upto[np.searchsorted(starts, offsets)]
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("shards", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def feistel(index: np.ndarray, n: int, seed: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -149,14 +80,11 @@ def pack_sequences(
     )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = ranks(path)
+        known, mark = coder(path), np.array([end], "<u2").tobytes()
         for batch in batches:
-            for lo, hi, ids, offsets in encode_texts(known, batch.column("_text")):
-                ids = np.insert(ids, offsets[1:], end).astype("<u2")
-                offsets = offsets + np.arange(len(offsets))
-                raw = [ids[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
-                others = [batch.column(c).slice(lo, hi - lo) for c in ("_key", "_hash", "chunk")]
-                yield pa.RecordBatch.from_arrays([*others, pa.array(raw, pa.binary())], ["_key", "_hash", "chunk", "tokens"])
+            raw = [known.encode_to_numpy(t.as_py(), disallowed_special=()).astype("<u2").tobytes() + mark for t in batch.column("_text")]
+            others = [batch.column(c) for c in ("_key", "_hash", "chunk")]
+            yield pa.RecordBatch.from_arrays([*others, pa.array(raw, pa.binary())], ["_key", "_hash", "chunk", "tokens"])
 
     def pack(table: pa.Table) -> pa.Table:
         table = table.sort_by([("_key", "ascending"), ("_hash", "ascending")])
