@@ -39,13 +39,13 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write the frame once as parquet in the shared folder and read it back.
 
     Later passes then read only the columns they need, and a lost executor re-reads
-    files instead of recomputing the job.
+    files instead of recomputing the job. ``compression="zstd"`` suits large binary columns.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/casewright/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
