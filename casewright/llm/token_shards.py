@@ -120,7 +120,7 @@ def training_shards(sequences: DataFrame, seed: int = 1, per_shard: int = SHARD)
     plus its own. The permutation of all numbers gives its slot; shard s holds the slots from
     s * per_shard on. No sequences give no shards.
     """
-    stored = materialize(sequences)
+    stored = materialize(sequences, compression="zstd")
     before = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     sizes = stored.groupBy("chunk").agg(F.count("*").alias("n"))  # one row per chunk
     total = sizes.agg(F.sum("n")).first()[0] or 0
