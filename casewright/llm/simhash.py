@@ -15,6 +15,7 @@ from casewright.llm.components import components
 from casewright.session import materialize
 
 TILE = 4096
+PAIRS = 64  # pairs of tiles that a task compares
 SEED = 42
 
 
@@ -105,6 +106,8 @@ def near_links(prints: DataFrame, radius: int = 4, tile: int = TILE) -> DataFram
     ]
     celled = prints.select("fp", F.array(*counts).alias("cell"))
     sizes = celled.groupBy("cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("cuts"))
+    if parts <= 4:
+        sizes = F.broadcast(sizes)  # at most 17 ** 4 cells; without it a large cell would be one task's
     tiles = materialize(
         celled.join(sizes, "cell")
         .groupBy("cell", F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int").alias("cut"))
@@ -122,6 +125,7 @@ def near_links(prints: DataFrame, radius: int = 4, tile: int = TILE) -> DataFram
         pairs.join(tiles.select(F.col("id").alias("ida"), F.col("fps").alias("left")), "ida")
         .join(tiles.select(F.col("id").alias("idb"), F.col("fps").alias("right")), "idb")
         .select("left", "right")
+        .repartition(max(1, -(-pairs.count() // PAIRS)))  # by work, which the bytes of a pair don't show
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
