@@ -80,13 +80,21 @@ def fit(ids: np.ndarray, ends: np.ndarray, y: np.ndarray) -> dict:
     """
     if len(y) == 0 or y.min() == y.max():
         return {"ids": np.zeros(0, np.int64), "w": np.zeros(1), "r": np.zeros(0), "a": 0.0, "b": float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))}
-    known, cols, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    kept = counts >= MIN_DOCS
-    place = np.cumsum(kept) - 1
-    owner = np.repeat(np.arange(len(y)), np.diff(ends))
-    inside = kept[cols]
-    cols, owner = place[cols[inside]], owner[inside]
-    known = known[kept].astype(np.int64)
+    ranked = np.sort(ids)
+    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]) if len(ranked) else np.zeros(0, bool))
+    known = ranked[first][np.diff(np.append(first, len(ranked))) >= MIN_DOCS]
+    del ranked
+    owner = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(ends))
+    cols = [np.zeros(0, np.int32)]  # places among the known, in parts: only the kept ones are held
+    rows = [np.zeros(0, np.int32)]
+    for at in range(0, len(ids), 1 << 21):
+        some = ids[at : at + (1 << 21)]
+        place = np.searchsorted(known, some)
+        hit = np.flatnonzero(known[np.minimum(place, max(len(known) - 1, 0))] == some) if len(known) else place[:0]
+        cols.append(place[hit].astype(np.int32))
+        rows.append(owner[at : at + (1 << 21)][hit])
+    cols, owner, known = np.concatenate(cols), np.concatenate(rows), known.astype(np.int64)
+    del ids, rows
     n = len(known)
     ratio = log_count_ratio(cols, owner, y, n)
     ends = np.searchsorted(owner, np.arange(len(y) + 1))

@@ -15,9 +15,9 @@ from casewright.llm.features import lists
 
 MARK = "▁"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
-PAIRS = 1_000_000  # pairs of pieces that a worker remembers
-CACHED = 2_000_000  # distinct words whose ids a worker remembers
-GROUP = 64 << 20  # bytes of text whose distinct words are walked together
+PAIRS = 250_000  # pairs of pieces that a worker remembers
+CACHED = 500_000  # distinct words whose ids a worker remembers
+GROUP = 32 << 20  # bytes of text whose distinct words are walked together
 
 
 class Pieces:
