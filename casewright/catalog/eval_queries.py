@@ -59,7 +59,7 @@ def auc_by_length(spark, d):
     lengths = A.table(spark, d, "documents").select(F.col("doc_id").alias("llm_caseID"), "n_chars")
     scored = A.document_cases(spark, d).join(lengths, "llm_caseID").filter(F.col("had_surgery").isNotNull())
     labelled = scored.withColumn("actual_surgery", F.col("had_surgery").cast("int"))
-    return M.roc_auc(labelled, score="n_chars", by=["has_radiology"], many_scores=True)
+    return M.roc_auc(labelled, score="n_chars", by=["has_radiology"])
 
 
 def metrics_display(spark, d):
@@ -85,7 +85,7 @@ def _coverage_cases(spark, d):
     return A.document_cases(spark, d).select("llm_caseID", "formatted_radiology_text", "has_radiology")
 
 
-EDGES = [0, 250, 500, 1000, 20000]
+EDGES = [0, 250, 500, 750]  # the tables have ids beyond the last one
 
 
 def coverage(spark, d):
@@ -333,11 +333,12 @@ SELECT rule, finding FROM rules WHERE finding IS NOT NULL""",
             _range(f"{lo}::BIGINT", f"{hi}::BIGINT", f"WHERE id >= {lo} AND id < {hi} HAVING count(*) > 0")
             for lo, hi in zip(EDGES, EDGES[1:])
         ]
+        + [_range(f"{EDGES[-1]}::BIGINT", "NULL::BIGINT", f"WHERE id >= {EDGES[-1]} HAVING count(*) > 0")]
     ),
     "coverage_agreement": f"""SELECT count(*) FILTER (WHERE valid) AS rendered, count(*) FILTER (WHERE valid) AS prepared,
   true AS agree FROM ({_VALID}) v""",
     "range_buckets": """SELECT CASE WHEN n_chars >= 0 AND n_chars < 5000 THEN 0 WHEN n_chars >= 5000 AND n_chars < 10000 THEN 1
-  WHEN n_chars >= 10000 AND n_chars < 15000 THEN 2 WHEN n_chars >= 15000 AND n_chars < 20000 THEN 3 END AS bucket,
+  WHEN n_chars >= 10000 AND n_chars < 15000 THEN 2 WHEN n_chars >= 15000 AND n_chars < 20000 THEN 3 WHEN n_chars >= 20000 THEN 4 END AS bucket,
   count(*) AS n FROM documents GROUP BY ALL""",
     "display_formats": f"""WITH {_EV}, {_BY} SELECT "group", format('{{:.1f}}%', accuracy * 100) AS accuracy_pct,
   format('{{:.3f}}', recall) AS recall_3, format('{{:+.3f}}', precision - recall) AS gap_3,

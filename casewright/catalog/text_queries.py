@@ -84,13 +84,11 @@ def prepared_cases(spark, d):
     cases, prepared = prepare_cases(A.clinical_tables(spark, d), CASES)
     rendered = cases.select(
         "llm_caseID",
-        "part",
         F.md5("formatted_progress_text").alias("note_md5"),
         F.md5("formatted_radiology_text").alias("report_md5"),
     )
     return prepared.select(
         "llm_caseID",
-        "part",
         "patient_id",
         "had_surgery",
         "had_endoscopy",
@@ -101,7 +99,7 @@ def prepared_cases(spark, d):
         day_str(F.col("last_progress_note.date")).alias("note_day"),
         day_str(F.col("last_progress_note.original_date")).alias("original_day"),
         "matched_text",
-    ).join(rendered, ["llm_caseID", "part"])
+    ).join(rendered, "llm_caseID")
 
 
 def _event_cases(spark, d):
@@ -109,11 +107,10 @@ def _event_cases(spark, d):
     flags = _flags(spark, d)
     last = C.last_note(A.event_items(spark, d, "view"), flags, title="view")
     imaging = C.collect_history(
-        A.event_items(spark, d, "error"), "radiology_reports", cutoffs=flags.select("patient_id", "first_surgery_date")
+        A.event_items(spark, d, "error"), "radiology_reports", cutoffs=flags.select("patient_id", "first_surgery_date"), max_items=None
     ).filter(has_items(F.col("radiology_reports")))
     return last.join(imaging, "patient_id", "full").select(
         F.col("patient_id").alias("llm_caseID"),
-        F.coalesce("part", F.lit(0)).alias("part"),
         F.col("last_progress_note").alias("last_progress_note_censored"),
         "radiology_reports",
     )
@@ -121,7 +118,7 @@ def _event_cases(spark, d):
 
 def format_cases(spark, d):
     cases = _event_cases(spark, d)
-    return K.case_frame(cases, keep=("part", has_items(F.col("radiology_reports")).alias("has_radiology")))
+    return K.case_frame(cases, keep=(has_items(F.col("radiology_reports")).alias("has_radiology"),))
 
 
 def _doc_prompt(build):
@@ -361,7 +358,7 @@ full_cases AS (SELECT row_number() OVER (ORDER BY kept.patient_id) AS case_no, k
   f.first_surgery_date, coalesce(r.n_reports, 0) > 0 AS has_radiology, r.report, c.day, c.k, c.first_day, c.text, c.matched, s.lang
   FROM kept LEFT JOIN pflags f USING (patient_id) LEFT JOIN reps r USING (patient_id)
   LEFT JOIN chosen c USING (patient_id) LEFT JOIN src s ON c.doc_id = s.doc_id)
-SELECT case_no AS "llm_caseID", CAST(0 AS BIGINT) AS part, patient_id, had_surgery, had_endoscopy, first_surgery_date,
+SELECT case_no AS "llm_caseID", patient_id, had_surgery, had_endoscopy, first_surgery_date,
   had_surgery AND first_surgery_date IS NULL AS cutoff_missing, n_notes, has_radiology, strftime(day, '%Y-%m-%d') AS note_day,
   CASE WHEN k > 0 THEN strftime(first_day, '%Y-%m-%d') END AS original_day, matched AS matched_text,
   md5(CASE WHEN text IS NULL THEN {S.quoted(vocab.NO_NOTE)} ELSE trim('Date: ' || strftime(day, '%Y-%m-%d')
@@ -378,7 +375,7 @@ r AS (SELECT r.patient_id, string_agg({_ENTRY.format(day="day", type="'error'",
     chr(10) || chr(10) ORDER BY day, note_seq) AS report
   FROM reports r LEFT JOIN flags f USING (patient_id)
   WHERE f.first_surgery_date IS NULL OR r.date < f.first_surgery_date GROUP BY r.patient_id)
-SELECT patient_id AS "llm_caseID", CAST(0 AS BIGINT) AS part, coalesce(report, {_REPORT}) AS formatted_radiology_text,
+SELECT patient_id AS "llm_caseID", coalesce(report, {_REPORT}) AS formatted_radiology_text,
   coalesce(note, {S.quoted(vocab.NO_NOTE)}) AS formatted_progress_text, report IS NOT NULL AS has_radiology
 FROM l FULL JOIN r USING (patient_id)""",
     "prompt_zero_shot": _prompt_sql(templates.ZERO_SHOT),

@@ -104,8 +104,6 @@ def censor_plan(
     phrases: Sequence[Phrase] = vocab.PHRASES,
     *,
     min_len: int = vocab.MIN_TEXT_CHARS,
-    max_len: int | None = None,
-    max_chunk: int | None = None,
     min_ws: int = vocab.CHUNK_WHITESPACE,
     split_on: str | None = None,
     joiner: str | None = None,
@@ -115,8 +113,7 @@ def censor_plan(
     Returns struct(text, pattern, matched, cut_chunk). A chunk belongs to its first
     phrase in priority order. The earliest strong chunk decides; without one, the
     latest weak chunk does. Texts under ``min_len`` characters become empty. Whole texts
-    are searched; with ``**vocab.LENGTH_LIMITS`` texts over ``max_len`` are shortened
-    first and chunks over ``max_chunk`` are not searched.
+    are searched.
     """
     ordered = sorted(phrases, key=lambda p: p.priority)
     strong = [n for n, p in enumerate(ordered) if p.strength == "strong"]
@@ -133,8 +130,7 @@ def censor_plan(
         )
 
     def phrase_no(chunk):
-        found = _first_match(chunk, ordered, lambda n, _: F.lit(n))
-        return found if max_chunk is None else F.when(F.length(chunk) <= max_chunk, found)
+        return _first_match(chunk, ordered, lambda n, _: F.lit(n))
 
     def hits(parts):
         labelled = F.transform(
@@ -160,8 +156,7 @@ def censor_plan(
             ),
         )
 
-    whole = c if max_len is None else F.when(F.length(c) > max_len, F.substring(c, 1, max_len)).otherwise(c)
-    searched = let(whole, lambda text: let(chunks(text, min_ws, split_on), lambda parts: cut(text, parts)))
+    searched = let(c, lambda text: let(chunks(text, min_ws, split_on), lambda parts: cut(text, parts)))
     return (
         F.when(c.isNull(), outcome(F.lit(None).cast("string")))
         .when(F.length(strip_ws(c)) < min_len, outcome(F.lit("")))

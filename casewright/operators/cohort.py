@@ -72,20 +72,24 @@ def collect_history(
     Undated items come first and ``seq`` breaks ties. ``cutoffs`` (key, cutoff) keeps the
     items before the key's cutoff; a key left without items still has a row. Nearly all
     keys have the one part 0. A history over ``max_items`` continues in further rows, so
-    that no row or task has to hold more than that many items. Cutoffs join the nested
-    rows, after the parts have spread a heavy key.
+    that no row or task has to hold more than that many items; None keeps it in one row.
+    The cutoff applies first: parts hold only items before it, and later ones are not nested.
     """
     dated = df.withColumn("_day", F.to_date("date"))
     item = F.struct(
         F.col("_day").alias("day"), F.col(seq).alias("seq"), F.col("date").alias("at"),
         F.col("type"), F.col("title"), F.col("text"),
     )
+    order = ["_day"]
+    if cutoffs is not None:
+        kept = before_cutoff(F.col("date"), F.col("_cutoff"))
+        dated = dated.join(cutoffs.toDF(key, "_cutoff"), key, "left")
+        dated = dated.withColumn("_late", ~F.coalesce(kept, F.lit(False))).drop("_cutoff")
+        item, order = F.when(~F.col("_late"), item), ["_late", "_day"]
     ordered = F.array_sort(F.collect_list(item)).alias("_items")
-    nested = group_in_parts(dated, key, ["_day"], seq, ordered, max_items)
+    nested = group_in_parts(dated, key, order, seq, ordered, max_items)
+    nested = nested.filter((F.col("part") == 0) | (F.size("_items") > 0))
     items = F.col("_items")
-    if cutoffs is not None:
-        nested = nested.join(cutoffs.toDF(key, "_cutoff"), key, "left")
-        items = F.filter(items, lambda i: before_cutoff(i["at"], F.col("_cutoff")))
     shown = F.transform(
         items,
         lambda i: F.struct(

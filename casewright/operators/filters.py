@@ -133,10 +133,10 @@ def is_correct(actual: Column, pred: Column) -> Column:
 
 
 def range_bucket(c: Column, edges: Sequence[int] = vocab.CASE_RANGE_EDGES) -> Column:
-    """Number (from 0) of the half-open range [edge, next edge) holding the value, else null."""
+    """Number (from 0) of the half-open range [edge, next edge) holding the value; the last has no end."""
     result = F.lit(None).cast("int")
-    for n, (lo, hi) in reversed(list(enumerate(zip(edges, edges[1:])))):
-        result = F.when((c >= lo) & (c < hi), F.lit(n)).otherwise(result)
+    for n, lo in enumerate(edges):
+        result = F.when(c >= lo, F.lit(n)).otherwise(result)
     return result
 
 

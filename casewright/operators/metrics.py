@@ -92,16 +92,12 @@ def binary_metrics(df: DataFrame, actual: str = ACTUAL, pred: str = PRED) -> Dat
     return _with_metrics(eval_counts(df, (), actual, pred, None).agg(*_cells()))
 
 
-def _auc(histogram: DataFrame, by: Sequence[str], many_scores: bool) -> DataFrame:
-    """Mann-Whitney AUC from a score histogram (columns by..., score, pos, neg)."""
-    if many_scores:
-        ranked = total_before(histogram, by, "score", "neg", "below")
-    else:
-        below = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-        ranked = histogram.withColumn("below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+def _auc(histogram: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Mann-Whitney AUC from a score histogram (columns by..., score, pos, neg, rated)."""
+    ranked = total_before(histogram, by, "score", "neg", "below")
     wins = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
-    return ranked.groupBy(*by).agg(F.try_divide(wins, pairs).alias("auc_roc"))
+    return ranked.groupBy(*by).agg(F.when(F.sum("rated") > 0, F.try_divide(wins, pairs)).alias("auc_roc"))
 
 
 def roc_auc(
@@ -109,19 +105,18 @@ def roc_auc(
     actual: str = ACTUAL,
     score: Column | str | None = None,
     by: Sequence[str] = (),
-    many_scores: bool = False,
 ) -> DataFrame:
-    """ROC-AUC with ties counted half; null when one class is absent.
+    """ROC-AUC with ties counted half; null when one class is absent or no case is rated.
 
     The score defaults to confidence/10 with missing confidence as the middle. It is
-    grouped first, so the ranking sees one row per distinct score: a handful for
-    confidence levels. ``many_scores`` ranks by a distributed sort, for continuous scores.
+    grouped first; the distinct scores are ranked by a distributed sort.
     """
     value = confidence_score(F.col(CONFIDENCE)) if score is None else F.col(score) if isinstance(score, str) else score
+    rated = F.count(CONFIDENCE) if score is None else F.count("*")
     histogram = df.groupBy(*by, value.alias("score")).agg(
-        F.count_if(F.col(actual) == 1).alias("pos"), F.count_if(F.col(actual) == 0).alias("neg")
+        rated.alias("rated"), F.count_if(F.col(actual) == 1).alias("pos"), F.count_if(F.col(actual) == 0).alias("neg")
     )
-    return _auc(histogram, by, many_scores)
+    return _auc(histogram, by)
 
 
 def directional_score(pred: str = PRED) -> Column:
@@ -256,7 +251,8 @@ def value_distribution(df: DataFrame, cols: Sequence[str] = (ACTUAL, PRED, STRAT
     counts = df.groupBy(*cols).agg(F.count("*").alias("n"))
     entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])
     values = counts.select(F.explode(entries).alias("e"), "n").groupBy("e.column", "e.value").agg(F.sum("n").alias("n"))
-    whole = counts.agg(F.sum("n").alias("n")).scalar()
+    # every column's values add up to all cases
+    whole = F.sum("n").over(Window.partitionBy("column"))
     return values.select("column", "value", "n", ratio(F.col("n"), whole).alias("share"))
 
 

@@ -22,14 +22,13 @@ def score(
     prompt: str = "prompt",
     concurrency: int | None = None,
 ) -> DataFrame:
-    """(key, part, api_response, error, provider, model_name) for every prompt.
+    """(key, api_response, error, provider, model_name) for every prompt.
 
     The responder is any serialisable callable from prompt text to answer text. A
     failing call fills ``error`` and does not fail the task. ``concurrency`` sets the
     number of partitions, i.e. of simultaneous callers at most.
     """
-    part = F.col("part") if "part" in prompts.columns else F.lit(0)
-    work = prompts.select(key, part.cast("bigint").alias("part"), prompt)
+    work = prompts.select(key, prompt)
     if concurrency is not None:
         work = work.repartition(concurrency, key)
 
@@ -43,9 +42,9 @@ def score(
                 except Exception as failure:
                     answers.append(None)
                     errors.append(f"Error: {failure}")
-            yield batch[[key, "part"]].assign(api_response=answers, error=errors)
+            yield batch[[key]].assign(api_response=answers, error=errors)
 
-    schema = T.StructType([work.schema[key], work.schema["part"]])
+    schema = T.StructType([work.schema[key]])
     schema = schema.add("api_response", T.StringType()).add("error", T.StringType())
     return work.mapInPandas(ask, schema).withColumns(
         {"provider": F.lit(provider), "model_name": F.lit(model_name)}

@@ -46,7 +46,6 @@ class CaseConfig:
     max_back: int = vocab.MAX_FALLBACK_NOTES
     same_day: str = "reference"
     limits: Mapping = field(default_factory=dict)
-    max_reports: int = 10_000
 
 
 def select_cases(
@@ -56,9 +55,9 @@ def select_cases(
 
     Patients come from the clinical notes. Those without a titled note stay, with a null
     note; those whose notes all come out blank are dropped. Histories are not collected
-    for the selection: winners are picked on keys, and only their texts are joined. A
-    patient with over ``max_reports`` reports has further rows, ``part`` 1, 2, ..., that
-    continue them. Pass ``flags`` to use event flags that are already stored.
+    for the selection: winners are picked on keys, and only their texts are joined. All
+    reports before the cutoff are in the patient's one row, as they go into one prompt.
+    Pass ``flags`` to use event flags that are already stored.
     """
     key = "patient_id"
     all_notes = tables["clinical_note"]
@@ -85,14 +84,11 @@ def select_cases(
         "radiology_reports",
         key,
         cutoffs=flags.select(key, "first_surgery_date"),
-        max_items=cfg.max_reports,
+        max_items=None,
     )
-    first = people.join(imaging.filter(F.col("part") == 0), key, "left")
-    first = first.filter((F.col("n_notes") > 0) | F.col("part").isNotNull())
-    further = imaging.filter(F.col("part") > 0).join(people, key)
-    return fill_patient_defaults(expand_choice(first.unionByName(further))).withColumns(
+    kept = people.join(imaging, key, "left").filter((F.col("n_notes") > 0) | F.col("part").isNotNull()).drop("part")
+    return fill_patient_defaults(expand_choice(kept)).withColumns(
         {
-            "part": F.coalesce(F.col("part"), F.lit(0)),
             "cutoff_missing": F.col("had_surgery") & F.col("first_surgery_date").isNull(),
             "has_radiology": has_items(F.col("radiology_reports")),
         }
@@ -111,4 +107,4 @@ def prepare_cases(
     flags = materialize(index_event_flags(tables["procedures"], cfg.event_sets, "patient_id", cfg.code_system))
     selected = materialize(select_cases(tables, cfg, flags))
     prepared = number_cases(selected, ["patient_id"])
-    return case_frame(prepared, keep=("part",)), prepared
+    return case_frame(prepared), prepared

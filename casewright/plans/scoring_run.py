@@ -15,7 +15,8 @@ from casewright.operators.filters import require_columns
 from casewright.operators.numbering import train_test_split_ordered
 from casewright.operators.progress import dedup_results, pending
 from casewright.operators.scoring import Responder, score
-from casewright.sources.results import PRIORITY, append_results, read_results, write_latest
+from casewright.session import materialize
+from casewright.sources.results import PRIORITY, append_results, read_results, write_final, write_latest
 
 CASE_COLUMNS = [f.name for f in schemas.CASE]
 
@@ -25,7 +26,6 @@ def parsed_results(scored: DataFrame, parser: Callable[[Column], Column] = parse
     parsed = scored.withColumn("_answer", parser(F.col("api_response")))
     return parsed.select(
         "llm_caseID",
-        "part",
         F.col("_answer.decision").alias("decision"),
         F.col("_answer.confidence").alias("confidence"),
         F.coalesce(F.col("error"), F.col("_answer.reasoning")).alias("reasoning"),
@@ -50,13 +50,19 @@ def run_scoring(
     concurrency: int | None = None,
     latest: str | None = None,
     latest_every: int = 5,
+    retry_failed: bool = False,
+    final: str | None = None,
 ) -> DataFrame:
     """Score the cases that have no stored result of this model and return all results.
 
     Each of the ``rounds`` appends its share of the pending cases as one committed
     write, so a stopped run loses at most one round. Later duplicates of a case lose
     to the earliest stored result. Run ids should sort in time order. ``latest`` names a
-    snapshot of all results so far, overwritten every ``latest_every`` rounds.
+    snapshot of all results so far, overwritten every ``latest_every`` rounds and after
+    the last one; each is also kept as ``<latest>_after_batch_NNN``. ``retry_failed`` asks
+    again about cases without any stored answer, and an answer then wins over earlier failures.
+    ``final`` names the folder for the combined result at the end of the run. Pending cases
+    of several rounds are written once, by round, and each round reads its share.
     """
     require_columns(cases, CASE_COLUMNS)
     spark = cases.sparkSession
@@ -66,17 +72,26 @@ def run_scoring(
         return found.filter((F.col("provider") == provider) & (F.col("model_name") == model_name))
 
     def combined() -> DataFrame:
-        return dedup_results(stored(), PRIORITY).drop("stored_in", "part")
+        found = stored().withColumn("_failed", F.col("api_response").isNull() if retry_failed else F.lit(False))
+        return dedup_results(found, ["_failed", *PRIORITY]).drop("stored_in", "_failed")
 
-    todo = pending(cases, stored())
+    done = stored().filter("api_response IS NOT NULL") if retry_failed else stored()
+    todo = pending(cases, done)
+    if rounds > 1:
+        todo = materialize(todo.withColumn("_round", F.pmod(F.xxhash64("llm_caseID"), F.lit(rounds))), by="_round")
     for n in range(rounds):
-        share = todo if rounds == 1 else todo.filter(F.pmod(F.xxhash64("llm_caseID"), F.lit(rounds)) == n)
+        share = todo if rounds == 1 else todo.filter(F.col("_round") == n).drop("_round")
+        if concurrency is not None:  # cases are dealt before prompts are rendered, which are longer
+            share = share.repartition(concurrency, "llm_caseID")
         scored = score(
-            build_prompts(share), responder, provider=provider, model_name=model_name, concurrency=concurrency
+            build_prompts(share), responder, provider=provider, model_name=model_name
         )
         append_results(parsed_results(scored, parser), store, run_id)
-        if latest is not None and (n + 1) % latest_every == 0:
+        if latest is not None and ((n + 1) % latest_every == 0 or n + 1 == rounds):
+            write_latest(combined(), f"{latest}_after_batch_{n + 1:03d}")
             write_latest(combined(), latest)
+    if final is not None:
+        write_final(combined(), final, provider, model_name, run_id)
     return combined()
 
 

@@ -40,7 +40,7 @@ CASE = _strings(StructType().add("llm_caseID", LongType()), "formatted_radiology
 RESULT = _strings(
     StructType().add("llm_caseID", LongType()).add("decision", StringType()).add("confidence", DoubleType()),
     "reasoning", "api_response", "parse_status", "provider", "model_name", "run_id",
-).add("part", LongType())
+)
 
 TABLES = {
     "clinical_note": NOTE,

@@ -10,13 +10,14 @@ from casewright import schemas
 from casewright.functions.answers import path_safe_name
 from casewright.sources.tables import empty, is_absent
 
-PRIORITY = ["run_id", "part", "stored_in"]
+PRIORITY = ["run_id", "stored_in"]
 
 
-def read_results(spark: SparkSession, path: str, skip_unreadable: bool = True) -> DataFrame:
+def read_results(spark: SparkSession, path: str, skip_unreadable: bool = False) -> DataFrame:
     """All stored results with the file they came from; none yet gives an empty frame.
 
-    Deduplicate by ``PRIORITY``: earlier runs win, then the first part of a case.
+    Deduplicate by ``PRIORITY``: earlier runs win. An unreadable file fails the read;
+    ``skip_unreadable`` leaves such files, and the answers in them, out.
     """
     try:
         stored = (
@@ -36,8 +37,7 @@ def read_results(spark: SparkSession, path: str, skip_unreadable: bool = True) -
 def append_results(df: DataFrame, path: str, run_id: str) -> None:
     """Add a batch of results; partitioned so one provider or run can be read alone."""
     names = [f.name for f in schemas.RESULT]
-    part = F.col("part") if "part" in df.columns else F.lit(0)
-    stamped = df.withColumns({"run_id": F.lit(run_id), "part": part.cast("bigint")}).select(*names)
+    stamped = df.withColumn("run_id", F.lit(run_id)).select(*names)
     stamped.write.mode("append").partitionBy("provider", "run_id").parquet(path)
 
 

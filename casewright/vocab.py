@@ -118,7 +118,6 @@ UNPARSEABLE = "Failed to parse response"
 NO_RESPONSE = "No response from API"
 
 MIN_TEXT_CHARS = 500
-LENGTH_LIMITS = {"max_len": 100_000, "max_chunk": 50_000}
 CHUNK_WHITESPACE = 5
 MAX_FALLBACK_NOTES = 5
 

@@ -239,15 +239,16 @@ def test_prepare_cases(spark, partitions):
     assert text[3]["formatted_progress_text"] == vocab.NO_NOTE and text[5]["formatted_radiology_text"] == vocab.NO_REPORTS
 
 
-def test_prepared_reports_continue_in_parts(spark):
-    cases, prepared = prepare_cases(clinical(spark), CaseConfig(max_reports=1))
-    whole, _ = prepare_cases(clinical(spark))
-    texts = {(r["llm_caseID"], r["part"]): r for r in cases.collect()}
-    one = {r["llm_caseID"]: r for r in whole.collect()}
-    assert set(texts) == {(1, 0), (1, 1), (2, 0), (3, 0), (4, 0), (5, 0)}
-    joined = "\n\n".join(texts[(1, p)]["formatted_radiology_text"] for p in (0, 1))
-    assert joined == one[1]["formatted_radiology_text"]
-    assert {texts[(1, p)]["formatted_progress_text"] for p in (0, 1)} == {one[1]["formatted_progress_text"]}
+@pytest.mark.parametrize("size", [1, 2, 3, 100])
+def test_cutoff_comes_before_parts(spark, size):
+    reports = spark.createDataFrame(
+        [("p", n, "CT", "T", None if n < 3 else datetime(2024, 1, n), f"r{n}") for n in range(7)],
+        "patient_id string, note_seq bigint, type string, title string, date timestamp_ntz, text string",
+    )
+    cutoff = spark.createDataFrame([("p", datetime(2024, 1, 6))], "patient_id string, at timestamp_ntz")
+    found = C.collect_history(reports, "items", cutoffs=cutoff, max_items=size).orderBy("part").collect()
+    assert [i["text"] for r in found for i in r["items"]] == ["r3", "r4", "r5"]
+    assert all(r["items"] for r in found)
 
 
 def test_profile(spark):

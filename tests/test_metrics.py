@@ -80,7 +80,7 @@ def test_auc(spark):
     negated = M.roc_auc(df, score=-F.coalesce("confidence", F.lit(5.0))).first()[0]
     assert negated == pytest.approx(1 - auc(rows), abs=1e-12)
     unrated = frame(spark, [(1, 1, None, True), (0, 0, None, False)])
-    assert M.roc_auc(unrated).first()[0] == 0.5
+    assert M.roc_auc(unrated).first()[0] is None
     assert {r["auc_roc"] for r in M.metrics_by(unrated).collect()} == {None}
     flipped = [(a, p, (10 - (5.0 if c is None else c) if p == 0 else c), r) for a, p, c, r in rows]
     assert M.roc_auc(df, score=M.directional_score()).first()[0] == pytest.approx(auc(flipped), abs=1e-9)
@@ -90,8 +90,8 @@ def test_auc_of_many_scores(spark):
     pick = random.Random(21)
     rows = [(int(pick.random() < 0.5), 0, round(pick.random(), 3), pick.choice([True, True, False, None])) for _ in range(600)]
     df = frame(spark, rows).repartition(5)
-    assert M.roc_auc(df, score="confidence", many_scores=True).first()[0] == pytest.approx(auc([(a, 0, c * 10, r) for a, _, c, r in rows]), abs=1e-12)
-    got = {r["has_radiology"]: r["auc_roc"] for r in M.roc_auc(df, score="confidence", by=["has_radiology"], many_scores=True).collect()}
+    assert M.roc_auc(df, score="confidence").first()[0] == pytest.approx(auc([(a, 0, c * 10, r) for a, _, c, r in rows]), abs=1e-12)
+    got = {r["has_radiology"]: r["auc_roc"] for r in M.roc_auc(df, score="confidence", by=["has_radiology"]).collect()}
     for side in (True, False, None):
         assert got[side] == pytest.approx(auc([(a, 0, c * 10, r) for a, _, c, r in rows if r is side]), abs=1e-12)
 
@@ -198,8 +198,8 @@ def test_buckets_and_coverage(spark):
         "llm_caseID bigint, formatted_radiology_text string",
     )
     got = {r["range_lo"]: (r["total"], r["with_imaging"], r["first_valid"], r["last_valid"]) for r in M.coverage_report(df).collect()}
-    assert got == {None: (6, 3, 0, 20000), 0: (2, 1, 0, 0), 5000: (2, 1, 7000, 7000), 15000: (1, 0, None, None)}
-    assert [r[0] for r in df.select(R.range_bucket(F.col("llm_caseID")), "llm_caseID").orderBy("llm_caseID").collect()] == [0, 0, 1, 1, 3, None]
+    assert got == {None: (6, 3, 0, 20000), 0: (2, 1, 0, 0), 5000: (2, 1, 7000, 7000), 15000: (1, 0, None, None), 20000: (1, 1, 20000, 20000)}
+    assert [r[0] for r in df.select(R.range_bucket(F.col("llm_caseID")), "llm_caseID").orderBy("llm_caseID").collect()] == [0, 0, 1, 1, 3, 4]
 
 
 def test_distribution(spark):

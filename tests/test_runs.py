@@ -105,20 +105,21 @@ def test_earlier_results_win_over_duplicates(spark, tmp_path):
     assert {(r["reasoning"], r["count"]) for r in kept.groupBy("reasoning").count().collect()} == {("early", 5)}
 
 
-def test_snapshot_every_other_round(spark, tmp_path):
+def test_snapshots_of_a_run(spark, tmp_path):
     store, latest = f"{tmp_path}/store", f"{tmp_path}/latest"
-    run_scoring(cases(spark), store, total, run_id="run-1", rounds=3, latest=latest, latest_every=2, **RUN)
-    seen = spark.read.parquet(latest).count()
-    assert 0 < seen < 40 == S.read_results(spark, store).count()
+    run_scoring(cases(spark), store, total, run_id="run-1", rounds=3, latest=latest, latest_every=2, final=str(tmp_path), **RUN)
+    assert spark.read.parquet(latest).count() == 40 == S.read_results(spark, store).count()
+    early = spark.read.parquet(f"{latest}_after_batch_002").count()
+    assert 0 < early < 40 == spark.read.parquet(f"{latest}_after_batch_003").count()
+    assert spark.read.parquet(S.final_path(str(tmp_path), RUN["provider"], RUN["model_name"], "run-1")).count() == 40
 
 
-def test_parts_of_a_case_are_all_scored(spark, tmp_path):
+def test_failed_calls_can_be_retried(spark, tmp_path):
     store = f"{tmp_path}/store"
-    parted = cases(spark, 3).withColumn("part", F.explode(F.array(*[F.lit(n).cast("bigint") for n in (2, 0, 1)])))
-    got = run_scoring(parted, store, total, run_id="run-1", rounds=2, **RUN)
-    assert got.count() == 3
-    assert rows(S.read_results(spark, store).select("llm_caseID", "part")) == [(c, p) for c in (1, 2, 3) for p in (0, 1, 2)]
-    assert rows(P.dedup_results(S.read_results(spark, store), S.PRIORITY).select("part").distinct()) == [(0,)]
+    run_scoring(cases(spark, 6), store, failing, run_id="run-1", **RUN)
+    assert run_scoring(cases(spark, 6), store, total, run_id="run-2", **RUN).filter("decision IS NULL").count() == 3
+    again = run_scoring(cases(spark, 6), store, total, run_id="run-3", retry_failed=True, **RUN)
+    assert again.count() == 6 and again.filter("decision = 'Yes'").count() == 6
 
 
 def test_unreadable_files_are_skipped(spark, tmp_path):
@@ -127,7 +128,9 @@ def test_unreadable_files_are_skipped(spark, tmp_path):
     run_scoring(cases(spark, 3), store, total, run_id="run-1", **RUN)
     broken = tmp_path / "store" / "provider=stub" / "run_id=run-1" / "part-broken.parquet"
     broken.write_bytes(b"not parquet at all")
-    assert S.read_results(spark, store).count() == 3
+    assert S.read_results(spark, store, skip_unreadable=True).count() == 3
+    with pytest.raises(Exception, match="part-broken|FAILED_READ_FILE|not a Parquet"):
+        S.read_results(spark, store).count()
 
 
 def test_snapshots_and_final(spark, tmp_path):
