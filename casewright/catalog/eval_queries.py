@@ -16,6 +16,7 @@ from casewright.plans.evaluation import (
     evaluation_report,
     stratified_report,
 )
+from casewright.plans.prepare import prepare_cases
 from casewright.plans.profile import legacy_profile
 from casewright.sources.exports import review_sample, select_eval_columns
 
@@ -93,8 +94,13 @@ def coverage(spark, d):
 
 
 def coverage_agreement(spark, d):
-    cases = _coverage_cases(spark, d)
-    return M.coverage_agreement(cases, cases)
+    return M.coverage_agreement(*prepare_cases(A.clinical_tables(spark, d), T.CASES))
+
+
+def pearson_p(spark, d):
+    """The test per stratum, rounded: SQL has the tail as a finite series only."""
+    tested = M.pearson_test(_eval(spark, d), ["has_radiology"])
+    return tested.withColumns({"r": F.round("r", 6), "p_value": F.round("p_value", 6)})
 
 
 def range_buckets(spark, d):
@@ -122,6 +128,10 @@ def overall_report(spark, d):
         {
             "metrics": ([], "accuracy"),
             "auc": ([], "auc_roc"),
+            "confidence_table": ([M.CONFIDENCE], "accuracy"),
+            "confidence_corr": ([], "correlation"),
+            "pearson_test": ([], "r"),
+            "confidence_pivot": ([M.CONFIDENCE], "incorrect"),
             "confusion": ([M.ACTUAL, M.PRED], "n"),
             "distribution": (["column", "value"], "n"),
         },
@@ -136,6 +146,10 @@ def strata_report(spark, d):
             "metrics": (["group"], "recall"),
             "counts": ([M.STRATUM], "correct_predictions"),
             "difference": (["metric"], "difference"),
+            "confidence_table": ([M.STRATUM, M.CONFIDENCE], "accuracy"),
+            "confidence_corr": ([M.STRATUM], "correlation"),
+            "confusion": ([M.STRATUM, M.ACTUAL, M.PRED], "n"),
+            "findings": (["finding"], "rule"),
             "confidence_pivot": ([M.STRATUM, M.CONFIDENCE], "correct"),
         },
     )
@@ -174,6 +188,7 @@ QUERIES = {
     "confidence_by_stratum": _table(lambda e: M.confidence_table(e, ["has_radiology"])),
     "confidence_corr": _table(lambda e: M.confidence_corr(e, ["has_radiology"], min_n=5)),
     "pearson_test": _table(M.pearson_test),
+    "pearson_p": pearson_p,
     "pearson_r": _table(lambda e: M.pearson_test(e, ["has_radiology"]).drop("p_value")),
     "confidence_pivot": _table(M.confidence_pivot),
     "confusion": _table(lambda e: M.confusion_table(e, ["has_radiology"])),
@@ -232,6 +247,18 @@ _RATES = """count(*) AS n_cases, count(*) FILTER (WHERE a = p) / count(*) AS acc
 _CORR = """sums AS (SELECT r, count(*) AS n_all, CAST(count(c) AS DOUBLE) AS n, sum(c) AS sx,
   sum(CASE WHEN a = p THEN 1.0::DOUBLE ELSE 0 END) FILTER (WHERE c IS NOT NULL) AS sy, sum(c * c) AS sxx,
   sum(CASE WHEN a = p THEN c ELSE 0 END) FILTER (WHERE c IS NOT NULL) AS sxy FROM ev GROUP BY r)"""
+_FILLED = "filled AS (SELECT * REPLACE (coalesce(c, 5) AS c) FROM ev)"
+_CORR_FILLED = _CORR.replace("FROM ev", "FROM filled")
+_WHOLE = _CORR.replace("SELECT r, ", "SELECT ").replace(" GROUP BY r", "")
+_R = "(n * sxy - sx * sy) / nullif(sqrt(n * sxx - sx * sx) * sqrt(n * sy - sy * sy), 0)"
+_RULES = f"""rules AS (
+SELECT 1 AS rule, CASE WHEN w.total_cases < 30 OR wo.total_cases < 30 THEN '{M.SMALL_SAMPLE}' END AS finding FROM w, wo UNION ALL
+SELECT 2, CASE WHEN w.accuracy - wo.accuracy > 0.1 THEN '{M.POSITIVE_IMPACT}' WHEN w.accuracy - wo.accuracy < -0.1
+  THEN '{M.NEGATIVE_IMPACT}' WHEN abs(w.accuracy - wo.accuracy) < 0.05 THEN '{M.MINIMAL_IMPACT}' END FROM w, wo UNION ALL
+SELECT 3, CASE WHEN w.recall > wo.recall + 0.05 THEN '{M.RECALL_WITH}' WHEN wo.recall > w.recall + 0.05
+  THEN '{M.RECALL_WITHOUT}' END FROM w, wo UNION ALL
+SELECT 4, CASE WHEN w.specificity > wo.specificity + 0.05 THEN '{M.SPECIFICITY_WITH}'
+  WHEN wo.specificity > w.specificity + 0.05 THEN '{M.SPECIFICITY_WITHOUT}' END FROM w, wo)"""
 _DIFF = """long AS (UNPIVOT (SELECT "group", accuracy, precision, recall, f1_score, specificity FROM strata)
   ON accuracy, precision, recall, f1_score, specificity INTO NAME metric VALUE value),
 diff AS (SELECT metric, coalesce(max(value) FILTER (WHERE "group" = 'with_radiology'), 0.0) AS with_value,
@@ -301,9 +328,17 @@ SELECT r AS has_radiology, auc_roc FROM aucs""",
 WHERE c IS NOT NULL GROUP BY r, c""",
     "confidence_corr": f"""WITH {_EV}, {_CORR} SELECT r AS has_radiology, n_all AS n_cases, CASE WHEN n_all > 5 THEN
   (n * sxy - sx * sy) / nullif(sqrt(n * sxx - sx * sx) * sqrt(n * sy - sy * sy), 0) END AS correlation FROM sums""",
-    "pearson_r": f"""WITH {_EV}, filled AS (SELECT * REPLACE (coalesce(c, 5) AS c) FROM ev), {_CORR.replace("FROM ev", "FROM filled")}
+    "pearson_r": f"""WITH {_EV}, {_FILLED}, {_CORR_FILLED}
 SELECT r AS has_radiology, n_all AS n_cases, CASE WHEN n_all > 10 THEN
   (n * sxy - sx * sy) / nullif(sqrt(n * sxx - sx * sx) * sqrt(n * sy - sy * sy), 0) END AS r FROM sums""",
+    "pearson_p": f"""WITH {_EV}, {_FILLED}, {_CORR_FILLED}, rs AS (SELECT r AS side, n_all AS n_cases, n_all - 2 AS df, CASE WHEN n_all > 10 THEN
+  (n * sxy - sx * sy) / nullif(sqrt(n * sxx - sx * sx) * sqrt(n * sy - sy * sy), 0) END AS r FROM sums),
+-- the angle of Student's t; its cosine and sine are functions of r
+angles AS (SELECT *, asin(r) AS angle, sqrt(1 - r * r) AS c FROM rs)
+SELECT side AS has_radiology, n_cases, round(r, 6) AS r, round(1 - abs(CASE WHEN df % 2 = 1
+  THEN 2 / pi() * (angle + r * coalesce(list_sum([exp(lgamma(k) + lgamma(1.5) - lgamma(k + 0.5)) * c ** (2 * k - 1) FOR k IN range(1, (df + 1) // 2)]), 0))
+  ELSE r * list_sum([exp(lgamma(k + 0.5) - lgamma(k + 1) - lgamma(0.5)) * c ** (2 * k) FOR k IN range(0, df // 2)]) END), 6) AS p_value
+FROM angles""",
     "confidence_pivot": f"""WITH {_EV} SELECT c AS confidence, count(*) FILTER (WHERE a <> p) AS incorrect,
   count(*) FILTER (WHERE a = p) AS correct FROM ev WHERE c IS NOT NULL GROUP BY c""",
     "confusion": f"""WITH {_EV}, {_GRID}, sides AS (SELECT DISTINCT r FROM ev)
@@ -316,15 +351,7 @@ FROM values_of GROUP BY "column", value""",
   count(*) FILTER (WHERE a = 1) / count(*) AS actual_rate, count(*) FILTER (WHERE p = 1) / count(*) AS predicted_rate
 FROM ev GROUP BY r""",
     "difference": f"""WITH {_EV}, {_BY}, {_DIFF} SELECT metric, with_value, without_value, with_value - without_value AS difference FROM diff""",
-    "findings": f"""WITH {_EV}, {_BY}, {_PAIR}, rules AS (
-SELECT 1 AS rule, CASE WHEN w.total_cases < 30 OR wo.total_cases < 30 THEN '{M.SMALL_SAMPLE}' END AS finding FROM w, wo UNION ALL
-SELECT 2, CASE WHEN w.accuracy - wo.accuracy > 0.1 THEN '{M.POSITIVE_IMPACT}' WHEN w.accuracy - wo.accuracy < -0.1
-  THEN '{M.NEGATIVE_IMPACT}' WHEN abs(w.accuracy - wo.accuracy) < 0.05 THEN '{M.MINIMAL_IMPACT}' END FROM w, wo UNION ALL
-SELECT 3, CASE WHEN w.recall > wo.recall + 0.05 THEN '{M.RECALL_WITH}' WHEN wo.recall > w.recall + 0.05
-  THEN '{M.RECALL_WITHOUT}' END FROM w, wo UNION ALL
-SELECT 4, CASE WHEN w.specificity > wo.specificity + 0.05 THEN '{M.SPECIFICITY_WITH}'
-  WHEN wo.specificity > w.specificity + 0.05 THEN '{M.SPECIFICITY_WITHOUT}' END FROM w, wo)
-SELECT rule, finding FROM rules WHERE finding IS NOT NULL""",
+    "findings": f"""WITH {_EV}, {_BY}, {_PAIR}, {_RULES} SELECT rule, finding FROM rules WHERE finding IS NOT NULL""",
     "class_report": f"""WITH {_EV}, cells AS (SELECT {_CELLS} FROM ev), {_REPORT_ROWS}, {_CLASS} SELECT * FROM report_rows""",
     "confidence_by_outcome": f"WITH {_EV}, {_OUTCOMES} SELECT * FROM means",
     "coverage": "\nUNION ALL\n".join(
@@ -335,8 +362,9 @@ SELECT rule, finding FROM rules WHERE finding IS NOT NULL""",
         ]
         + [_range(f"{EDGES[-1]}::BIGINT", "NULL::BIGINT", f"WHERE id >= {EDGES[-1]} HAVING count(*) > 0")]
     ),
-    "coverage_agreement": f"""SELECT count(*) FILTER (WHERE valid) AS rendered, count(*) FILTER (WHERE valid) AS prepared,
-  true AS agree FROM ({_VALID}) v""",
+    "coverage_agreement": f"""SELECT *, rendered = prepared AS agree FROM (
+  SELECT count(*) FILTER (WHERE report_md5 <> md5({S.quoted(vocab.NO_REPORTS)})) AS rendered,
+    count(*) FILTER (WHERE has_radiology) AS prepared FROM ({T.ORACLE["prepare_cases"]}) cases)""",
     "range_buckets": """SELECT CASE WHEN n_chars >= 0 AND n_chars < 5000 THEN 0 WHEN n_chars >= 5000 AND n_chars < 10000 THEN 1
   WHEN n_chars >= 10000 AND n_chars < 15000 THEN 2 WHEN n_chars >= 15000 AND n_chars < 20000 THEN 3 WHEN n_chars >= 20000 THEN 4 END AS bucket,
   count(*) AS n FROM documents GROUP BY ALL""",
@@ -350,12 +378,22 @@ SELECT rule, finding FROM rules WHERE finding IS NOT NULL""",
 SELECT 'metrics' AS table_name, '' AS key, (tp + tn) / n AS value FROM cells
 UNION ALL SELECT 'auc', '', auc_roc FROM aucs
 UNION ALL SELECT 'confusion', CAST(a AS VARCHAR) || '/' || CAST(p AS VARCHAR), count(id) FROM grid LEFT JOIN ev USING (a, p) GROUP BY a, p
-UNION ALL SELECT 'distribution', "column" || '/' || value, count(*) FROM values_of GROUP BY "column", value""",
-    "stratified_report": f"""WITH {_EV}, {_BY}, {_DIFF}
+UNION ALL SELECT 'distribution', "column" || '/' || value, count(*) FROM values_of GROUP BY "column", value
+UNION ALL SELECT 'confidence_table', CAST(c AS VARCHAR), count(*) FILTER (WHERE a = p) / count(*) FROM ev WHERE c IS NOT NULL GROUP BY c
+UNION ALL SELECT 'confidence_pivot', CAST(c AS VARCHAR), count(*) FILTER (WHERE a <> p) FROM ev WHERE c IS NOT NULL GROUP BY c
+UNION ALL (WITH {_WHOLE} SELECT 'confidence_corr', '', {_R} FROM sums)
+UNION ALL (WITH {_FILLED}, {_WHOLE.replace("FROM ev", "FROM filled")} SELECT 'pearson_test', '', CASE WHEN n_all > 10 THEN {_R} END FROM sums)""",
+    "stratified_report": f"""WITH {_EV}, {_BY}, {_DIFF}, {_CORR}, {_GRID}, {_PAIR}, {_RULES}
 SELECT 'metrics' AS table_name, "group" AS key, recall AS value FROM strata
 UNION ALL SELECT 'counts', CAST(r AS VARCHAR), count(*) FILTER (WHERE a = p) FROM ev GROUP BY r
 UNION ALL SELECT 'difference', metric, with_value - without_value FROM diff
 UNION ALL SELECT 'confidence_pivot', CAST(r AS VARCHAR) || '/' || CAST(c AS VARCHAR), count(*) FILTER (WHERE a = p)
-  FROM ev WHERE c IS NOT NULL GROUP BY r, c""",
+  FROM ev WHERE c IS NOT NULL GROUP BY r, c
+UNION ALL SELECT 'confidence_table', CAST(r AS VARCHAR) || '/' || CAST(c AS VARCHAR), count(*) FILTER (WHERE a = p) / count(*)
+  FROM ev WHERE c IS NOT NULL GROUP BY r, c
+UNION ALL SELECT 'confidence_corr', CAST(r AS VARCHAR), CASE WHEN n_all > 5 THEN {_R} END FROM sums
+UNION ALL SELECT 'confusion', CAST(s.r AS VARCHAR) || '/' || CAST(g.a AS VARCHAR) || '/' || CAST(g.p AS VARCHAR), count(ev.id)
+  FROM (SELECT DISTINCT r FROM ev) s CROSS JOIN grid g LEFT JOIN ev ON ev.r = s.r AND ev.a = g.a AND ev.p = g.p GROUP BY ALL
+UNION ALL SELECT 'findings', finding, rule FROM rules WHERE finding IS NOT NULL""",
     "legacy_profile": _LEGACY,
 }

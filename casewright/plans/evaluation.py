@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewright import vocab
@@ -13,9 +13,9 @@ from casewright.operators.filters import (
     complete_cases,
     has_items,
     is_correct,
+    is_insufficient,
     outcome_label,
     require_columns,
-    split_insufficient,
     to_binary,
 )
 from casewright.session import materialize
@@ -23,9 +23,15 @@ from casewright.session import materialize
 RESULT_COLUMNS = ["llm_caseID", "decision", "confidence", "reasoning"]
 
 
-def attach_results(cases: DataFrame, results: DataFrame, key: str = "llm_caseID") -> DataFrame:
-    """Cases with the decision, confidence and reasoning of their result, if any."""
-    return cases.join(require_columns(results, RESULT_COLUMNS).select(*RESULT_COLUMNS), key, "left")
+def attach_results(
+    cases: DataFrame, results: DataFrame, key: str = "llm_caseID", how: str = "left", **marks: Column
+) -> DataFrame:
+    """Cases with the decision, confidence and reasoning of their result, if any.
+
+    ``marks`` are further columns computed on the results before the join.
+    """
+    found = require_columns(results, RESULT_COLUMNS).select(*RESULT_COLUMNS, *[c.alias(n) for n, c in marks.items()])
+    return cases.join(found, key, how)
 
 
 def build_evaluation(
@@ -36,15 +42,23 @@ def build_evaluation(
 ) -> tuple[DataFrame, DataFrame]:
     """(evaluation frame, dropped rows): complete cases with 0/1 columns.
 
-    The dropped rows are those whose reasoning says the information was insufficient.
+    The dropped rows are those whose reasoning says the information was insufficient. That
+    is judged before the join, so reports that do not show the reasoning never move it.
     """
-    marked = attach_results(cases, results).withColumns(
+    marked = attach_results(
+        cases,
+        results,
+        how="left" if mode == "yes" else "inner",  # in that mode no result counts as No
+        _insufficient=is_insufficient(F.col("reasoning"), patterns),
+    ).withColumns(
         {
             "llm_surgery": to_binary(F.col("decision"), mode=mode),
             "actual_surgery": to_binary(F.col("had_surgery"), {True: 1, False: 0}),
         }
     )
-    kept, dropped = split_insufficient(complete_cases(marked, ["llm_surgery", "actual_surgery"]), patterns)
+    complete = complete_cases(marked, ["llm_surgery", "actual_surgery"])
+    mask = F.coalesce(F.col("_insufficient"), F.lit(False))
+    kept, dropped = complete.filter(~mask).drop("_insufficient"), complete.filter(mask).drop("_insufficient")
     if "has_radiology" not in kept.columns:
         kept = kept.withColumn("has_radiology", has_items(F.col("radiology_reports")))
     actual, pred = F.col("actual_surgery"), F.col("llm_surgery")

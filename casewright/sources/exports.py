@@ -13,7 +13,8 @@ from casewright.operators.filters import split_insufficient
 
 def _write_csv(df: DataFrame, path: str) -> None:
     # Texts hold line breaks and quotes; doubled quotes keep them readable elsewhere.
-    df.write.option("header", True).option("escape", '"').csv(path)
+    whole = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.options(header=True, escape='"', **whole).csv(path)
 
 
 def select_eval_columns(df: DataFrame, columns: Sequence[str] = vocab.EVAL_COLUMNS) -> DataFrame:
