@@ -4,14 +4,14 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+from casewright.catalog import QUERIES
 from casewright.catalog import adapters as A
 from casewright.operators import cohort as C
 from casewright.operators import progress as P
 from casewright.operators.cases import trim_conversation
 
 SF_DIR = "/root/testdata/sf0.001"
-PYTHON_CALLS = {"score_stub", "pearson_test"}
+PYTHON_CALLS = {"score_stub", "pearson_test", "pearson_p"}
 EAGER = {"scoring_resume", "few_shot_run", "scoring_stream"}
 
 
@@ -19,9 +19,9 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - EAGER))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - EAGER))
 def test_no_cross_joins_and_no_python(spark, name):
-    text = plan(entry.queries()[name](spark, SF_DIR))
+    text = plan(QUERIES[name](spark, SF_DIR))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     if name not in PYTHON_CALLS:
         assert not re.search(r"BatchEvalPython|ArrowEvalPython|MapInPandas|FlatMapGroups", text)
@@ -50,7 +50,7 @@ def test_ranked_rows_are_limited_before_the_shuffle(spark, what):
 
 @pytest.mark.parametrize("name,times", [("censor_fallback", 1), ("censor_plan", 1), ("first_phrase", 1)])
 def test_costly_search_runs_once(spark, name, times):
-    text = plan(entry.queries()[name](spark, SF_DIR))
+    text = plan(QUERIES[name](spark, SF_DIR))
     assert len(re.findall(r"RLIKE\([^,]*, \(\?Ud\)ouaux\)", text)) == times
 
 
