@@ -55,10 +55,10 @@ def test_costly_search_runs_once(spark, name, times):
 
 
 def test_flags_prune_and_push(spark):
-    text = plan(entry.queries()["index_flags"](spark, SF_DIR))
+    text = plan(QUERIES["index_flags"](spark, SF_DIR))
     assert "EqualTo(event_type,purchase)" in text and "value" not in re.search(r"ReadSchema: (\S+)", text)[1]
 
 
 def test_metrics_scan_the_cases_once(spark):
-    df = entry.queries()["metrics_by"](spark, SF_DIR)
+    df = QUERIES["metrics_by"](spark, SF_DIR)
     assert plan(df).count("labels.parquet") == 1
