@@ -221,7 +221,7 @@ def test_minimum_cut():
 
 def test_search(spark):
     docs, rows = awkward(spark, n=80)
-    got = search.bm25_top_k(docs, docs.filter("doc_id % 9 = 0"), k=5, shard_bytes=1 << 12, queries_per_task=3)
+    got = search.bm25_top_k(docs, docs.filter("doc_id % 9 = 0"), k=5, shard_bytes=1 << 12, pairs_per_task=100)
     found = {}
     for r in got.orderBy("qid", "rank").collect():
         found.setdefault(r["qid"], []).append((r["doc_id"], r["score"]))
