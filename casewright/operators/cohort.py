@@ -27,6 +27,20 @@ def count_patients(df: DataFrame, key: str = "patient_id", name: str = "n_patien
     return df.agg(F.countDistinct(key).alias(name))
 
 
+def event_aggregates(
+    sets: Mapping[str, Sequence[str]] = EVENT_SETS, system: str | None = vocab.CODE_SYSTEM
+) -> list[Column]:
+    """had_<set> and first_<set>_date of every code set; ``system=None`` skips the code-system check."""
+    aggregates = []
+    for name, codes in sets.items():
+        hit = code_in(F.col("code"), codes, F.col("code_type") if system else None, system)
+        aggregates += [
+            F.coalesce(F.bool_or(hit), F.lit(False)).alias(f"had_{name}"),
+            F.min(F.when(hit, F.col("date"))).alias(f"first_{name}_date"),
+        ]
+    return aggregates
+
+
 def index_event_flags(
     procedures: DataFrame,
     sets: Mapping[str, Sequence[str]] = EVENT_SETS,
@@ -36,16 +50,9 @@ def index_event_flags(
     """Per patient: had_<set> and first_<set>_date for every code set.
 
     The code filter sits inside the aggregate, so patients with other procedures only
-    still get a row of false flags. ``system=None`` skips the code-system check.
+    still get a row of false flags.
     """
-    aggregates = []
-    for name, codes in sets.items():
-        hit = code_in(F.col("code"), codes, F.col("code_type") if system else None, system)
-        aggregates += [
-            F.coalesce(F.bool_or(hit), F.lit(False)).alias(f"had_{name}"),
-            F.min(F.when(hit, F.col("date"))).alias(f"first_{name}_date"),
-        ]
-    return procedures.groupBy(key).agg(*aggregates)
+    return procedures.groupBy(key).agg(*event_aggregates(sets, system))
 
 
 def reports_before_index(
@@ -309,12 +316,24 @@ def censor_with_fallback(
 ) -> DataFrame:
     """Patients with a usable note: the chosen note (original_date set on a fallback) and its censoring.
 
-    Patients whose candidates all come out blank are dropped.
+    Patients whose candidates all come out blank are dropped; ``skipped_patients`` lists them.
     """
     chosen = fallback_choice(notes, flags, phrases, key=key, **options)
     return expand_choice(chosen.filter(F.col("choice").isNotNull()))
 
 
+def skipped_patients(
+    notes: DataFrame,
+    flags: DataFrame | None,
+    phrases: Sequence[Phrase] = vocab.PHRASES,
+    *,
+    key: str = "patient_id",
+    **options,
+) -> DataFrame:
+    """The patients that ``censor_with_fallback`` drops: they have candidate notes, all blank once censored."""
+    return fallback_choice(notes, flags, phrases, key=key, **options).filter("choice IS NULL").select(key)
+
+
 def latest_per_key(df: DataFrame, order: str, key: str = "patient_id") -> DataFrame:
     """The row with the highest order value per key."""
     newest = Window.partitionBy(key).orderBy(F.col(order).desc_nulls_last())

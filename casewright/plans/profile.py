@@ -14,12 +14,12 @@ from casewright.operators import metrics as M
 from casewright.operators.cohort import (
     EVENT_SETS,
     collect_text,
-    index_event_flags,
+    event_aggregates,
     latest_per_key,
     reports_before_index,
-    restrict_to,
 )
 from casewright.operators.filters import extract_notes, extract_reports, to_binary
+from casewright.session import materialize
 
 
 def patient_profile(
@@ -31,35 +31,28 @@ def patient_profile(
     system: str | None = vocab.CODE_SYSTEM,
     keywords: Sequence[str] = vocab.SENTENCE_KEYWORDS,
     key: str = "patient_id",
-    max_items: int = 10_000,
 ) -> DataFrame:
     """Latest demographics, notes before the event as one text, imaging text and flags.
 
     Patients without a qualifying note before the event are left out. The cutoff is the
     first event code whatever its code system; the flags check the system. Imaging is
-    not cut at the event here. Each table is aggregated per patient before the joins. A
-    patient with over ``max_items`` notes or reports has further rows (``part`` 1, ...).
+    not cut at the event here. Each table is aggregated per patient before the joins; a
+    patient is one row, as all texts go into one prompt. Flags and cutoff come from one pass
+    over the procedures, written once to the shared folder.
     """
     latest = latest_per_key(tables["demographics"], "seq", key).drop("seq")
-    flags = index_event_flags(tables["procedures"], event_sets, key, system)
-    cutoff = index_event_flags(tables["procedures"], event_sets, key, None).select(
-        key, F.col("first_surgery_date")
-    )
+    _, any_system = event_aggregates({"any": event_sets["surgery"]}, None)
+    flags = materialize(tables["procedures"].groupBy(key).agg(*event_aggregates(event_sets, system), any_system))
+    cutoff = flags.select(key, F.col("first_any_date").alias("first_surgery_date"))
     notes = extract_notes(tables["clinical_note"], **(note_filter or {"columns": ("author", "text")}))
     before = reports_before_index(notes, cutoff, key=key)
-    summary = collect_text(before, "summary", key, max_items=max_items)
+    summary = collect_text(before, "summary", key, max_items=None).drop("part")
     reports = extract_reports(tables["radiology_report"], **(report_filter or {}))
-    imaging = collect_text(reports, "radiology_text", key, sep="\n\n", max_items=max_items)
+    imaging = collect_text(reports, "radiology_text", key, sep="\n\n", max_items=None).drop("part")
     flag_columns = [c for c in flags.columns if c.startswith("had_")]
-    same = [key, "part"]
-    further = imaging.filter(F.col("part") > 0).join(summary, same, "left_anti")
-    texts = summary.join(imaging, same, "left").unionByName(
-        restrict_to(further, summary.filter(F.col("part") == 0), key), allowMissingColumns=True
-    )
-    joined = latest.join(texts, key).join(flags.select(key, *flag_columns), key, "left")
+    joined = latest.join(summary, key).join(imaging, key, "left").join(flags.select(key, *flag_columns), key, "left")
     return joined.select(
         key,
-        "part",
         "age",
         "race",
         "ethnicity",
@@ -89,7 +82,7 @@ def legacy_profile(
     ``answers`` has (key, decision, confidence); any answer but yes counts as no.
     """
     profiles = patient_profile(tables, key=key, **options)
-    judged = profiles.filter(F.col("part") == 0).join(answers.select(key, "decision", "confidence"), key).select(
+    judged = profiles.join(answers.select(key, "decision", "confidence"), key).select(
         key,
         to_binary(F.col("had_surgery"), {True: 1, False: 0}).alias(M.ACTUAL),
         to_binary(F.col("decision"), mode="yes").alias(M.PRED),

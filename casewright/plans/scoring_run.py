@@ -104,6 +104,8 @@ def run_few_shot(
 ) -> DataFrame:
     """Use the first n cases with their outcomes as examples and score the rest."""
     require_columns(cases, [*CASE_COLUMNS, "had_surgery"])
+    if n_examples is None:
+        raise ValueError("a few-shot run needs a number of examples: all of them go into every prompt")
     examples, rest = train_test_split_ordered(cases, n_examples)
     return run_scoring(
         rest, store, responder, build_prompts=lambda share: with_examples(share, examples), **options

@@ -210,6 +210,13 @@ def test_censor_note_passes_null(spark):
     assert got["q"]["last_progress_note_censored"] is None and got["q"]["censored_text"] is None
 
 
+def test_skipped_patients(spark):
+    usable = f"{LONG}{GAP}More"
+    rows = notes(spark, [("kept", 1, day(2), usable), ("back", 2, day(2), "short"), ("back", 3, day(1), usable), ("blank", 4, day(2), "short"), ("blank", 5, day(1), " ")])
+    assert [r[0] for r in C.skipped_patients(rows, None).collect()] == ["blank"]
+    assert {r["patient_id"] for r in C.censor_with_fallback(rows, None).collect()} == {"kept", "back"}
+
+
 def clinical(spark):
     usable = f"{LONG}{GAP}More"
     n = notes(spark, [
@@ -260,6 +267,7 @@ def test_profile(spark):
     got = {r["patient_id"]: r for r in profile_prompts(patient_profile(tables)).collect()}
     assert set(got) == {"p10", "p6"}
     assert got["p10"]["age"] == 41 and got["p10"]["has_radiology_report"]
+    assert len(got["p10"]["radiology_text"].split("\n\n")) == 2 and "part" not in got["p10"]
     assert got["p6"]["had_surgery"] and "- Age: 50\n    - Sex: None\n" in got["p6"]["prompt"]
 
 
