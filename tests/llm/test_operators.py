@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from casewright.llm import features, html_text, mixing, quality, quality_rules, search, simhash, token_shards, tokenizer, toxicity
+from casewright.llm import features, html_text, mixing, near_copies, quality, quality_rules, search, simhash, token_shards, tokenizer, toxicity
 from casewright.llm.substring_dedup import substring_dedup
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, _key string, words int"
@@ -311,6 +311,59 @@ def test_model_parts():
     assert features.word_ids(["Idiot"]) == features.word_ids(["idiot"])
 
 
+def test_near_dedup_finds_five_word_similarity(spark):
+    """Every pair of five-word Jaccard of 0.8 or more, and no other, shares a component."""
+    pick = random.Random(8)
+    vocab = [f"v{i}" for i in range(500)]
+    rows = []
+    for i in range(60):
+        words = pick.choices(vocab, k=pick.randint(40, 400))
+        for copy in range(5):  # of falling similarity, across 0.8
+            some = list(words)
+            for at in pick.sample(range(len(words)), copy * len(words) // 120):
+                some[at] = f"new{pick.random()}"
+            rows.append((len(rows), " ".join(some).title() if copy == 2 else "  ".join(some)))
+    rows += [(len(rows) + i, t) for i, t in enumerate(["a b c", "A  b\nc", "a b", "", None, " ", rows[0][1], rows[0][1]])]
+
+    def shingles(text):
+        words = split((text or "").lower())
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else {()}
+
+    sets = [shingles(t) for _, t in rows]
+    group = list(range(len(rows)))
+    near = 0
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        both = len(sets[i] & sets[j])
+        if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+            near += sets[i] != sets[j]
+            a, b = sorted((group[i], group[j]))
+            group = [a if g == b else g for g in group]
+    assert near > 50
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], SCHEMA.split(", row")[0]).repartition(3)
+    got = {r["row"]["doc_id"]: r["component_id"] for r in near_copies.near_copy_groups(docs).collect()}
+    assert got == {i: group[i] for i, _ in rows}
+    kept = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert sorted(kept) == sorted(set(group))
+
+
+def test_near_copies_tiles(spark, monkeypatch):
+    """A cluster of many tiles gives the components that one tile gives."""
+    pick = random.Random(9)
+    base = pick.choices([f"v{i}" for i in range(300)], k=200)
+    rows = []
+    for i in range(80):
+        some = list(base)
+        for at in pick.sample(range(200), pick.randint(1, 5)):
+            some[at] = f"new{i}"
+        rows.append((i, " ".join(some)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = lambda: sorted((r["row"]["doc_id"], r["component_id"]) for r in near_copies.near_copy_groups(docs).collect())
+    whole = found()
+    monkeypatch.setattr(near_copies, "TILE_ROWS", 7)
+    assert found() == whole and 1 < len({c for _, c in whole}) < 80
+    assert near_copies.near_copy_groups(docs.filter("false")).count() == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs, rows = awkward(spark)
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id bigint, quality int, toxic int")
