@@ -364,6 +364,21 @@ def test_near_copies_tiles(spark, monkeypatch):
     assert near_copies.near_copy_groups(docs.filter("false")).count() == 0
 
 
+def test_tokenise_decodes_every_row(spark, monkeypatch):
+    docs, rows = awkward(spark, n=20)
+    docs = docs.union(docs.limit(1).withColumn("text", F.lit("\u2581a \u2581 b\u2581"))).select(*corpus_pipeline.COLUMNS)
+    assert corpus_pipeline.tokenise(spark, docs, "").count() == len(rows) + 1
+    encode = corpus_pipeline.sentencepiece_encode
+
+    def wrong(*args, **kwargs):  # one row's ids are of another text
+        made = encode(*args, **kwargs)
+        return made.withColumn("decoded", F.when(F.col("row.doc_id") == 7, "x").otherwise(F.col("decoded"))) if "decoded" in made.columns else made
+
+    monkeypatch.setattr(corpus_pipeline, "sentencepiece_encode", wrong)
+    with pytest.raises(Exception, match="do not decode to the text of doc_id 7"):
+        corpus_pipeline.tokenise(spark, docs, "").collect()
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs, rows = awkward(spark)
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id bigint, quality int, toxic int")
