@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +14,10 @@ from casewright.llm.quality_rules import LIMIT, RISK, RULES, quality_rules
 from casewright.llm.search import bm25_top_k
 from casewright.llm.simhash import simhash_groups
 from casewright.llm.substring_dedup import substring_dedup
-from casewright.llm.token_shards import pack_sequences, training_shards
+from casewright.llm.token_shards import pack_sequences, training_shards, write_shards
 from casewright.llm.tokenizer import sentencepiece_encode
 from casewright.llm.toxicity import toxicity_scores
+from casewright.session import shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +40,11 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training_shards(pack_sequences(_table(spark, sf_dir, "documents")))
+    """The shards as read back from where they were written."""
+    path = f"{shared_dir(spark).rstrip('/')}/casewright/{uuid.uuid4().hex}"
+    shards = training_shards(pack_sequences(_table(spark, sf_dir, "documents")))
+    write_shards(shards, path)
+    return spark.read.schema(shards.schema).parquet(path)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

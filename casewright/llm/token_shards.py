@@ -150,8 +150,9 @@ def training_shards(sequences: DataFrame, seed: int = 1, per_shard: int = SHARD)
         )
 
     schema = pa.list_(pa.struct([("slot", pa.int64()), ("n_tokens", pa.int32()), ("doc_ids", pa.list_(pa.int64()))]))
-    shard = F.floor(F.col("slot") / per_shard).cast("bigint").alias("shard")
-    return placed.groupBy(shard).applyInArrow(
+    shard = F.floor(F.col("slot") / per_shard).cast("bigint")
+    ranged = placed.withColumn("shard", shard).repartitionByRange("shard")  # a file holds a run of shards
+    return ranged.groupBy("shard").applyInArrow(
         lambda table: assemble(table),
         "shard bigint, first_slot bigint, n_sequences int, stride int, "
         "sequences array<struct<slot:bigint,n_tokens:int,doc_ids:array<bigint>>>, payload binary",
@@ -168,7 +169,7 @@ def write_shards(shards: DataFrame, path: str) -> None:
             raise
         done = None
     left = shards if done is None else shards.join(done, "shard", "left_anti")
-    left.sortWithinPartitions("shard").write.mode("append").parquet(path)
+    left.sortWithinPartitions("shard").write.mode("append").option("compression", "zstd").parquet(path)
 
 
 def read_slots(spark: SparkSession, path: str, start: int, n: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import random
 import re
 
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from casewright.llm import features, html_text, mixing, near_copies, quality, quality_rules, search, simhash, token_shards, tokenizer, toxicity
+from casewright.llm import features, html_text, mixing, near_copies, quality, quality_rules, queries, search, simhash, token_shards, tokenizer, toxicity
 from casewright.llm.substring_dedup import substring_dedup
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, _key string, words int"
@@ -196,6 +197,23 @@ def test_shards(spark, tmp_path):
     assert token_shards.training_shards(token_shards.pack_sequences(docs.filter("false"))).count() == 0
 
 
+def test_shards_query_writes_ranges(spark, tmp_path):
+    back = queries.op4_token_shards(spark, "/root/testdata/sf0.001")
+    path = os.path.dirname(back.inputFiles()[0])
+    n = back.agg(F.sum("n_sequences")).first()[0]
+    assert "/casewright/" in path and [r["slot"] for r in token_shards.read_slots(spark, path, 0, n).collect()] == list(range(n))
+    docs, _ = awkward(spark, n=40)
+    packed = token_shards.pack_sequences(docs, length=64, chunk_bytes=1 << 14)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        token_shards.write_shards(token_shards.training_shards(packed, per_shard=16), f"{tmp_path}/ranged")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    written = spark.read.parquet(f"{tmp_path}/ranged")
+    runs = sorted((r["lo"], r["hi"]) for r in written.groupBy(F.input_file_name()).agg(F.min("shard").alias("lo"), F.max("shard").alias("hi")).collect())
+    assert len(runs) > 2 and all(a[1] < b[0] for a, b in zip(runs, runs[1:]))
+
+
 def test_main_text():
     page = (
         "<html><head><title>t</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href=x>Home</a></li></ul></nav>"
