@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewright.llm.html_text import extract_pages
+from casewright.llm.lexical_search import lexical_top_k
 from casewright.llm.mixing import mix_sources
+from casewright.llm.periodic_runs import periodic_runs
 from casewright.llm.quality import quality_scores
 from casewright.llm.quality_rules import LIMIT, RISK, RULES, quality_rules
 from casewright.llm.search import bm25_top_k
@@ -84,6 +86,53 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _with_periods(text: str, key: str) -> F.Column:
+    """The text, of which one in ten (by the key's checksum) goes on periodically from some word.
+
+    Word i >= a is word a + (i - a) % p of the text, with a and p from the checksum.
+    """
+    h = F.crc32(F.col(key).cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def tail(words):
+        n = F.size(words).cast("bigint")
+        a = g % n
+        p = F.floor((n - a) / (F.lit(3) + g % 8)) + 1
+        places = F.sequence(F.lit(0).cast("bigint"), n - 1)
+        at = F.transform(places, lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))
+        return F.array_join(F.transform(at, lambda i: F.get(words, i)), " ")
+
+    words = F.regexp_extract_all(F.col(text), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    changed = F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, tail(w)).otherwise("")), F.lit(0))
+    return F.when(F.col(key).isNotNull() & F.col(text).isNotNull() & (h % 10 == 0), changed).otherwise(F.col(text))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", _with_periods("text", "doc_id").alias("text"))
+    found = periodic_runs(docs)
+    # lengths below 2^26: a quotient in doubles is equal only where the fractions are
+    score = F.transform(
+        "runs",
+        lambda r: F.struct((r["length"] / r["period"]).alias("e"), (-r["start"]).alias("s"), (-r["period"]).alias("p"), r["length"].alias("n")),
+    )
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    best = F.array_max(score)
+    return found.select(
+        "row.doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-best["s"]).alias("start"),
+        best["n"].alias("length"),
+        (-best["p"]).alias("period"),
+        F.floor(1000 * best["n"] / -best["p"]).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_top_k(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_toxicity": op2_toxicity,
@@ -95,6 +144,8 @@ QUERIES = {
     "op8_bm25_search": op8_bm25_search,
     "op9_mix_sources": op9_mix_sources,
     "op10_quality_rules": op10_quality_rules,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_lexical_search": op12_lexical_search,
 }
 
 _CUTS = ", ".join(
@@ -210,4 +261,52 @@ failed AS (SELECT DISTINCT doc_id FROM long JOIN best ON long.stratum = best.str
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM failed) AS kept
 FROM measured""",
+    "op11_periodic_runs": f"""
+WITH split AS (
+  SELECT doc_id, {_WORDS} AS w, CAST(len({_WORDS}) AS BIGINT) AS n, list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda x: CAST(coalesce(ascii(x), 0) AS BIGINT))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])), lambda r, s: xor(r >> 1, 3988292384 * (r & 1)))) AS r
+  FROM documents),
+hashed AS (SELECT doc_id, w, n, xor(r, 4294967295) AS h, xor(r, 4294967295) // 10 AS g FROM split),
+placed AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM hashed),
+docs AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1]) ELSE w END AS w
+  FROM placed),
+words AS (SELECT doc_id, n, unnest(range(n)) AS p, unnest(w) AS word FROM docs),
+same AS (
+  SELECT x.doc_id, x.p, y.p - x.p AS q FROM words x JOIN words y
+  ON x.doc_id = y.doc_id AND x.word = y.word AND y.p > x.p AND 3 * (y.p - x.p) <= x.n),
+islands AS (
+  SELECT doc_id, q, min(p) AS start, count(*) + q AS length
+  FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id, q ORDER BY p) AS island FROM same) GROUP BY doc_id, q, island),
+runs AS (
+  SELECT doc_id, start, length, min(q) AS period FROM islands WHERE length >= greatest(24, 3 * q) GROUP BY doc_id, start, length),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS p FROM runs),
+kept AS (
+  SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.p) AS s FROM words ANTI JOIN gone ON words.doc_id = gone.doc_id AND words.p = gone.p GROUP BY words.doc_id),
+listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY doc_id),
+best AS (
+  SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length / period DESC, start, period) = 1)
+SELECT docs.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period,
+  CAST(1000 * length // period AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(s, '')) AS collapsed_sha256
+FROM docs LEFT JOIN listed ON docs.doc_id = listed.doc_id LEFT JOIN best ON docs.doc_id = best.doc_id LEFT JOIN kept ON docs.doc_id = kept.doc_id""",
+    "op12_lexical_search": r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents),
+asked AS (
+  SELECT item_id, term, count(*) AS qtf FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark) GROUP BY item_id, term),
+lengths AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+stats AS (SELECT count(*) AS total, CAST(sum(n) AS BIGINT) AS length FROM lengths),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * total + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, stats GROUP BY term, total),
+scores AS (
+  SELECT item_id, tf.doc_id, CAST(sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * total) // length)))) AS BIGINT) AS score
+  FROM asked JOIN tf ON asked.term = tf.term JOIN weights ON tf.term = weights.term JOIN lengths ON tf.doc_id = lengths.doc_id, stats
+  GROUP BY item_id, tf.doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10""",
 }
