@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casewright.llm.contextual_pii import KINDS, contextual_pii, span_list
 from casewright.llm.html_text import extract_pages
 from casewright.llm.lexical_search import lexical_top_k
 from casewright.llm.mixing import mix_sources
@@ -133,6 +134,18 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_top_k(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contextual_pii(_table(spark, sf_dir, "documents"))
+    of = F.transform("base", lambda b: b["kind"])
+    counts = [F.size(F.filter(of, lambda k: k == number)).cast("bigint").alias(f"n_{kind}") for number, kind in enumerate(KINDS)]
+    return found.select(
+        "row.doc_id",
+        *counts,
+        F.sha2(span_list(F.col("base")), 256).alias("base_sha256"),
+        span_list(F.concat("base", "added")).alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_toxicity": op2_toxicity,
@@ -146,6 +159,7 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_lexical_search": op12_lexical_search,
+    "op13_contextual_pii": op13_contextual_pii,
 }
 
 _CUTS = ", ".join(
