@@ -204,6 +204,10 @@ def find_runs(words: np.ndarray, ends: np.ndarray, least: int = LEAST, repeats:
     starts = np.concatenate([[0], ends[:-1] + np.arange(1, len(sizes))])
     lengths = sizes + 1
     owner = np.searchsorted(starts, i, side="right") - 1
+    inside = i + q < starts[owner] + sizes[owner]  # texts may share passages
+    i, q, owner = i[inside], q[inside], owner[inside]
+    if not len(i):
+        return none, none, none
     used = np.unique(owner)
     at = np.concatenate([[0], np.cumsum(lengths[used])])
     here = np.arange(at[-1]) - np.repeat(at[:-1], lengths[used]) + np.repeat(starts[used], lengths[used])

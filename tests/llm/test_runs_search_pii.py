@@ -43,6 +43,7 @@ def test_find_runs():
                 for i in range(a, pick.randint(a, n)):
                     words[i] = words[a + (i - a) % p]
             docs.append(words)
+        docs += [list(range(50, 90)) + d for d in docs[:2]] + docs[:1]  # passages that texts share
         least, repeats = pick.choice([(24, 3), (24, 3), (6, 2), (1, 2)])
         ends = np.cumsum([len(d) for d in docs])
         first, last, period = periodic_runs.find_runs(np.array(sum(docs, []), np.int64), ends, least, repeats)
