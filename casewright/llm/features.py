@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewright.llm import text as T
+from casewright.session import materialize
 
 ID_BITS = 31
 SAMPLE = 20_000  # bound on the rows that a model is fitted on
+MOST_IDS = 12_000_000  # and on the feature ids of these rows, whatever their length
 
 #: (row of the text, feature id), repeats included
 Features = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -127,7 +129,7 @@ def with_features(rows: DataFrame, text: str, features: Features) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*others, listed], [*names, "ids"])
 
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return rows.mapInArrow(run, f"{shape}, ids array<int>")
+    return rows.mapInArrow(T.released(run), f"{shape}, ids array<int>")
 
 
 def fold(key: str, of: int) -> Column:
@@ -145,11 +147,24 @@ def true_labels(labels: DataFrame, key: str, label: str) -> DataFrame:
     )
 
 
+def hash_share(key: str, share: float) -> Column:
+    """Whether the key is in the given share of all keys, by 63 bits of its hash."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit("sample"), key), 1) < F.lit(min(int(share * 2.0**63), (1 << 63) - 1))
+
+
+def bounded_ids(found: DataFrame, most: int = MOST_IDS) -> DataFrame:
+    """The rows of a sample, or about such a share of them that their ``ids`` are ``most`` at most.
+
+    The rows are written once: they are counted first, and read by the one task that fits on them.
+    """
+    found = materialize(found)
+    n = found.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0]
+    return found if n <= most else found.filter(hash_share("_key", most / n))
+
+
 def labelled_sample(labelled: DataFrame, n: int, bound: int = SAMPLE) -> DataFrame:
     """All of ``n`` rows, or about ``bound`` of them by a hash of ``_key``."""
-    if n <= bound:
-        return labelled
-    return labelled.filter(F.pmod(F.xxhash64(F.lit("sample"), "_key"), F.lit(1_000_000)) < int(1e6 * bound / n))
+    return labelled if n <= bound else labelled.filter(hash_share("_key", bound / n))
 
 
 def lists(table: pa.Table, column: str = "ids") -> tuple[np.ndarray, np.ndarray]:

@@ -28,7 +28,9 @@ BOILER_WORDS = set(
     "pagination pager toc copyright legal complementary contentinfo form tags".split()
 )
 CONTENT_WORDS = set("article content main post entry story body text page-content maincontent".split())
-_HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+#: first parts of compound names that say something of another element, and last parts that leave the first one's meaning
+_STATES = set("has no not with without is hide show hidden".split())
+_PARTS = set("bar box list container wrapper wrap inner outer block area section panel item items content link links group row col column body title".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -37,21 +39,55 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
-_NAMES = re.compile(r"[A-Za-z]+")
+_NAME = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[.!?…。]['\")\]]*(?:\s|$)")
 
 
 class Block:
     """A run of text with no block boundary in it, and where it stands."""
 
-    __slots__ = ("text", "link", "path", "bias")
+    __slots__ = ("text", "link", "place", "bias")
 
-    def __init__(self, text: str, link: int, path: tuple, bias: float):
-        self.text, self.link, self.path, self.bias = text, link, path, bias
+    def __init__(self, text: str, link: int, place: "Place", bias: float):
+        self.text, self.link, self.place, self.bias = text, link, place, bias
+
+
+class Place:
+    """An open element: its parent's place, its depth, and the sum of its ancestors' biases and its own."""
+
+    __slots__ = ("tag", "parent", "depth", "bias")
+
+    def __init__(self, tag: str, parent: "Place | None", bias: float):
+        self.tag, self.parent, self.bias = tag, parent, bias
+        self.depth = parent.depth + 1 if parent else 0
+
+
+def _names_boilerplate(name: str) -> bool:
+    """Whether a whole class, id or role says boilerplate: by its last word, or by its first before a word for a part.
+
+    A name such as has-sidebar or menu-open tells of a state of the page, not of the element.
+    """
+    words = [w.lower() for w in _NAME.findall(name)]
+    if not words or words[0] in _STATES:
+        return False
+    return words[-1] in BOILER_WORDS or (words[0] in BOILER_WORDS and words[-1] in _PARTS)
+
+
+def _steps_between(a: Place, b: Place) -> int:
+    """How far the deeper of two places lies below the nearest one that holds both."""
+    most = max(a.depth, b.depth)
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+    return most - a.depth
 
 
 def _bias(tag: str, rest: str, inside: float) -> float:
     """How far an element speaks for content (positive) or boilerplate, by name and attributes."""
+    if tag in ("html", "body"):
+        return 0.0  # their names are about the page
     bias = CONTENT_TAGS.get(tag, 0.0)
     if tag in BOILER_TAGS and not (tag == "header" and inside > 0):
         bias -= BOILER_TAGS[tag]
@@ -61,10 +97,10 @@ def _bias(tag: str, rest: str, inside: float) -> float:
                 if name.lower() == "hidden" or "true" in values:
                     bias -= 6.0
                 continue
-            words = {w.lower() for w in _NAMES.findall("".join(values))}
-            if words & BOILER_WORDS:
+            named = "".join(values).split()
+            if any(_names_boilerplate(n) for n in named):
                 bias -= 6.0
-            elif words & CONTENT_WORDS:
+            elif any(w.lower() in CONTENT_WORDS for n in named for w in _NAME.findall(n)[-1:]):
                 bias += 1.5
     return bias
 
@@ -75,8 +111,9 @@ def blocks(html: str) -> list[Block]:
     Unclosed elements, stray end tags and pages that break off are read as far as they go.
     """
     found: list[Block] = []
-    stack: list[tuple[str, float, int]] = [("", 0.0, 0)]  # element, sum of biases, number
-    number, links, skip, skip_depth = 0, 0, "", 0
+    here = Place("", None, 0.0)
+    open_: dict[str, int] = {}  # how many elements of a name are open
+    links, skip, skip_depth = 0, "", 0
     parts: list[str] = []
     linked = 0
 
@@ -84,7 +121,7 @@ def blocks(html: str) -> list[Block]:
         nonlocal parts, linked
         text = " ".join("".join(parts).split())
         if text:
-            found.append(Block(text, linked, tuple(n for _, _, n in stack), stack[-1][1]))
+            found.append(Block(text, linked, here, here.bias))
         parts, linked = [], 0
 
     at, size = 0, len(html)
@@ -134,15 +171,17 @@ def blocks(html: str) -> list[Block]:
             close()
             links = 0
             if end:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] == tag:
-                        del stack[depth:]
+                while open_.get(tag):
+                    last, here = here.tag, here.parent
+                    open_[last] -= 1
+                    if last == tag:
                         break
             elif tag not in VOID:
-                if len(stack) > 1 and (stack[-1][0] == "p" or tag == stack[-1][0] in ("li", "dt", "dd", "tr", "td", "th")):
-                    stack.pop()
-                number += 1
-                stack.append((tag, stack[-1][1] + _bias(tag, rest, stack[-1][1]), number))
+                if here.tag == "p" or tag == here.tag in ("li", "dt", "dd", "tr", "td", "th"):
+                    open_[here.tag] -= 1
+                    here = here.parent
+                here = Place(tag, here, here.bias + _bias(tag, rest, here.bias))
+                open_[tag] = open_.get(tag, 0) + 1
     close()
     return found
 
@@ -163,14 +202,8 @@ def _links(found: list[Block]) -> list[tuple[int, int, float]]:
     edges, seen = [], {}
     for i, block in enumerate(found):
         if i:
-            a, b = found[i - 1].path, block.path
-            shared = 0
-            for x, y in zip(a, b):
-                if x != y:
-                    break
-                shared += 1
-            edges.append((i - 1, i, 1.0 / (1 + max(len(a), len(b)) - shared)))
-        parent = block.path[:-1]
+            edges.append((i - 1, i, 1.0 / (1 + _steps_between(found[i - 1].place, block.place))))
+        parent = block.place.parent
         if parent in seen and seen[parent] < i - 1:
             edges.append((seen[parent], i, 0.25))
         seen[parent] = i
@@ -238,6 +271,8 @@ def main_text(html: str | None) -> str:
         return ""
     found = blocks(html)
     labels = minimum_cut([cost(b) for b in found], _links(found))
+    if not any(labels):  # too short for its words to count: what no element speaks against
+        labels = [b.bias >= 0 and b.link < len(b.text) and bool(_NAME.search(b.text)) for b in found]
     return " ".join(b.text for b, content in zip(found, labels) if content)
 
 
@@ -245,7 +280,9 @@ def extract_pages(pages: DataFrame, html: str = "html", carry: tuple[str, ...] =
     """Per row: ``row`` (struct of the carried columns) and ``text``.
 
     Every row is a page of its own: repeated rows, null keys and null urls give what their
-    html says. Nothing is shuffled.
+    html says. Null and empty pages give the empty text; columns not carried are ignored, whatever they are named, and an
+    empty table gives no rows. A very long page is read whole, in time in proportion to its length but for the cut.
+    Nothing is shuffled.
     """
     picked = pages.select(F.struct(*[F.col(c) for c in carry]).alias("row"), F.col(html).alias("_html"))
 

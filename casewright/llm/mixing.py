@@ -68,6 +68,24 @@ def _cut(hist: DataFrame) -> DataFrame:
     )
 
 
+def _refine(rows: DataFrame, state: DataFrame, hash_: str) -> DataFrame:
+    """``sid``, ``bucket`` (a whole hash), ``left``: where each source's budget ends among the rows by that hash.
+
+    ``state`` (sid, budget) is of the sources that have such a place among ``rows``.
+    """
+    total_bits = BITS * LEVELS
+    state = state.select("sid", F.lit(0).cast("bigint").alias("prefix"), "budget")  # and the leading bits so far
+    narrow = rows.select("sid", "size", F.col(hash_).alias("h"))
+    for level in range(1, LEVELS + 1):
+        shift = total_bits - BITS * level
+        inside = narrow.join(state, "sid").filter(F.shiftright("h", shift + BITS) == F.col("prefix"))
+        hist = inside.groupBy("sid", F.shiftright("h", shift).alias("bucket")).agg(
+            F.sum("size").alias("n"), F.first("budget").alias("budget")
+        )
+        state = materialize(_cut(hist).select("sid", F.col("bucket").alias("prefix"), F.col("left").alias("budget")))
+    return state.select("sid", F.col("prefix").alias("bucket"), F.col("budget").alias("left"))
+
+
 def mix_sources(
     docs: DataFrame,
     key: str = "doc_id",
@@ -84,12 +102,13 @@ def mix_sources(
     A source at r times its size takes every row floor(r) times, and for the rest once more
     the rows whose hash lies below the source's threshold. The threshold comes from
     histograms: sizes by source and leading hash bits; then only the bucket in which the
-    budget ends is counted by its next bits, until the bits are used up. Rows that share the
-    last bucket (identical rows) are left out together. Null texts have size 0; null is a
-    source of its own; a source without words has target 0.
+    budget ends is counted by its next bits, until the bits are used up. Where several rows share the
+    last bucket (rows of one key and text), they are cut in the same way by a hash of the carried columns, and
+    if these are the same too, by a hash of the row's number: which of identical rows is taken
+    makes no difference to the result. Null and empty texts have size 0 and are taken as often as others; null is a
+    source of its own; a source without words has target 0. A very long text may keep a source that much
+    below its target. An empty table gives no rows; columns not carried are ignored, whatever they are named.
     """
-    total_bits = BITS * LEVELS
-    spark = docs.sparkSession
     sized = docs.select(
         F.struct(*[F.col(c) for c in dict.fromkeys([key, *carry])]).alias("row"),
         F.col(source).alias("source"),
@@ -97,7 +116,11 @@ def mix_sources(
         n_words(text).alias("size"),
         mix_hash(key, text, seed).alias("h"),
     )
-    sized = materialize(sized)
+    sized = materialize(
+        sized.withColumns(
+            {"h2": F.shiftrightunsigned(F.xxhash64("row"), 4), "h3": F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 4)}
+        )
+    )
     per_source = sized.groupBy("source", "sid").agg(F.sum("size").alias("source_size"))
     targets = source_targets(per_source.select("source", "source_size"), weights, most).withColumn(
         "sid", F.xxhash64(F.coalesce(F.col("source"), F.lit("")), F.col("source").isNull())
@@ -109,25 +132,27 @@ def mix_sources(
         )
     )
 
-    # (source, prefix of the hash so far, size still to take within that prefix)
-    state = plan.select("sid", F.lit(0).cast("bigint").alias("prefix"), F.col("budget"))
-    narrow = sized.select("sid", "size", "h")
-    for level in range(1, LEVELS + 1):
-        shift = total_bits - BITS * level
-        inside = narrow.join(state, "sid").filter(F.shiftright("h", shift + BITS) == F.col("prefix"))
-        hist = inside.groupBy("sid", F.shiftright("h", shift).alias("bucket")).agg(
-            F.sum("size").alias("n"), F.first("budget").alias("budget")
-        )
-        state = materialize(
-            _cut(hist).select("sid", F.col("bucket").alias("prefix"), F.col("left").alias("budget"))
-        )
-    found = state.select("sid", F.col("prefix").alias("limit"))
-    plan = plan.join(found, "sid", "left").select("sid", "source_size", "target", "full", "limit")
+    state = plan.select("sid", "budget")
+    limits = ["h", "h2", "h3"]
+    same = sized.select("sid", "size", *limits)
+    for hash_ in limits:
+        state = _refine(same, state, hash_)
+        plan = plan.join(state.select("sid", F.col("bucket").alias(f"{hash_}_limit")), "sid", "left")
+        left = state.select("sid", F.col("bucket").alias(hash_), "left")
+        same = same.join(left, ["sid", hash_], "left_semi")
+        state = left.select("sid", F.col("left").alias("budget"))
+        if same.groupBy("sid").count().filter("count > 1").isEmpty():  # no two rows left to choose from
+            break
+    plan = plan.select("sid", "source_size", "target", "full", *[c for c in plan.columns if c.endswith("_limit")])
     # no limit: the whole source fits, which is so only where nothing is left to take
+    below = F.lit(False)
+    for hash_ in reversed([h for h in limits if f"{h}_limit" in plan.columns]):
+        limit = F.col(f"{hash_}_limit")
+        below = (F.col(hash_) < limit) | ((F.col(hash_) == limit) & below)
     return sized.join(plan, "sid").select(
         "row",
         "size",
         "source_size",
         "target",
-        (F.col("full") + F.when((F.col("h") < F.col("limit")), 1).otherwise(0)).alias("copies"),
+        (F.col("full") + F.when(below, 1).otherwise(0)).alias("copies"),
     )

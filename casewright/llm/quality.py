@@ -127,7 +127,8 @@ def fit_quality(
     held_out: int = 1,
     sample: int = X.SAMPLE,
 ) -> dict:
-    """The model fitted on labelled rows outside fold ``held_out`` of ``of``; at most about ``sample``.
+    """The model fitted on labelled rows outside fold ``held_out`` of ``of``: at most about ``sample`` of them
+    and about ``features.MOST_IDS`` feature ids, so that long texts don't make the fit larger.
 
     One task fits on the sample's feature ids; only the fitted weights reach the driver.
     """
@@ -137,16 +138,18 @@ def fit_quality(
     if n <= SMALL_LABELS:
         known = F.broadcast(known)
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(known, "_key")
-    found = X.with_features(rows.select("_key", "y", "_text"), "_text", X.style_features)
+    found = X.bounded_ids(X.with_features(rows.select("_key", "y", "_text"), "_text", X.style_features))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches), schema).sort_by("_key")
-        model = fit(*X.lists(table), table["y"].to_numpy())
+        (ids, ends), y = X.lists(table), table["y"].to_numpy()
+        del table
+        model = fit(ids, ends, y)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     schema = pa.schema([("_key", pa.int64()), ("y", pa.int32()), ("ids", pa.list_(pa.int32()))])
     one = found.select(F.col("_key").cast("bigint"), "y", "ids").repartition(1)
-    return pickle.loads(one.mapInArrow(run, "model binary").first()[0])
+    return pickle.loads(one.mapInArrow(T.released(run), "model binary").first()[0])
 
 
 def score_quality(docs: DataFrame, model: dict, text: str = "text", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -162,7 +165,7 @@ def score_quality(docs: DataFrame, model: dict, text: str = "text", carry: Seque
                 scores = score(known, vocabulary, *X.style_features(data, offsets), hi - lo)
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(lo, hi - lo), pa.array(scores)], ["row", "score"])
 
-    return picked.mapInArrow(run, f"row {picked.schema['row'].dataType.simpleString()}, score double")
+    return picked.mapInArrow(T.released(run), f"row {picked.schema['row'].dataType.simpleString()}, score double")
 
 
 def quality_scores(

@@ -98,7 +98,8 @@ def substring_dedup(
     A word goes if a window of ``n`` words covering it also starts earlier: in a row of
     smaller key, or earlier in the same row. Null or empty texts have no words and an empty
     kept text; a null key counts as the largest. Rows of equal keys rank by their text, and of
-    identical rows one keeps its words. Columns not carried are ignored, whatever they are named.
+    identical rows one keeps its words. Bytes that are not UTF-8 are kept as they are. A very long text
+    is hashed and cut whole, in the task of its chunk. Columns not carried are ignored, whatever they are named.
     """
     names = list(dict.fromkeys([key, *carry]))
     bounds = chunk_bounds(docs, key, text, chunk_bytes)
@@ -139,7 +140,7 @@ def substring_dedup(
     row_type = keyed.schema["row"].dataType.simpleString()
     out = (
         f"row {row_type}, n_words bigint, n_removed bigint, "
-        "removed array<struct<first:int,last:int>>, kept_text string"
+        "removed array<struct<first:int,last:int>>, kept_text binary"
     )
 
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -179,10 +180,11 @@ def substring_dedup(
                 "n_words": pa.array(counts, pa.int64()),
                 "n_removed": pa.array(lost),
                 "removed": pa.array(removed, spans),
-                "kept_text": pa.array(kept, pa.binary()).cast(pa.string()),
+                "kept_text": pa.array(kept, pa.binary()),
             }
         )
 
     hashes = keyed.groupBy("_chunk").applyInArrow(send, "_range int, _chunk int, _hashes binary")
     answers = hashes.groupBy("_range").applyInArrow(decide, "_range int, _chunk int, _later binary")
-    return keyed.groupBy("_chunk").cogroup(answers.groupBy("_chunk")).applyInArrow(remove, out)
+    found = keyed.groupBy("_chunk").cogroup(answers.groupBy("_chunk")).applyInArrow(remove, out)
+    return found.withColumn("kept_text", F.col("kept_text").cast("string"))

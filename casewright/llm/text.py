@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,25 @@ _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 _powers = np.ones(1, np.uint64)
 
 
+def released(run: Callable) -> Callable:
+    """``run`` over a task's batches; a worker then gives back the memory that it has freed.
+
+    Workers live on from one task to the next, and a later task may be of another kind.
+    """
+
+    @functools.wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim is not None:
+                trim(0)
+
+    return whole
+
+
 def powers(n: int, factor: int = _FACTOR) -> np.ndarray:
     """factor ** 0 .. factor ** (n - 1) modulo 2 ** 64."""
     steps = np.full(max(n, 1), factor, np.uint64)

@@ -125,7 +125,8 @@ def training_shards(sequences: DataFrame, seed: int = 1, per_shard: int = SHARD)
     sizes = stored.groupBy("chunk").agg(F.count("*").alias("n"))  # one row per chunk
     total = sizes.agg(F.sum("n")).first()[0] or 0
     starts = sizes.select("chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    numbered = stored.join(starts, "chunk").withColumn("index", F.col("start") + F.col("seq"))
+    # one row per chunk, of which there are at most ``chunks.SAMPLE``
+    numbered = stored.join(F.broadcast(starts), "chunk").withColumn("index", F.col("start") + F.col("seq"))
 
     @F.pandas_udf("bigint")
     def slot(index: pd.Series) -> pd.Series:

@@ -15,9 +15,9 @@ from casewright.llm.features import lists
 
 MARK = "▁"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
-PAIRS = 250_000  # pairs of pieces that a worker remembers
-CACHED = 500_000  # distinct words whose ids a worker remembers
-GROUP = 32 << 20  # bytes of text whose distinct words are walked together
+PAIRS = 60_000  # pairs of pieces that a worker remembers
+CACHED = 100_000  # distinct words whose ids a worker remembers
+GROUP = 8 << 20  # bytes of text whose distinct words are walked together
 
 
 class Pieces:
@@ -303,7 +303,7 @@ def sentencepiece_encode(
                 yield pa.RecordBatch.from_arrays(columns, ["row", "ids", "decoded"][: len(columns)])
 
     out = f"row {picked.schema['row'].dataType.simpleString()}, ids array<int>"
-    return picked.mapInArrow(run, out + (", decoded string" if decoded else ""))
+    return picked.mapInArrow(T.released(run), out + (", decoded string" if decoded else ""))
 
 
 def sentencepiece_decode(encoded: DataFrame, ids: str = "ids", path: str = PIECES, carry: Sequence[str] = ("doc_id",)) -> DataFrame:

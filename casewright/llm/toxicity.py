@@ -200,8 +200,8 @@ def _in_one_task(rows: DataFrame, label: str, kind: pa.DataType, fit: Callable)
         made = fit(*X.lists(table), table[label].to_numpy())
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made)], pa.binary())], ["made"])
 
-    picked = rows.select(F.col("_key").cast("bigint"), label, "ids").repartition(1)
-    return pickle.loads(picked.mapInArrow(run, "made binary").first()[0])
+    picked = X.bounded_ids(rows.select(F.col("_key").cast("bigint"), label, "ids")).repartition(1)
+    return pickle.loads(picked.mapInArrow(T.released(run), "made binary").first()[0])
 
 
 def _with_votes(rows: DataFrame, stems: np.ndarray) -> DataFrame:
