@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casewright.llm.mixing import mix_sources
-from casewright.llm.near_copies import near_copy_groups
 from casewright.llm.quality import quality_scores
+from casewright.llm.simhash import simhash_groups
 from casewright.llm.substring_dedup import substring_dedup
 from casewright.llm.tokenizer import MARK, sentencepiece_encode
 from casewright.session import materialize
@@ -32,16 +32,16 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near-duplicates: five-word Jaccard of 0.8 or more.
+    """The document of smallest id of each SimHash component: four-word shingles, at most four differing bits.
 
-    Of several rows with that id the one with the least text (then language, source) stays.
+    Documents without words (null, empty) are one component. Of several rows with that id the one with the least text (then language, source) stays.
     Of a group in which no row has an id, one row stays by the same order.
     """
     marked = docs.select(*COLUMNS).withColumns(
         {"_id": F.coalesce("doc_id", F.lit(-(1 << 63))), "_hash": F.xxhash64("text")}
     )
     lean = ["doc_id", "lang", "source", "n_chars", "_id", "_hash"]
-    groups = near_copy_groups(marked, carry=lean).filter("component_id IS NULL OR row.doc_id = component_id")
+    groups = simhash_groups(marked, n=4, radius=4, carry=lean).filter("component_id IS NULL OR row.doc_id = component_id")
     order = ["_hash", "lang", "source", "n_chars"]
     first = Window.partitionBy("root").orderBy(*order)  # rows of the smallest id: one, unless ids repeat
     chosen = groups.select("row.*", "root").withColumn("_k", F.row_number().over(first)).filter("_k = 1")
@@ -74,20 +74,21 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source and token ids of every row; each row's ids are decoded and must give its text.
+    """doc_id, source, token ids, their number, and whether the ids decode to the row's text, of every row.
 
-    The model writes a space as a mark, so that a mark in a text comes back as a space.
+    The model writes a space as a mark, so that a mark in a text comes back as a space. Null and empty texts
+    have no ids and decode to the empty text; a row that does not decode is marked, not dropped.
     """
     marked = docs.withColumn("_hash", F.xxhash64(F.translate(F.coalesce("text", F.lit("")), MARK, " ")))
     coded = sentencepiece_encode(marked, carry=["doc_id", "source", "_hash"])
-    wrong = F.raise_error(F.concat(F.lit("ids do not decode to the text of doc_id "), F.coalesce(F.col("row.doc_id").cast("string"), F.lit("null"))))
-    ids = F.when(F.xxhash64("decoded") == F.col("row._hash"), F.col("ids")).otherwise(wrong)
-    return coded.select("row.doc_id", "row.source", ids.alias("ids")).withColumn("n_tokens", F.size("ids"))
+    same = (F.xxhash64("decoded") == F.col("row._hash")).alias("decodes")
+    return coded.select("row.doc_id", "row.source", "ids", F.size("ids").alias("n_tokens"), same)
+
 
 
 STAGES = [
     ("quality classifier", quality_filter),
-    ("near-duplicates", near_dedup),
+    ("SimHash near-dedup", near_dedup),
     ("substring dedup", passage_dedup),
     ("mixing", mix),
     ("sentencepiece", tokenise),
