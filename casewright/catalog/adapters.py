@@ -23,6 +23,16 @@ DOC_WEAK = [r"^the ", r"from.{0,20}this", r"erble\s+[a-z]+", r"\snicht\s+", r"ou
 DOC_PHRASES = phrase_rows(
     DOC_STRONG, DOC_WEAK, ["with", "that", "thble"], ["the ", "from", "erble", "nicht", "ouaux"]
 )
+# One text for each of the default phrases, in their order.
+PHRASE_TEXTS = [
+    "surgical intervention for chronic sinusitis", "Surgical  treatment of acute sinusitis", "proceed with surgical intervention",
+    "surgical management of the worst crs", "PLAN FOR her next sinus surgery", "schedule for sinus surgery", "candidate for nasal surgery",
+    "patient was elected to proceed with sinus surgery", "recommend to do FESS", "ess is planned", "considering ESS",
+    "surgical planning", "surgical review, discussion", "Assessment and plan: rest", "surgery was not discussed", "sinus surgery was discussed",
+    "consider endoscopic surgery", "patient agrees with the plan", "we have discussed sinus surgery", "consented for surgery",
+    "referred to ENT for evaluation and surgery", "ESS", "fess", "SEPT", "ESS/FESS", "endoscopic sinus surgery",
+    "functional endoscopic sinus surgery", "septoplasty", "turbinate reduction", "turbinectomy", "balloon sinuplasty", "polypectomy",
+]
 DOC_KEYWORDS = ["thing", "nicht", "ouaux"]
 DOC_INSUFFICIENT = ["thble ", "nicht ", "Queque"]
 
@@ -31,6 +41,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def doc_date():
+    """A day for each document, which many share."""
+    return F.expr("timestampadd(DAY, doc_id % 97, timestamp_ntz'2020-01-01 00:00:00')")
+
+
 def event_items(spark: SparkSession, sf_dir: str, event_type: str | None = None) -> DataFrame:
     """Events as notes or reports."""
     events = table(spark, sf_dir, "events")

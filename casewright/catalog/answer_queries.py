@@ -16,6 +16,7 @@ from casewright.functions.answers import (
     parse_labelled_answer,
     path_safe,
 )
+from casewright.operators import bitmaps as B
 from casewright.operators import progress as P
 from casewright.operators.filters import between_cases
 from casewright.operators.numbering import assign_batches
@@ -138,6 +139,46 @@ def _earlier_run(spark, d, store):
     append_results(earlier, store, "run-0")
 
 
+def _seen(spark, d):
+    """The finished ids of two rounds, kept as bitmaps that overlap."""
+    seen, docs = _store(spark), A.table(spark, d, "documents").select(F.col("doc_id").alias("llm_caseID"))
+    B.add_to_bitmap(docs.filter("llm_caseID % 3 = 0"), seen)
+    B.add_to_bitmap(docs.filter("llm_caseID % 5 < 2 OR llm_caseID = 7"), seen)
+    return docs, B.read_bitmap(spark, seen)
+
+
+def pending_bitmap(spark, d):
+    return B.pending_by_bitmap(*_seen(spark, d))
+
+
+def batches_bitmap(spark, d):
+    docs, seen = _seen(spark, d)
+    return B.completed_by_bitmap(docs.withColumn("batch_no", F.floor(F.col("llm_caseID") / 4)), seen)
+
+
+def scoring_seen(spark, d):
+    """A run that keeps its finished ids as bitmaps, and the same run again, which finds nothing to ask."""
+    store, seen = _store(spark), _store(spark)
+    _earlier_run(spark, d, store)
+    cases = A.document_cases(spark, d).select(*[f.name for f in schemas.CASE])
+    for n in (1, 2):
+        found = run_scoring(
+            cases,
+            store,
+            A.respond,
+            provider="stub",
+            model_name="length/1",
+            run_id=f"run-{n}",
+            build_prompts=lambda share: share.withColumn("prompt", F.col("formatted_progress_text")),
+            rounds=2,
+            concurrency=8,
+            seen=seen,
+        )
+    stored = read_results(spark, store).agg(F.count("*").alias("n")).scalar()
+    kept = B.bitmap_size(B.read_bitmap(spark, seen)).select("n_ids").scalar()
+    return found.groupBy("run_id").agg(F.count("*").alias("n_cases")).withColumns({"n_stored": stored, "n_ids": kept})
+
+
 def scoring_resume(spark, d):
     store = _store(spark)
     _earlier_run(spark, d, store)
@@ -206,6 +247,9 @@ QUERIES = {
     "attach_responses": stored_answers,
     "scoring_resume": scoring_resume,
     "few_shot_run": few_shot_run,
+    "pending_bitmap": pending_bitmap,
+    "batches_bitmap": batches_bitmap,
+    "scoring_seen": scoring_seen,
     "scoring_stream": scoring_stream,
 }
 
@@ -337,5 +381,12 @@ SELECT doc_id AS "llm_caseID", source AS prompt, api_response FROM documents JOI
     "scoring_resume": f"""{_RESUMED} SELECT id AS "llm_caseID", decision, CAST(confidence AS DOUBLE) AS confidence, reasoning,
   api_response, parse_status, 'stub' AS provider, 'length/1' AS model_name, run_id FROM every""",
     "few_shot_run": _FEW_SHOT_RUN,
+    "pending_bitmap": """SELECT doc_id AS "llm_caseID" FROM documents WHERE NOT (doc_id % 3 = 0 OR doc_id % 5 < 2 OR doc_id = 7)""",
+    "batches_bitmap": """SELECT CAST(doc_id // 4 AS BIGINT) AS batch_no, count(*) AS n_cases,
+  count(*) FILTER (WHERE doc_id % 3 = 0 OR doc_id % 5 < 2 OR doc_id = 7) AS n_done,
+  bool_and(doc_id % 3 = 0 OR doc_id % 5 < 2 OR doc_id = 7) AS complete FROM documents GROUP BY doc_id // 4""",
+    "scoring_seen": f"""{_RESUMED} SELECT run_id, count(*) AS n_cases,
+  (SELECT count(*) FROM fresh) + (SELECT count(*) FROM stored) AS n_stored, (SELECT count(DISTINCT id) FROM every) AS n_ids
+FROM every GROUP BY run_id""",
     "scoring_stream": f"""{_RESUMED} SELECT id AS "llm_caseID", decision, CAST(confidence AS DOUBLE) AS confidence, reasoning FROM every""",
 }

@@ -49,23 +49,17 @@ notes AS (SELECT {_ITEM} FROM events WHERE event_type = 'view'),
 reports AS (SELECT {_ITEM} FROM events WHERE event_type = 'error')"""
 
 
-def _phrase_case(chunk: str, render) -> str:
-    tests = " ".join(
-        f"WHEN regexp_matches({chunk}, {quoted(p.pattern)}, 'i') THEN {render(p)}" for p in A.DOC_PHRASES
-    )
-    return f"CASE {tests} END"
-
-
-def phrase_no(chunk: str) -> str:
+def phrase_no(chunk: str, phrases=A.DOC_PHRASES) -> str:
     """Priority of the first phrase found in a chunk."""
-    return _phrase_case(chunk, lambda p: str(p.priority))
+    tests = " ".join(f"WHEN regexp_matches({chunk}, {quoted(p.pattern)}, 'i') THEN {p.priority}" for p in phrases)
+    return f"CASE {tests} END"
 
 
-def phrase_text(number: str, chunk: str) -> tuple[str, str]:
+def phrase_text(number: str, chunk: str, phrases=A.DOC_PHRASES) -> tuple[str, str]:
     """(pattern, matched text) of a phrase number in a chunk."""
-    pattern = " ".join(f"WHEN {p.priority} THEN {quoted(p.pattern)}" for p in A.DOC_PHRASES)
+    pattern = " ".join(f"WHEN {p.priority} THEN {quoted(p.pattern)}" for p in phrases)
     matched = " ".join(
-        f"WHEN {p.priority} THEN regexp_extract({chunk}, {quoted(p.pattern)}, 0, 'i')" for p in A.DOC_PHRASES
+        f"WHEN {p.priority} THEN regexp_extract({chunk}, {quoted(p.pattern)}, 0, 'i')" for p in phrases
     )
     return f"CASE {number} {pattern} END", f"CASE {number} {matched} END"
 
@@ -73,19 +67,18 @@ def phrase_text(number: str, chunk: str) -> tuple[str, str]:
 BLANKS = "' ' || chr(9) || chr(10) || chr(13)"
 
 
-def censored(texts: str) -> str:
+def censored(texts: str, phrases=A.DOC_PHRASES, lines: str = "string_split(text, chr(10))", glue: str = "chr(10)") -> str:
     """CTEs ending in cut(doc_id, original, text, pattern, matched, cut_chunk) for texts(doc_id, text)."""
-    lines = "string_split(text, chr(10))"
-    pattern, matched = phrase_text("b.no", "b.chunk")
-    n_strong = len(A.DOC_STRONG)
+    pattern, matched = phrase_text("b.no", "b.chunk", phrases)
+    n_strong = sum(p.strength == "strong" for p in phrases)
     return f"""lines AS (SELECT doc_id, unnest({lines}) AS chunk, generate_subscripts({lines}, 1) - 1 AS pos FROM {texts}),
-numbered AS (SELECT doc_id, chunk, pos, {phrase_no('chunk')} AS no FROM lines),
+numbered AS (SELECT doc_id, chunk, pos, {phrase_no('chunk', phrases)} AS no FROM lines),
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id
     ORDER BY CASE WHEN no <= {n_strong} THEN pos ELSE 2000000 - pos END) AS rn FROM numbered WHERE no IS NOT NULL),
 cut AS (SELECT t.doc_id, t.text AS original,
   CASE WHEN length(trim(t.text, {BLANKS})) < 500 THEN ''
        WHEN b.pos IS NULL THEN t.text
-       ELSE coalesce(array_to_string(list_slice({lines}, 1, b.pos), chr(10)), '') END AS text,
+       ELSE coalesce(array_to_string(list_slice({lines}, 1, b.pos), {glue}), '') END AS text,
   CASE WHEN length(trim(t.text, {BLANKS})) >= 500 THEN {pattern} END AS pattern,
   CASE WHEN length(trim(t.text, {BLANKS})) >= 500 THEN {matched} END AS matched,
   CASE WHEN length(trim(t.text, {BLANKS})) >= 500 THEN CAST(b.pos AS INTEGER) END AS cut_chunk

@@ -11,11 +11,21 @@ from casewright.catalog import adapters as A
 from casewright.catalog import answer_queries as Q
 from casewright.catalog import eval_queries as E
 from casewright.operators import metrics as M
+from casewright.operators.cohort import collect_history, collect_text
+from casewright.operators.registry import number_with_registry, read_page, write_page_index
+from casewright.operators.sketches import overlap_estimates, relative_error, shard_sketches
 from casewright.plans.scoring_run import run_scoring
 from casewright.session import shared_dir
 from casewright.sources.exports import export_eval_csv, export_insufficient, export_review_sample
-from casewright.sources.results import final_path, read_results
-from casewright.sources.tables import load_tables, profile_tables, read_shards
+from casewright.sources.results import (
+    append_results,
+    compact_results,
+    final_path,
+    read_results,
+    read_version,
+    unreadable_files,
+)
+from casewright.sources.tables import load_tables, profile_tables, read_shards, union_all
 
 
 def _folder(spark):
@@ -125,7 +135,107 @@ def csv_review(spark, d):
     return read("full").unionByName(read("sample"))
 
 
+def store_compacted(spark, d):
+    """Twenty rounds, compacted, one round more, compacted again: what readers of each version find."""
+    store = _folder(spark)
+    answers = A.document_results(spark, d).select("llm_caseID", "confidence", "reasoning")
+    for name in schemas.RESULT.fieldNames():
+        if name not in answers.columns:
+            answers = answers.withColumn(name, F.lit("p" if name == "provider" else None).cast(schemas.RESULT[name].dataType))
+    turn = F.pmod(F.xxhash64("llm_caseID"), F.lit(21))
+    for n in range(20):
+        append_results(answers.filter(turn == n), store, f"run-{n:02d}")
+    first = compact_results(spark, store)
+    append_results(answers.filter(turn == 20), store, "run-20")
+    old = read_version(spark, store, first)
+    second = compact_results(spark, store)
+    readers = {"plain": read_results(spark, store), "first": old, "second": read_version(spark, store, second)}
+    files = lambda df: df.select("_metadata.file_name").distinct().count()
+    fewer = files(spark.read.parquet(f"{store}_compacted/rows").filter(F.col("version") == second)) < files(spark.read.parquet(store))
+    rows = [df.select(F.lit(name).alias("reader"), "llm_caseID", "confidence", F.md5("reasoning").alias("reasoning_md5"), F.lit(fewer).alias("fewer_files")) for name, df in readers.items()]
+    return union_all(rows)
+
+
+def unreadable_report(spark, d):
+    """A store with one damaged file: its name is reported, the rows of the other files are read."""
+    store = _folder(spark)
+    answers = A.document_results(spark, d).select("llm_caseID", "confidence", "reasoning")
+    for name in schemas.RESULT.fieldNames():
+        if name not in answers.columns:
+            answers = answers.withColumn(name, F.lit("p" if name == "provider" else None).cast(schemas.RESULT[name].dataType))
+    append_results(answers, store, "run-0")
+    fs = spark._jvm.org.apache.hadoop.fs
+    target = fs.Path(f"{store}/provider=p/run_id=run-0/damaged.parquet")
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(b"no parquet"))
+    out.close()
+    found = read_results(spark, store, skip_unreadable=True).agg(F.count("*").alias("n")).scalar()
+    return unreadable_files(spark, store).withColumn("n_rows", found)
+
+
+def case_registry(spark, d):
+    """Documents in two loads: numbers of the first stay, new ones follow."""
+    registry = _folder(spark)
+    docs = A.table(spark, d, "documents").select(F.col("doc_id").alias("patient_id"))
+    number_with_registry(docs.filter("patient_id % 2 = 0"), registry).count()
+    return number_with_registry(docs, registry)
+
+
+def indexed_pages(spark, d):
+    """Three pages of users from a kept index of ranges."""
+    index = _folder(spark)
+    users = A.table(spark, d, "events").select(F.col("user_id").alias("patient_id"))
+    write_page_index(users, index)
+    return union_all([read_page(spark, index, 7, n).withColumn("page_no", F.lit(n)) for n in (0, 1, 3)])
+
+
+def customer_sketches(spark, d):
+    """Distinct customers of order shards: exact, and whether the sketches are within 3 %."""
+    orders = A.table(spark, d, "orders")
+    sketches = shard_sketches(orders, "o_orderstatus", "o_custkey")
+    exact = orders.groupBy("o_orderstatus").agg(F.countDistinct("o_custkey").alias("n_customers"))
+    close = relative_error(F.col("estimate"), F.col("n_customers")) < 0.03
+    return exact.join(sketches, "o_orderstatus").select("o_orderstatus", "n_customers", close.alias("close"))
+
+
+def customer_overlaps(spark, d):
+    """Customers that two order shards share: exact, and whether the sketches keep their bound."""
+    orders = A.table(spark, d, "orders")
+    held = orders.select("o_orderstatus", "o_custkey").distinct()
+    pairs = held.toDF("a", "o_custkey").join(held.toDF("b", "o_custkey"), "o_custkey").filter("a < b")
+    exact = pairs.groupBy("a", "b").agg(F.count("*").alias("n_both"))
+    found = overlap_estimates(exact.select("a", "b"), shard_sketches(orders, "o_orderstatus", "o_custkey"), "o_orderstatus")
+    bounded = F.abs(F.col("both") - F.col("n_both")) <= F.col("both_error") + 0.5
+    return exact.join(found, ["a", "b"]).select("a", "b", "n_both", bounded.alias("bounded"))
+
+
+def whole_texts(spark, d):
+    """All documents of a source as one text, joined in parts of 64 KB."""
+    notes = A.table(spark, d, "documents").select(F.col("source").alias("patient_id"), F.col("doc_id").alias("note_seq"), "text", A.doc_date().alias("date"))
+    joined = collect_text(notes, "summary", max_items=None, part_bytes=1 << 16)
+    return joined.select("patient_id", F.length("summary").alias("n_chars"), F.md5("summary").alias("summary_md5"))
+
+
+def whole_histories(spark, d):
+    """All documents of a source as one history, nested in parts of 64 KB."""
+    notes = A.table(spark, d, "documents").select(
+        F.col("source").alias("patient_id"), F.col("doc_id").alias("note_seq"), "text", A.doc_date().alias("date"),
+        F.lit(None).cast("string").alias("type"), F.col("lang").alias("title"),
+    )
+    nested = collect_history(notes, "items", max_items=None, part_bytes=1 << 16)
+    shown = F.array_join(F.transform("items", lambda i: F.concat(i["title"], F.lit(":"), F.md5(i["text"]))), "|")
+    return nested.select("patient_id", "part", F.size("items").cast("bigint").alias("n_items"), F.md5(shown).alias("items_md5"))
+
+
 QUERIES = {
+    "store_compacted": store_compacted,
+    "unreadable_report": unreadable_report,
+    "case_registry": case_registry,
+    "indexed_pages": indexed_pages,
+    "customer_sketches": customer_sketches,
+    "customer_overlaps": customer_overlaps,
+    "whole_texts": whole_texts,
+    "whole_histories": whole_histories,
     "shard_read": shard_read,
     "tables_loaded": tables_loaded,
     "run_snapshots": run_snapshots,
@@ -143,7 +253,24 @@ _COUNTS = {
     "procedures": "(SELECT count(*) FROM events WHERE event_type = 'purchase')",
 }
 
+_ANSWERS = """SELECT doc_id AS "llm_caseID", CASE WHEN doc_id % 13 <> 0 THEN CAST(1 + doc_id % 10 AS DOUBLE) END AS confidence,
+  md5(text) AS reasoning_md5 FROM documents"""
+
 ORACLE = {
+    "store_compacted": f"""SELECT reader, answers.*, true AS fewer_files
+FROM ({_ANSWERS}) answers, (SELECT unnest(['plain', 'first', 'second']) AS reader) readers""",
+    "unreadable_report": """SELECT 'damaged.parquet' AS file_name, CAST(10 AS BIGINT) AS length, (SELECT count(*) FROM documents) AS n_rows""",
+    "case_registry": """SELECT doc_id AS patient_id, row_number() OVER (ORDER BY doc_id % 2, doc_id) AS "llm_caseID" FROM documents""",
+    "indexed_pages": """SELECT patient_id, CAST(no // 7 AS INTEGER) AS page_no
+FROM (SELECT user_id AS patient_id, row_number() OVER (ORDER BY user_id) - 1 AS no FROM (SELECT DISTINCT user_id FROM events))
+WHERE no // 7 IN (0, 1, 3)""",
+    "customer_sketches": """SELECT o_orderstatus, count(DISTINCT o_custkey) AS n_customers, true AS "close" FROM orders GROUP BY o_orderstatus""",
+    "customer_overlaps": """WITH held AS (SELECT DISTINCT o_orderstatus AS s, o_custkey FROM orders)
+SELECT x.s AS a, y.s AS b, count(*) AS n_both, true AS bounded FROM held x JOIN held y ON x.o_custkey = y.o_custkey AND x.s < y.s GROUP BY x.s, y.s""",
+    "whole_texts": """SELECT source AS patient_id, CAST(length(s) AS INTEGER) AS n_chars, md5(s) AS summary_md5 FROM (
+  SELECT source, string_agg(text, chr(10) || '---' || chr(10) ORDER BY doc_id % 97, doc_id) AS s FROM documents GROUP BY source)""",
+    "whole_histories": """SELECT source AS patient_id, CAST(0 AS BIGINT) AS part, count(*) AS n_items,
+  md5(string_agg(lang || ':' || md5(text), '|' ORDER BY doc_id % 97, doc_id)) AS items_md5 FROM documents GROUP BY source""",
     "shard_read": """SELECT o_orderstatus, count(*) AS n_rows,
   count(o_orderpriority) FILTER (WHERE o_orderstatus = 'F') AS n_priority, max(o_orderkey) AS last_order
 FROM orders GROUP BY o_orderstatus""",

@@ -51,6 +51,56 @@ def censor_plan(spark, d):
     )
 
 
+def _planted(docs):
+    """The documents with wide gaps and phrases of the default vocabulary, both by the number of the document.
+
+    A quarter into the text a gap of 5 or 9 blanks, the phrase and a second gap; in every third
+    document halfway another phrase between gaps of the other width.
+    """
+    k = F.pmod(F.col("doc_id"), F.lit(len(A.PHRASE_TEXTS))).cast("int")
+    other = F.pmod(F.col("doc_id") * 7 + 3, F.lit(len(A.PHRASE_TEXTS))).cast("int")
+    texts = F.array(*[F.lit(t) for t in A.PHRASE_TEXTS])
+    narrow, wide = F.lit(" " * 5), F.lit(" " * 9)
+    gap = F.when(F.col("doc_id") % 2 == 0, narrow).otherwise(wide)
+    turn = F.when(F.col("doc_id") % 2 == 0, wide).otherwise(narrow)
+    quarter, half = F.floor(F.length("text") / 4).cast("int"), F.floor(F.length("text") / 2).cast("int")
+    second = F.when(F.col("doc_id") % 3 == 0, F.concat(turn, F.get(texts, other), turn)).otherwise("")
+    return docs.select(
+        "doc_id",
+        F.concat(
+            F.substring("text", F.lit(1), quarter), gap, F.get(texts, k), gap,
+            F.substring("text", quarter + 1, half - quarter), second, F.substring("text", half + 1, F.length("text")),
+        ).alias("text"),
+    )
+
+
+def censor_default(spark, d):
+    """The default phrases and gaps over all documents, each with a phrase of the vocabulary."""
+    docs = _planted(A.table(spark, d, "documents"))
+    docs = docs.select("doc_id", F.col("text").alias("original"), X.censor_plan(F.col("text")).alias("cut"))
+    return docs.select("doc_id", "original", "cut.*").select(
+        "doc_id",
+        F.md5("text").alias("text_md5"),
+        "pattern",
+        "matched",
+        "cut_chunk",
+        F.md5(X.removed_tail(F.col("original"), F.col("text"))).alias("removed_md5"),
+    )
+
+
+def default_chunks(spark, d):
+    """The chunks that the default gaps make of the same texts."""
+    chunks = _planted(A.table(spark, d, "documents")).select("doc_id", F.posexplode(X.chunks(F.col("text"))).alias("pos", "chunk"))
+    return chunks.select("doc_id", "pos", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("chunk_md5"))
+
+
+def default_first_phrase(spark, d):
+    """The first default phrase of each of these chunks."""
+    chunks = _planted(A.table(spark, d, "documents")).select("doc_id", F.posexplode(X.chunks(F.col("text"))).alias("pos", "chunk"))
+    found = chunks.select("doc_id", "pos", X.compute_once(X.first_phrase(F.col("chunk"))).alias("hit"))
+    return found.filter(F.col("hit").isNotNull()).select("doc_id", "pos", "hit.priority", "hit.strength", "hit.matched")
+
+
 def censor_sentences(spark, d):
     docs = A.table(spark, d, "documents")
     return docs.select("doc_id", X.censor_sentences(F.col("text"), SENTENCE_KEYWORDS).alias("censored"))
@@ -222,6 +272,9 @@ QUERIES = {
     "text_chunks": text_chunks,
     "first_phrase": first_phrase,
     "censor_plan": censor_plan,
+    "censor_default": censor_default,
+    "default_chunks": default_chunks,
+    "default_first_phrase": default_first_phrase,
     "censor_sentences": censor_sentences,
     "censor_fallback": censor_fallback,
     "prepare_cases": prepared_cases,
@@ -319,6 +372,17 @@ _TRIM = """counted AS (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTIT
   FROM conversations WINDOW w AS (PARTITION BY conv_id)),
 trimmed AS (SELECT conv_id, turn, role, text FROM counted WHERE n <= 5 OR rn <= 1 OR rn > n - 3)"""
 
+_LIST = ", ".join(S.quoted(t) for t in A.PHRASE_TEXTS)
+_GAP, _TURN = ["repeat(' ', CASE WHEN doc_id % 2 = 0 THEN {} ELSE {} END)".format(*n) for n in ((5, 9), (9, 5))]
+_PLANTED = f"""listed AS (SELECT [{_LIST}] AS t),
+planted AS (SELECT doc_id, substr(text, 1, length(text) // 4) || {_GAP} || t[doc_id % {len(A.PHRASE_TEXTS)} + 1] || {_GAP}
+    || substr(text, length(text) // 4 + 1, length(text) // 2 - length(text) // 4)
+    || CASE WHEN doc_id % 3 = 0 THEN {_TURN} || t[(doc_id * 7 + 3) % {len(A.PHRASE_TEXTS)} + 1] || {_TURN} ELSE '' END
+    || substr(text, length(text) // 2 + 1) AS text
+  FROM documents, listed)"""
+_WIDE = r"string_split_regex(text, '\s{5,}')"
+_WIDE_CHUNKS = f"""chunked AS (SELECT doc_id, unnest({_WIDE}) AS chunk, CAST(generate_subscripts({_WIDE}, 1) - 1 AS INTEGER) AS pos FROM planted)"""
+
 ORACLE = {
     "text_chunks": f"""WITH c AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS chunk,
   generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)
@@ -328,6 +392,14 @@ SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(length(chunk) AS INTEGER) AS n_
 SELECT doc_id, CAST(no AS INTEGER) AS priority,
   CASE WHEN no <= {len(A.DOC_STRONG)} THEN 'strong' ELSE 'weak' END AS strength, {S.phrase_text('no', 'text')[1]} AS matched
 FROM n WHERE no IS NOT NULL""",
+    "censor_default": f"""WITH {_PLANTED}, {S.censored('planted', vocab.PHRASES, _WIDE, "repeat(' ', 5)")}
+SELECT doc_id, md5(text) AS text_md5, pattern, matched, cut_chunk, md5({S.REMOVED}) AS removed_md5 FROM cut""",
+    "default_chunks": f"""WITH {_PLANTED}, {_WIDE_CHUNKS}
+SELECT doc_id, pos, CAST(length(chunk) AS INTEGER) AS n_chars, md5(chunk) AS chunk_md5 FROM chunked""",
+    "default_first_phrase": f"""WITH {_PLANTED}, {_WIDE_CHUNKS},
+numbered AS (SELECT *, {S.phrase_no('chunk', vocab.PHRASES)} AS priority FROM chunked)
+SELECT doc_id, pos, CAST(priority AS INTEGER) AS priority, CASE WHEN priority <= {len(vocab.STRONG_PHRASES)} THEN 'strong' ELSE 'weak' END AS strength,
+  {S.phrase_text('priority', 'chunk', vocab.PHRASES)[1]} AS matched FROM numbered WHERE priority IS NOT NULL""",
     "censor_plan": f"""WITH {S.censored('documents')}
 SELECT doc_id, md5(text) AS text_md5, pattern, matched, cut_chunk, md5({S.REMOVED}) AS removed_md5 FROM cut""",
     "censor_sentences": """SELECT doc_id, array_to_string(list_filter(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -71,32 +72,50 @@ def java_pattern(pattern: str, lowered: bool = False) -> str:
     )
 
 
-def _first_match(chunk: Column, phrases: Sequence[Phrase], result: Callable[[int, Phrase], Column]) -> Column:
-    """The result for the first phrase found in the chunk, in priority order, else null."""
+def literals(phrases: Sequence[Phrase]) -> list[str]:
+    """The distinct literal words of the phrases: the keys of their inverted index."""
+    return sorted({p.word for p in phrases if p.word is not None})
+
+
+def literals_found(low: Column, phrases: Sequence[Phrase]) -> Column:
+    """Bits of the literal words that occur in a lower-cased text: each word is looked for once, whatever its phrases."""
+    bits = [F.when(low.contains(word), F.lit(1 << n).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for n, word in enumerate(literals(phrases))]
+    return reduce(Column.bitwiseOR, bits) if bits else F.lit(0).cast("bigint")
+
+
+def _first_match(
+    low: Column, phrases: Sequence[Phrase], result: Callable[[int, Phrase], Column], present: Column | None = None
+) -> Column:
+    """The result for the first phrase found in the lower-cased chunk, in priority order, else null.
+
+    ``present`` has the bits of the literal words of a text that holds the chunk: phrases of
+    other words are not even looked for.
+    """
     ordered = sorted(phrases, key=lambda p: p.priority)
+    number = {word: n for n, word in enumerate(literals(phrases))}
 
-    def matches(low, phrase):
+    def matches(phrase):
         hit = low.rlike(java_pattern(phrase.pattern, lowered=True))
-        return hit if phrase.word is None else low.contains(phrase.word) & hit
-
-    def found(low):
-        return F.coalesce(*[F.when(matches(low, p), result(n, p)) for n, p in enumerate(ordered)])
+        if phrase.word is None:
+            return hit
+        hit = low.contains(phrase.word) & hit
+        return hit if present is None else (present.bitwiseAND(F.lit(1 << number[phrase.word]).cast("bigint")) != 0) & hit
 
-    return let(F.lower(chunk), found)
+    return F.coalesce(*[F.when(matches(p), result(n, p)) for n, p in enumerate(ordered)])
 
 
 def first_phrase(chunk: Column, phrases: Sequence[Phrase] = vocab.PHRASES) -> Column:
     """struct(priority, strength, pattern, matched) of the first phrase found, else null."""
-    return _first_match(
-        chunk,
-        phrases,
-        lambda _, p: F.struct(
+
+    def found(_, p):
+        return F.struct(
             F.lit(p.priority).alias("priority"),
             F.lit(p.strength).alias("strength"),
             F.lit(p.pattern).alias("pattern"),
             F.regexp_substr(chunk, F.lit(java_pattern(p.pattern))).alias("matched"),
-        ),
-    )
+        )
+
+    return let(F.lower(chunk), lambda low: let(literals_found(low, phrases), lambda bits: _first_match(low, phrases, found, bits)))
 
 
 def censor_plan(
@@ -113,7 +132,8 @@ def censor_plan(
     Returns struct(text, pattern, matched, cut_chunk). A chunk belongs to its first
     phrase in priority order. The earliest strong chunk decides; without one, the
     latest weak chunk does. Texts under ``min_len`` characters become empty. Whole texts
-    are searched.
+    are searched: once for each literal word of the phrases (up to 62), and chunk by chunk only for the
+    phrases of the words that the text has. A text with none of the words is not split at all.
     """
     ordered = sorted(phrases, key=lambda p: p.priority)
     strong = [n for n, p in enumerate(ordered) if p.strength == "strong"]
@@ -129,12 +149,20 @@ def censor_plan(
             (F.lit(None).cast("int") if cut is None else cut).alias("cut_chunk"),
         )
 
-    def phrase_no(chunk):
-        return _first_match(chunk, ordered, lambda n, _: F.lit(n))
+    indexed = len(literals(ordered)) <= 62
+    always = any(p.word is None for p in ordered) or not indexed
+    # a splitter without cased letters cuts a lower-cased text at the same places
+    split_low = split_on is None or split_on.lower() == split_on.upper()
 
-    def hits(parts):
+    def hits(text, low, present):
+        parts = chunks(low if split_low else text, min_ws, split_on)
+        searched = (lambda chunk: chunk) if split_low else F.lower
         labelled = F.transform(
-            parts, lambda chunk, i: F.struct(i.alias("at"), phrase_no(chunk).alias("no"))
+            parts,
+            lambda chunk, i: F.struct(
+                i.alias("at"),
+                let(searched(chunk), lambda c: _first_match(c, ordered, lambda n, _: F.lit(n), present)).alias("no"),
+            ),
         )
         return F.filter(labelled, lambda h: h["no"].isNotNull())
 
@@ -143,20 +171,32 @@ def censor_plan(
         latest_weak = F.array_max(F.filter(found, lambda h: ~h["no"].isin(strong)))
         return F.coalesce(earliest_strong, latest_weak) if strong else latest_weak
 
-    def cut(text, parts):
+    def cut(text, h):
         return let(
-            let(hits(parts), deciding),
-            lambda h: F.when(h.isNull(), outcome(text)).otherwise(
-                outcome(
-                    F.array_join(F.slice(parts, F.lit(1), h["at"]), glue),
-                    F.get(names, h["no"]),
-                    F.regexp_substr(F.get(parts, h["at"]), F.get(searches, h["no"])),
-                    h["at"],
-                )
+            chunks(text, min_ws, split_on),
+            lambda parts: outcome(
+                F.array_join(F.slice(parts, F.lit(1), h["at"]), glue),
+                F.get(names, h["no"]),
+                F.regexp_substr(F.get(parts, h["at"]), F.get(searches, h["no"])),
+                h["at"],
             ),
         )
 
-    searched = let(c, lambda text: let(chunks(text, min_ws, split_on), lambda parts: cut(text, parts)))
+    def decided(text, low, present):
+        return let(
+            let(hits(text, low, present), deciding),
+            lambda h: F.when(h.isNull(), outcome(text)).otherwise(cut(text, h)),
+        )
+
+    def dispatched(text, low):
+        if not indexed:
+            return decided(text, low, None)
+        return let(
+            literals_found(low, ordered),
+            lambda present: decided(text, low, present) if always else F.when(present == 0, outcome(text)).otherwise(decided(text, low, present)),
+        )
+
+    searched = let(c, lambda text: let(F.lower(text), lambda low: dispatched(text, low)))
     return (
         F.when(c.isNull(), outcome(F.lit(None).cast("string")))
         .when(F.length(strip_ws(c)) < min_len, outcome(F.lit("")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from casewright import vocab
 from casewright.functions.text import censor_plan, compute_once, is_blank, let, removed_tail
 from casewright.operators.filters import before_cutoff, code_in
-from casewright.operators.numbering import MAX_ITEMS, group_in_parts
+from casewright.operators.numbering import MAX_ITEMS, PART_BYTES, group_in_parts, group_whole
 from casewright.schemas import NOTE_ITEM
 from casewright.vocab import Phrase
 
@@ -73,13 +73,15 @@ def collect_history(
     seq: str = "note_seq",
     cutoffs: DataFrame | None = None,
     max_items: int | None = MAX_ITEMS,
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """Date-ordered nested history per key and part: array of (date, type, title, text).
 
     Undated items come first and ``seq`` breaks ties. ``cutoffs`` (key, cutoff) keeps the
     items before the key's cutoff; a key left without items still has a row. Nearly all
     keys have the one part 0. A history over ``max_items`` continues in further rows, so
-    that no row or task has to hold more than that many items; None keeps it in one row.
+    that no row or task has to hold more than that many items. None keeps it in one row; a history of
+    more than ``part_bytes`` of text is then nested in parts first.
     The cutoff applies first: parts hold only items before it, and later ones are not nested.
     """
     dated = df.withColumn("_day", F.to_date("date"))
@@ -94,7 +96,13 @@ def collect_history(
         dated = dated.withColumn("_late", ~F.coalesce(kept, F.lit(False))).drop("_cutoff")
         item, order = F.when(~F.col("_late"), item), ["_late", "_day"]
     ordered = F.array_sort(F.collect_list(item)).alias("_items")
-    nested = group_in_parts(dated, key, order, seq, ordered, max_items)
+    if max_items is None:
+        size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
+        if cutoffs is not None:
+            size = F.when(F.col("_late"), 0).otherwise(size)
+        nested = group_whole(dated, key, order, seq, size, ordered, F.flatten, "_items", part_bytes).withColumn("part", F.lit(0).cast("bigint"))
+    else:
+        nested = group_in_parts(dated, key, order, seq, ordered, max_items)
     nested = nested.filter((F.col("part") == 0) | (F.size("_items") > 0))
     items = F.col("_items")
     shown = F.transform(
@@ -114,16 +122,22 @@ def collect_text(
     sep: str = "\n---\n",
     text: str = "text",
     max_items: int | None = MAX_ITEMS,
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """A key's non-null texts in date order, undated last, joined with a separator.
 
-    More than ``max_items`` texts continue in further rows (``part`` 0, 1, ...).
+    More than ``max_items`` texts continue in further rows (``part`` 0, 1, ...); None keeps a key in one
+    row, whose texts are joined in parts of ``part_bytes`` first.
     """
     dated = df.filter(F.col(text).isNotNull()).withColumn("_undated", F.col("date").isNull())
     ordered = F.array_sort(
         F.collect_list(F.struct("_undated", "date", F.col(seq).alias("seq"), F.col(text).alias("text")))
     )
     joined = F.array_join(F.transform(ordered, lambda i: i["text"]), sep).alias(name)
+    if max_items is None:
+        size = F.octet_length(text).cast("bigint")
+        whole = group_whole(dated, key, ["_undated", "date"], seq, size, joined, lambda parts: F.array_join(parts, sep), name, part_bytes)
+        return whole.withColumn("part", F.lit(0).cast("bigint"))
     return group_in_parts(dated, key, ["_undated", "date"], seq, joined, max_items)
 
 

@@ -17,7 +17,6 @@ from casewright.functions.answers import confidence_score
 from casewright.functions.render import has_valid_text
 from casewright.functions.stats import p_value
 from casewright.operators.filters import range_bucket
-from casewright.operators.numbering import total_before
 
 ACTUAL = "actual_surgery"
 PRED = "llm_surgery"
@@ -25,6 +24,7 @@ CONFIDENCE = "confidence"
 STRATUM = "has_radiology"
 METRICS = ["accuracy", "precision", "recall", "f1_score", "specificity"]
 CLASS_NAMES = ["No Surgery", "Surgery"]
+AUC_BITS = (21, 10)  # leading bits by which scores are dealt, level by level
 CELLS = ["true_positives", "true_negatives", "false_positives", "false_negatives", "total_cases"]
 
 
@@ -92,12 +92,41 @@ def binary_metrics(df: DataFrame, actual: str = ACTUAL, pred: str = PRED) -> Dat
     return _with_metrics(eval_counts(df, (), actual, pred, None).agg(*_cells()))
 
 
+def leading_bits(score: Column, bits: int) -> Column:
+    """A whole number that never falls as the score rises: sign, magnitude and the next ``bits`` of it.
+
+    The score times a power of two is cut to a whole number v (values beyond 2^31 share a number),
+    v is written as its length in bits and its first ones. Null counts as the lowest, NaN as the highest.
+    """
+    double = score.cast("double")
+    limit = float(1 << 62)
+    scaled = F.greatest(F.least(double * float(1 << 31), F.lit(limit)), F.lit(-limit))
+    v = F.when(F.isnan(double), F.lit(limit)).otherwise(scaled).cast("bigint")
+    size = F.length(F.bin(F.abs(v)))
+    magnitude = size * F.lit(1 << bits).cast("bigint") + F.call_function("shiftright", F.abs(v), F.greatest(size - bits, F.lit(0)))
+    return F.when(double.isNull(), F.lit(-(1 << 62))).when(v < 0, -magnitude).otherwise(magnitude)
+
+
 def _auc(histogram: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Mann-Whitney AUC from a score histogram (columns by..., score, pos, neg, rated)."""
-    ranked = total_before(histogram, by, "score", "neg", "below")
-    wins = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
-    pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
-    return ranked.groupBy(*by).agg(F.when(F.sum("rated") > 0, F.try_divide(wins, pairs)).alias("auc_roc"))
+    """Mann-Whitney AUC from a score histogram (columns by..., score, pos, neg, rated).
+
+    Scores are dealt by their leading bits, first many of them, then fewer. Inside a group each score's
+    wins over the lower ones are exact; a group then counts as one score among the groups of the next
+    level, and the last level has a few thousand groups at most. Nothing is sorted as a whole,
+    checkpointed or run before the result is asked for.
+    """
+    levels = [leading_bits(F.col("score"), bits).alias(f"_b{bits}") for bits in AUC_BITS]
+    rows = histogram.select(*by, F.col("score").alias("_at"), *levels, "pos", "neg", "rated", (F.col("pos") * F.col("neg") / 2).alias("wins"))
+    keys = [f"_b{bits}" for bits in AUC_BITS]
+    for n in range(len(keys) + 1):
+        below = Window.partitionBy(*by, *keys[n:]).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+        won = F.col("wins") + F.col("pos") * F.coalesce(F.sum("neg").over(below), F.lit(0))
+        sums = [F.sum(c).alias(c) for c in ("pos", "neg", "rated", "wins")]
+        rows = rows.withColumn("wins", won).groupBy(*by, *keys[n:]).agg(*sums)
+        if n < len(keys):
+            rows = rows.withColumnRenamed(keys[n], "_at")
+    pairs = F.col("pos").cast("double") * F.col("neg").cast("double")
+    return rows.select(*by, F.when(F.col("rated") > 0, F.try_divide(F.col("wins"), pairs)).alias("auc_roc"))
 
 
 def roc_auc(
@@ -109,7 +138,7 @@ def roc_auc(
     """ROC-AUC with ties counted half; null when one class is absent or no case is rated.
 
     The score defaults to confidence/10 with missing confidence as the middle. It is
-    grouped first; the distinct scores are ranked by a distributed sort.
+    grouped first; the distinct scores are ranked by histograms over their leading bits.
     """
     value = confidence_score(F.col(CONFIDENCE)) if score is None else F.col(score) if isinstance(score, str) else score
     rated = F.count(CONFIDENCE) if score is None else F.count("*")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from casewright.session import shared_dir
 _PARTITION_BITS = 33  # monotonically_increasing_id keeps the partition above this bit
 BROADCAST_KEYS = 100_000
 MAX_ITEMS = 100_000
+PART_BYTES = 64 << 20
 
 
 def _placed(df: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -55,25 +56,20 @@ def row_index(keys: DataFrame, order: Sequence[str], name: str = "row_no", start
     )
 
 
-def total_before(df: DataFrame, by: Sequence[str], order: str, value: str, name: str) -> DataFrame:
+def total_before(df: DataFrame, by: str, order: Sequence[str], value: str, name: str) -> DataFrame:
     """The sum of ``value`` over the group's rows before this one, for groups of any size.
 
     Sums within a partition of the sorted rows, plus the group's total of the partitions
-    before; the latter is one row per group and partition that meet.
+    before; the latter is one row per group and partition that meet. ``order`` is unique in a group.
     """
-    placed = _placed(df, [*by, order])
-    earlier = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy(*by, "_slot").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    slots = placed.groupBy(*by, "_slot").agg(F.sum(value).alias("_n"))
-    offsets = slots.select(
-        F.struct(*by, "_slot").alias("_where"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset")
-    )
+    placed = _placed(df, [by, *order])
+    ahead = [F.col(c).asc_nulls_first() for c in order]
+    earlier = Window.partitionBy(by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(by, "_slot").orderBy(*ahead).rowsBetween(Window.unboundedPreceding, -1)
+    slots = placed.groupBy(by, "_slot").agg(F.sum(value).alias("_n"))
+    offsets = slots.select(by, "_slot", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
     local = placed.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return (
-        local.join(offsets, F.struct(*by, "_slot") == F.col("_where"))
-        .withColumn(name, F.col(name) + F.col("_offset"))
-        .drop("_slot", "_pos", "_where", "_offset")
-    )
+    return local.join(offsets, [by, "_slot"]).withColumn(name, F.col(name) + F.col("_offset")).drop("_slot", "_pos", "_offset")
 
 
 def number_cases(
@@ -168,3 +164,39 @@ def group_in_parts(
         key, seq, F.floor((F.col("_no") - F.col("_first")) / max_items).alias("part")
     )
     return light.unionByName(rows.join(parts, [key, seq])).groupBy(key, "part").agg(aggregate)
+
+
+def group_whole(
+    df: DataFrame,
+    key: str,
+    order: Sequence[str],
+    seq: str,
+    size: Column,
+    aggregate: Column,
+    merge: Callable[[Column], Column],
+    name: str,
+    part_bytes: int = PART_BYTES,
+) -> DataFrame:
+    """The aggregate of each key in one row, however large the key, by way of parts of bounded bytes.
+
+    ``aggregate`` makes the value ``name`` of some rows, sorting them itself; ``merge`` joins an array of
+    such values. Keys of more than ``part_bytes`` (``size`` gives a row's) are found by a sum; only their
+    rows are placed by a distributed sort and cut into parts by the bytes before them, in the given order,
+    the unique, non-null ``seq`` breaking ties. Parts are aggregated in tasks of their own, so before the
+    final value no task holds more than a part and one row. Without large keys the plan is one shuffle.
+    """
+    sizes = df.groupBy(key).agg(F.sum(size).alias("_n"))
+    heavy = sizes.filter(F.col("_n") > part_bytes).select(key, F.lit(True).alias("_heavy"))
+    n = heavy.count()
+    if n == 0:
+        return df.groupBy(key).agg(aggregate.alias(name))
+    shared_dir(df.sparkSession)
+    marked = df.join(_small(heavy.checkpoint(), n), key, "left")
+    light = marked.filter(F.col("_heavy").isNull()).groupBy(key).agg(aggregate.alias(name))
+    rows = marked.filter(F.col("_heavy")).drop("_heavy")
+    placed = total_before(rows.select(key, *order, seq, F.coalesce(size, F.lit(0)).alias("_b")), key, [*order, seq], "_b", "_before")
+    parts = placed.select(key, seq, F.floor(F.col("_before") / part_bytes).alias("_part"))
+    pieces = rows.join(parts, [key, seq]).groupBy(key, "_part").agg(aggregate.alias(name))
+    ordered = F.array_sort(F.collect_list(F.struct("_part", F.col(name).alias("value"))))
+    whole = pieces.groupBy(key).agg(merge(F.transform(ordered, lambda p: p["value"])).alias(name))
+    return light.unionByName(whole)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from casewright import schemas
 from casewright.functions.answers import parse_json_answer
 from casewright.functions.render import prompt_zero_shot
+from casewright.operators.bitmaps import add_to_bitmap, pending_by_bitmap, read_bitmap
 from casewright.operators.cases import with_examples, with_prompt
 from casewright.operators.filters import require_columns
 from casewright.operators.numbering import train_test_split_ordered
@@ -52,6 +53,7 @@ def run_scoring(
     latest_every: int = 5,
     retry_failed: bool = False,
     final: str | None = None,
+    seen: str | None = None,
 ) -> DataFrame:
     """Score the cases that have no stored result of this model and return all results.
 
@@ -63,6 +65,10 @@ def run_scoring(
     again about cases without any stored answer, and an answer then wins over earlier failures.
     ``final`` names the folder for the combined result at the end of the run. Pending cases
     of several rounds are written once, by round, and each round reads its share.
+    ``seen`` names a folder that keeps the finished ids of this provider and model as bitmaps: it is filled
+    from the store when it is new, and later runs find their pending cases without reading a result. A
+    round's ids are added after its results, so a run stopped in between asks again and the
+    earlier results win.
     """
     require_columns(cases, CASE_COLUMNS)
     spark = cases.sparkSession
@@ -75,21 +81,30 @@ def run_scoring(
         found = stored().withColumn("_failed", F.col("api_response").isNull() if retry_failed else F.lit(False))
         return dedup_results(found, ["_failed", *PRIORITY]).drop("stored_in", "_failed")
 
-    done = stored().filter("api_response IS NOT NULL") if retry_failed else stored()
-    todo = pending(cases, done)
-    if rounds > 1:
+    if seen is not None:
+        if retry_failed:
+            raise ValueError("kept ids do not tell failed calls from answered ones")
+        if read_bitmap(spark, seen) is None:
+            add_to_bitmap(stored(), seen)
+        todo = pending_by_bitmap(cases, read_bitmap(spark, seen))
+    else:
+        todo = pending(cases, stored().filter("api_response IS NOT NULL") if retry_failed else stored())
+    if rounds > 1 or seen is not None:
         todo = materialize(todo.withColumn("_round", F.pmod(F.xxhash64("llm_caseID"), F.lit(rounds))), by="_round")
     for n in range(rounds):
-        share = todo if rounds == 1 else todo.filter(F.col("_round") == n).drop("_round")
+        share = todo if "_round" not in todo.columns else todo.filter(F.col("_round") == n).drop("_round")
         if concurrency is not None:  # cases are dealt before prompts are rendered, which are longer
             share = share.repartition(concurrency, "llm_caseID")
         scored = score(
             build_prompts(share), responder, provider=provider, model_name=model_name
         )
         append_results(parsed_results(scored, parser), store, run_id)
+        if seen is not None:
+            add_to_bitmap(todo.filter(F.col("_round") == n), seen)
         if latest is not None and ((n + 1) % latest_every == 0 or n + 1 == rounds):
-            write_latest(combined(), f"{latest}_after_batch_{n + 1:03d}")
-            write_latest(combined(), latest)
+            kept = f"{latest}_after_batch_{n + 1:03d}"
+            write_latest(combined(), kept)
+            write_latest(spark.read.schema(schemas.RESULT).parquet(kept), latest)
     if final is not None:
         write_final(combined(), final, provider, model_name, run_id)
     return combined()

@@ -11,6 +11,7 @@ from casewright.functions.answers import path_safe_name
 from casewright.sources.tables import empty, is_absent
 
 PRIORITY = ["run_id", "stored_in"]
+_ROWS = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.RESULT) + ", stored_in string, version int"
 
 
 def read_results(spark: SparkSession, path: str, skip_unreadable: bool = False) -> DataFrame:
@@ -34,6 +35,89 @@ def read_results(spark: SparkSession, path: str, skip_unreadable: bool = False)
     return stored.select(*names, F.col("_metadata.file_name").alias("stored_in"))
 
 
+def unreadable_files(spark: SparkSession, path: str) -> DataFrame:
+    """``file_name``, ``length`` of the store's files of which no row can be read: the ones ``skip_unreadable`` leaves out.
+
+    The folder is listed without reading contents, and the files that rows came from are taken off. A
+    readable file without rows is in the list too; of a file that is damaged further in, the
+    rows before the damage are read and it is not.
+    """
+    one_slash = lambda c: F.regexp_replace(c, ":/+", ":/")
+    try:
+        listed = (
+            spark.read.format("binaryFile")
+            .option("pathGlobFilter", "*.parquet")
+            .option("recursiveFileLookup", True)
+            .load(path)
+            .select(one_slash(F.col("path")).alias("_path"), "length")
+        )
+    except AnalysisException as error:
+        if not is_absent(error):
+            raise
+        return spark.createDataFrame([], "file_name string, length bigint")
+    rows = spark.read.schema(schemas.RESULT).option("ignoreCorruptFiles", True).option("pathGlobFilter", "*.parquet").parquet(path)
+    read = rows.select(one_slash(F.col("_metadata.file_path")).alias("_path")).distinct()
+    return listed.join(read, "_path", "left_anti").select(F.element_at(F.split("_path", "/"), -1).alias("file_name"), "length")
+
+
+def _versions(spark: SparkSession, path: str, kind: str) -> DataFrame | None:
+    schema = "stored_in string, version int" if kind == "files" else _ROWS
+    try:
+        return spark.read.schema(schema).parquet(f"{path.rstrip('/')}_compacted/{kind}")
+    except AnalysisException as error:
+        if not is_absent(error):
+            raise
+        return None
+
+
+def latest_version(spark: SparkSession, path: str) -> int:
+    """The newest complete version of the compacted store; 0 without one."""
+    files = _versions(spark, path, "files")
+    return 0 if files is None else files.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+
+
+def compact_results(spark: SparkSession, path: str, rows_per_file: int = 1_000_000) -> int:
+    """Rewrite all stored results into files of about ``rows_per_file`` rows, as a new version; returns its number.
+
+    The rows go to ``<path>_compacted/rows/version=N`` by hash of the case, each with the name of the file it came from, so that
+    the order of precedence stays. The list of the files that the version covers is written last: without it
+    the version does not exist, and a stopped compaction is taken up under the next number. Nothing is removed
+    or overwritten, so readers of an older version, and of the store itself, go on undisturbed. The store
+    must not lose files; when to remove covered files is the owner's choice.
+    """
+    current = read_version(spark, path)
+    rows, kept = _versions(spark, path, "rows"), f"{path.rstrip('/')}_compacted"
+    used = 0 if rows is None else rows.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+    version = max(used, latest_version(spark, path)) + 1
+    n = max(1, -(-current.count() // rows_per_file))
+    stamped = current.repartition(n, F.col("llm_caseID")).withColumn("version", F.lit(version))
+    stamped.write.mode("append").partitionBy("version").parquet(f"{kept}/rows")
+    files = _versions(spark, path, "rows").filter(F.col("version") == version).select("stored_in", "version").distinct()
+    files.coalesce(1).write.mode("append").partitionBy("version").parquet(f"{kept}/files")  # one row a file
+    return version
+
+
+def read_version(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The stored results by way of a version of the compacted store, with what was appended since.
+
+    None is the newest complete version. The store's files that the version covers are not read: the folder is
+    listed, covered names are taken off, and the few files left, of the rounds since then, are read by name.
+    """
+    version = latest_version(spark, path) if version is None else version
+    if version == 0:
+        return read_results(spark, path)
+    names = [f.name for f in schemas.RESULT] + ["stored_in"]
+    rows = _versions(spark, path, "rows").filter(F.col("version") == version).select(*names)
+    covered = _versions(spark, path, "files").filter(F.col("version") == version).select("stored_in")
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path)
+    found = listed.select("path", F.element_at(F.split("path", "/"), -1).alias("stored_in")).join(covered, "stored_in", "left_anti")
+    fresh = [r["path"] for r in found.collect()]  # names of the files since the compaction
+    if not fresh:
+        return rows
+    since = spark.read.schema(schemas.RESULT).option("basePath", path).parquet(*fresh)
+    return rows.unionByName(since.select(*names[:-1], F.col("_metadata.file_name").alias("stored_in")))
+
+
 def append_results(df: DataFrame, path: str, run_id: str) -> None:
     """Add a batch of results; partitioned so one provider or run can be read alone."""
     names = [f.name for f in schemas.RESULT]
