@@ -203,7 +203,7 @@ def few_shot_run(spark, d):
     ).select("llm_caseID", "decision", "confidence", "reasoning", "parse_status")
 
 
-def scoring_stream(spark, d):
+def scoring_stream(spark, d, starts=1, **options):
     store, checkpoint = _store(spark), _store(spark)
     _earlier_run(spark, d, store)
     docs = A.table(spark, d, "documents").schema
@@ -212,22 +212,29 @@ def scoring_stream(spark, d):
         F.lit(vocab.NO_REPORTS).alias("formatted_radiology_text"),
         F.col("text").alias("formatted_progress_text"),
     )
-    query = score_stream(
-        cases,
-        store,
-        checkpoint,
-        A.respond,
-        run_id="stream",
-        provider="stub",
-        model_name="length/1",
-        build_prompts=lambda share: share.withColumn("prompt", F.col("formatted_progress_text")),
-    )
-    query.awaitTermination()
+    for _ in range(starts):
+        query = score_stream(
+            cases,
+            store,
+            checkpoint,
+            A.respond,
+            run_id="stream",
+            provider="stub",
+            model_name="length/1",
+            build_prompts=lambda share: share.withColumn("prompt", F.col("formatted_progress_text")),
+            **options,
+        )
+        query.awaitTermination()
     return P.dedup_results(read_results(spark, store), PRIORITY).select(
         "llm_caseID", "decision", "confidence", "reasoning"
     )
 
 
+def stream_ids_in_state(spark, d):
+    """The same with the seen ids as the stream's state, over three starts."""
+    return scoring_stream(spark, d, starts=3, ids_in_state=True)
+
+
 QUERIES = {
     "parse_json": parse_json,
     "parse_lines": parse_lines,
@@ -251,6 +258,7 @@ QUERIES = {
     "batches_bitmap": batches_bitmap,
     "scoring_seen": scoring_seen,
     "scoring_stream": scoring_stream,
+    "stream_ids_in_state": stream_ids_in_state,
 }
 
 _DECISION = "CASE WHEN n_chars > 900 THEN 'Yes' ELSE 'No' END"
@@ -388,5 +396,6 @@ SELECT doc_id AS "llm_caseID", source AS prompt, api_response FROM documents JOI
     "scoring_seen": f"""{_RESUMED} SELECT run_id, count(*) AS n_cases,
   (SELECT count(*) FROM fresh) + (SELECT count(*) FROM stored) AS n_stored, (SELECT count(DISTINCT id) FROM every) AS n_ids
 FROM every GROUP BY run_id""",
+    "stream_ids_in_state": f"""{_RESUMED} SELECT id AS "llm_caseID", decision, CAST(confidence AS DOUBLE) AS confidence, reasoning FROM every""",
     "scoring_stream": f"""{_RESUMED} SELECT id AS "llm_caseID", decision, CAST(confidence AS DOUBLE) AS confidence, reasoning FROM every""",
 }

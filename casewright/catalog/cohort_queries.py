@@ -32,9 +32,7 @@ def shard_union_count(spark, d):
     orders = A.table(spark, d, "orders")
     shards = [orders.filter(F.col("o_orderstatus") == s) for s in ("F", "O", "P")]
     united = union_all(shards)
-    patients = C.count_patients(united, "o_custkey")
-    ids = distinct_ids(united, "o_custkey").agg(F.count("*").alias("n")).scalar()
-    return patients.withColumns({"n_distinct": ids, "n_rows": united.agg(F.count("*").alias("n")).scalar()})
+    return C.count_patients(united, "o_custkey", ids="n_distinct", rows="n_rows")
 
 
 def table_profile(spark, d):

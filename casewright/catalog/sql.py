@@ -67,7 +67,7 @@ def phrase_text(number: str, chunk: str, phrases=A.DOC_PHRASES) -> tuple[str, st
 BLANKS = "' ' || chr(9) || chr(10) || chr(13)"
 
 
-def censored(texts: str, phrases=A.DOC_PHRASES, lines: str = "string_split(text, chr(10))", glue: str = "chr(10)") -> str:
+def censored(texts: str, phrases=A.DOC_PHRASES, lines: str = "string_split(text, chr(10))", glue: str = "chr(10)", min_len: int = 500) -> str:
     """CTEs ending in cut(doc_id, original, text, pattern, matched, cut_chunk) for texts(doc_id, text)."""
     pattern, matched = phrase_text("b.no", "b.chunk", phrases)
     n_strong = sum(p.strength == "strong" for p in phrases)
@@ -76,12 +76,12 @@ numbered AS (SELECT doc_id, chunk, pos, {phrase_no('chunk', phrases)} AS no FROM
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id
     ORDER BY CASE WHEN no <= {n_strong} THEN pos ELSE 2000000 - pos END) AS rn FROM numbered WHERE no IS NOT NULL),
 cut AS (SELECT t.doc_id, t.text AS original,
-  CASE WHEN length(trim(t.text, {BLANKS})) < 500 THEN ''
+  CASE WHEN length(trim(t.text, {BLANKS})) < {min_len} THEN ''
        WHEN b.pos IS NULL THEN t.text
        ELSE coalesce(array_to_string(list_slice({lines}, 1, b.pos), {glue}), '') END AS text,
-  CASE WHEN length(trim(t.text, {BLANKS})) >= 500 THEN {pattern} END AS pattern,
-  CASE WHEN length(trim(t.text, {BLANKS})) >= 500 THEN {matched} END AS matched,
-  CASE WHEN length(trim(t.text, {BLANKS})) >= 500 THEN CAST(b.pos AS INTEGER) END AS cut_chunk
+  CASE WHEN length(trim(t.text, {BLANKS})) >= {min_len} THEN {pattern} END AS pattern,
+  CASE WHEN length(trim(t.text, {BLANKS})) >= {min_len} THEN {matched} END AS matched,
+  CASE WHEN length(trim(t.text, {BLANKS})) >= {min_len} THEN CAST(b.pos AS INTEGER) END AS cut_chunk
   FROM {texts} t LEFT JOIN best b ON t.doc_id = b.doc_id AND b.rn = 1)"""
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from casewright import vocab
@@ -14,7 +16,7 @@ from casewright.operators import cases as K
 from casewright.operators import cohort as C
 from casewright.operators.filters import has_items
 from casewright.operators.numbering import train_test_split_ordered
-from casewright.plans.prepare import CaseConfig, prepare_cases
+from casewright.plans.prepare import CaseConfig, prepare_and_skip, prepare_cases
 from casewright.plans.profile import patient_profile, profile_prompts
 
 # The documents have line breaks where clinical notes have wide gaps.
@@ -152,6 +154,12 @@ def prepared_cases(spark, d):
     ).join(rendered, "llm_caseID")
 
 
+def skipped_cases(spark, d):
+    """The patients that the preparation drops, as long as their last note only is tried."""
+    cfg = dataclasses.replace(CASES, max_back=0, limits={**BY_LINE, "min_len": 1500})
+    return prepare_and_skip(A.clinical_tables(spark, d), cfg)[2]
+
+
 def _event_cases(spark, d):
     """One case per user: last view before the event and the errors before it."""
     flags = _flags(spark, d)
@@ -272,6 +280,7 @@ QUERIES = {
     "text_chunks": text_chunks,
     "first_phrase": first_phrase,
     "censor_plan": censor_plan,
+    "skipped_cases": skipped_cases,
     "censor_default": censor_default,
     "default_chunks": default_chunks,
     "default_first_phrase": default_first_phrase,
@@ -417,6 +426,9 @@ usable AS (SELECT cand.*, cut.original, cut.text, cut.matched,
 SELECT source AS patient_id, CAST(k AS INTEGER) AS k, strftime(day, '%Y-%m-%d') AS note_day,
   CASE WHEN k > 0 THEN strftime(first_day, '%Y-%m-%d') END AS original_day, md5(text) AS text_md5, matched AS matched_text,
   md5({S.REMOVED}) AS removed_md5 FROM usable WHERE rn = 1""",
+    "skipped_cases": f"""WITH {S.FLAGS}, {_CASE_DOCS}, {S.censored('texts', min_len=1500)},
+tried AS (SELECT cand.*, length(trim(cut.text, {S.BLANKS})) > 0 AS usable FROM cand JOIN cut USING (doc_id) WHERE k = 0)
+SELECT patient_id, (SELECT count(*) FROM cn WHERE cn.patient_id = tried.patient_id) AS n_notes FROM tried WHERE NOT usable""",
     "prepare_cases": f"""WITH {S.FLAGS}, {_CASE_DOCS}, {S.censored('texts')},
 tried AS (SELECT cand.*, cut.text, cut.matched, length(trim(cut.text, {S.BLANKS})) > 0 AS usable
   FROM cand JOIN cut USING (doc_id) WHERE k <= 2),

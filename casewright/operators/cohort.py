@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from casewright import vocab
 from casewright.functions.text import censor_plan, compute_once, is_blank, let, removed_tail
 from casewright.operators.filters import before_cutoff, code_in
-from casewright.operators.numbering import MAX_ITEMS, PART_BYTES, group_in_parts, group_whole
+from casewright.operators.numbering import MAX_ITEMS, PART_BYTES, distinct_ids, group_in_parts, group_whole
 from casewright.schemas import NOTE_ITEM
 from casewright.vocab import Phrase
 
@@ -23,8 +23,15 @@ def restrict_to(df: DataFrame, ids: DataFrame, key: str = "patient_id") -> DataF
     return df.join(ids.select(key), key, "left_semi")
 
 
-def count_patients(df: DataFrame, key: str = "patient_id", name: str = "n_patients") -> DataFrame:
-    return df.agg(F.countDistinct(key).alias(name))
+def count_patients(
+    df: DataFrame, key: str = "patient_id", name: str = "n_patients", ids: str | None = None, rows: str | None = None
+) -> DataFrame:
+    """One row: distinct non-null ids and, if named, distinct ids with null and all rows, from one pass."""
+    if ids is None and rows is None:
+        return df.agg(F.countDistinct(key).alias(name))
+    extra = [F.count("*").alias(ids)] if ids else []
+    extra += [F.coalesce(F.sum("_n"), F.lit(0)).alias(rows)] if rows else []
+    return distinct_ids(df, key, "_n").agg(F.count(key).alias(name), *extra)
 
 
 def event_aggregates(

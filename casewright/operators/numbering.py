@@ -104,8 +104,9 @@ def train_test_split_ordered(
     return numbered.filter(F.col("llm_caseID") <= n), numbered.filter(F.col("llm_caseID") > n).drop(label)
 
 
-def distinct_ids(df: DataFrame, key: str = "patient_id") -> DataFrame:
-    return df.select(key).distinct()
+def distinct_ids(df: DataFrame, key: str = "patient_id", rows: str | None = None) -> DataFrame:
+    """The distinct ids and, if named, how many rows each has."""
+    return df.select(key).distinct() if rows is None else df.groupBy(key).agg(F.count("*").alias(rows))
 
 
 def _first(ids: DataFrame, n: int, key: str, skip: int = 0, direct: int = BROADCAST_KEYS) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,27 +26,28 @@ def score(
 
     The responder is any serialisable callable from prompt text to answer text. A
     failing call fills ``error`` and does not fail the task. ``concurrency`` sets the
-    number of partitions, i.e. of simultaneous callers at most.
+    number of partitions, i.e. of simultaneous callers at most. Keys pass through untouched.
     """
     work = prompts.select(key, prompt)
     if concurrency is not None:
         work = work.repartition(concurrency, key)
 
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             answers, errors = [], []
-            for text in batch[prompt]:
+            for text in batch.column(prompt):
                 try:
-                    answers.append(responder(text))
+                    answers.append(responder(text.as_py()))
                     errors.append(None)
                 except Exception as failure:
                     answers.append(None)
                     errors.append(f"Error: {failure}")
-            yield batch[[key]].assign(api_response=answers, error=errors)
+            texts = [pa.array(answers, pa.string()), pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(key), *texts], [key, "api_response", "error"])
 
     schema = T.StructType([work.schema[key]])
     schema = schema.add("api_response", T.StringType()).add("error", T.StringType())
-    return work.mapInPandas(ask, schema).withColumns(
+    return work.mapInArrow(ask, schema).withColumns(
         {"provider": F.lit(provider), "model_name": F.lit(model_name)}
     )
 

@@ -49,7 +49,7 @@ class CaseConfig:
 
 
 def select_cases(
-    tables: Mapping[str, DataFrame], cfg: CaseConfig = CaseConfig(), flags: DataFrame | None = None
+    tables: Mapping[str, DataFrame], cfg: CaseConfig = CaseConfig(), flags: DataFrame | None = None, mark_skipped: bool = False
 ) -> DataFrame:
     """Unnumbered cases: one row per kept patient with flags, chosen note and reports.
 
@@ -57,7 +57,8 @@ def select_cases(
     note; those whose notes all come out blank are dropped. Histories are not collected
     for the selection: winners are picked on keys, and only their texts are joined. All
     reports before the cutoff are in the patient's one row, as they go into one prompt.
-    Pass ``flags`` to use event flags that are already stored.
+    Pass ``flags`` to use event flags that are already stored. ``mark_skipped`` keeps the dropped
+    patients too and marks them in a column ``skipped``.
     """
     key = "patient_id"
     all_notes = tables["clinical_note"]
@@ -78,7 +79,9 @@ def select_cases(
     # One row per patient of the notes table, whether or not any note is a specialty note.
     people = all_notes.groupBy(key).agg(F.count_if(is_specialty_note(*vocabulary)).alias("n_notes"))
     people = people.join(flags, key, "left").join(chosen, key, "left")
-    people = people.filter(F.col("_has_candidate").isNull() | F.col("choice").isNotNull()).drop("_has_candidate")
+    people = people.withColumn("skipped", F.col("_has_candidate").isNotNull() & F.col("choice").isNull()).drop("_has_candidate")
+    if not mark_skipped:
+        people = people.filter(~F.col("skipped")).drop("skipped")
     imaging = collect_history(
         extract_reports(tables["radiology_report"], cfg.report_types, cfg.report_titles),
         "radiology_reports",
@@ -104,7 +107,18 @@ def prepare_cases(
     joins use the flags, and reading them back gives those joins their true size; numbering
     needs the final set of patients, and must not censor every note a second time.
     """
+    cases, prepared, _ = prepare_and_skip(tables, cfg)
+    return cases, prepared
+
+
+def prepare_and_skip(
+    tables: Mapping[str, DataFrame], cfg: CaseConfig = CaseConfig()
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``prepare_cases`` gives, and the patients (with their number of notes) whose notes all come out blank.
+
+    All three come from the one written selection, so no note is censored again for the list.
+    """
     flags = materialize(index_event_flags(tables["procedures"], cfg.event_sets, "patient_id", cfg.code_system))
-    selected = materialize(select_cases(tables, cfg, flags))
-    prepared = number_cases(selected, ["patient_id"])
-    return case_frame(prepared), prepared
+    selected = materialize(select_cases(tables, cfg, flags, mark_skipped=True))
+    prepared = number_cases(selected.filter(~F.col("skipped")).drop("skipped"), ["patient_id"])
+    return case_frame(prepared), prepared, selected.filter("skipped").select("patient_id", "n_notes")

@@ -54,6 +54,7 @@ def run_scoring(
     retry_failed: bool = False,
     final: str | None = None,
     seen: str | None = None,
+    this_run_only: bool = False,
 ) -> DataFrame:
     """Score the cases that have no stored result of this model and return all results.
 
@@ -68,7 +69,8 @@ def run_scoring(
     ``seen`` names a folder that keeps the finished ids of this provider and model as bitmaps: it is filled
     from the store when it is new, and later runs find their pending cases without reading a result. A
     round's ids are added after its results, so a run stopped in between asks again and the
-    earlier results win.
+    earlier results win. ``this_run_only`` is for callers that bring new cases only: finished ones are looked for among
+    the results of this very run id, should it be a repetition, and no other result is read.
     """
     require_columns(cases, CASE_COLUMNS)
     spark = cases.sparkSession
@@ -88,7 +90,8 @@ def run_scoring(
             add_to_bitmap(stored(), seen)
         todo = pending_by_bitmap(cases, read_bitmap(spark, seen))
     else:
-        todo = pending(cases, stored().filter("api_response IS NOT NULL") if retry_failed else stored())
+        done = stored().filter("api_response IS NOT NULL") if retry_failed else stored()
+        todo = pending(cases, done.filter(F.col("run_id") == run_id) if this_run_only else done)
     if rounds > 1 or seen is not None:
         todo = materialize(todo.withColumn("_round", F.pmod(F.xxhash64("llm_caseID"), F.lit(rounds))), by="_round")
     for n in range(rounds):

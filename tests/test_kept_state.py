@@ -196,3 +196,33 @@ def test_sketches_keep_their_bounds(spark):
     pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "a bigint, b bigint")
     for r in sketches.overlap_estimates(pairs, made, "shard").collect():
         assert abs(r["both"] - len(sets[r["a"]] & sets[r["b"]])) <= 2 * r["both_error"] and r["both_error"] > 0
+
+
+def test_stream_state_keeps_seen_ids(spark, tmp_path, monkeypatch):
+    """Files that bring old, repeated and new cases over several starts; later batches read no other results."""
+    from casewright.streaming import pending as S
+
+    docs = A.document_cases(spark, SF_DIR).select(*schemas.CASE.fieldNames())
+    files, store = f"{tmp_path}/in", f"{tmp_path}/store"
+    asked = []
+    run = S.run_scoring
+    monkeypatch.setattr(S, "run_scoring", lambda batch, *a, **k: asked.append((k["this_run_only"], k["run_id"])) or run(batch, *a, **k))
+    options = dict(provider="p", model_name="m", build_prompts=lambda s: s.withColumn("prompt", F.col("formatted_progress_text")))
+    run(docs.filter("llm_caseID < 20"), store, A.respond, run_id="a", **options)
+    want = {i: "a" for i in range(20)}
+    for n, (lo, hi) in enumerate([(10, 40), (30, 60), (0, 60), (55, 70)]):
+        docs.filter((F.col("llm_caseID") >= lo) & (F.col("llm_caseID") < hi)).coalesce(1).write.mode("append").parquet(files)
+        cases = S.read_case_stream(spark, files)
+        S.score_stream(cases, store, f"{tmp_path}/checkpoint", A.respond, run_id="s", ids_in_state=True, **options).awaitTermination()
+        want |= {i: f"s-{n:06d}" for i in range(lo, hi) if i not in want}
+    stored = R.read_results(spark, store).select("llm_caseID", "run_id").collect()
+    assert len(stored) == 70 and {r[0] for r in stored} == set(want)
+    assert [only for only, _ in asked] == [False] + [True] * (len(asked) - 1) and len(asked) >= 4
+
+
+def test_scoring_keeps_large_keys(spark):
+    from casewright.operators.scoring import score
+
+    df = spark.createDataFrame([(9007199254740993, "x"), (None, "y")], "llm_caseID bigint, prompt string").coalesce(1)
+    got = {r["llm_caseID"]: r["api_response"] for r in score(df, lambda p: p, provider="p", model_name="m").collect()}
+    assert got == {9007199254740993: "x", None: "y"}

@@ -12,7 +12,7 @@ from casewright.operators.cases import trim_conversation
 
 SF_DIR = "/root/testdata/sf0.001"
 PYTHON_CALLS = {"score_stub", "pearson_test", "pearson_p"}
-EAGER = {"scoring_resume", "few_shot_run", "scoring_stream"}
+EAGER = {"scoring_resume", "few_shot_run", "scoring_stream", "stream_ids_in_state", "scoring_seen"}
 
 
 def plan(df):
