@@ -1,6 +1,6 @@
 """Removal of passages that occur earlier in the corpus.
 
-Documents are dealt into chunks by key range. Each chunk hashes every window of n words
+Documents are dealt into chunks by ranges of the key, a key of many rows by its texts' hashes. Each chunk hashes every window of n words
 (Rabin-Karp) and sends its distinct hashes, sorted and dealt by their leading bits, to one
 group per hash range; a hash that many documents share is sent once by each chunk. A group
 keeps, for each hash, the earliest chunk and answers every other chunk with one bit. The
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewright.llm import text as T
-from casewright.llm.chunks import chunk_bounds, chunk_of
+from casewright.llm.chunks import chunk_of, chunk_ranges, order_hash, order_key
 
 CHUNK_BYTES = 8 << 20
 GROUP_BYTES = 24 << 20
@@ -40,8 +40,8 @@ def _unpack(blob) -> np.ndarray:
 
 
 def _in_order(table: pa.Table) -> pa.Table:
-    """Rows by key (nulls last), then text: the order that decides what is earlier."""
-    return table.take(pc.sort_indices(table, [("_key", "ascending"), ("_text", "ascending")]))
+    """Rows by key (nulls last), then hash of the text, then text: the order that decides what is earlier."""
+    return table.take(pc.sort_indices(table, [("_key", "ascending"), ("_hash", "ascending"), ("_text", "ascending")]))
 
 
 def _windows(table: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,19 +97,19 @@ def substring_dedup(
 
     A word goes if a window of ``n`` words covering it also starts earlier: in a row of
     smaller key, or earlier in the same row. Null or empty texts have no words and an empty
-    kept text; a null key counts as the largest. Rows of equal keys rank by their text, and of
+    kept text; a null key counts as the largest. Rows of equal keys rank by a hash of their text (Spark's xxhash64), and of
     identical rows one keeps its words. Bytes that are not UTF-8 are kept as they are. A very long text
     is hashed and cut whole, in the task of its chunk. Columns not carried are ignored, whatever they are named.
     """
     names = list(dict.fromkeys([key, *carry]))
-    bounds = chunk_bounds(docs, key, text, chunk_bytes)
-    n_chunks = len(bounds) + 1
-    bits = max(0, (n_chunks * chunk_bytes // group_bytes).bit_length())
+    ranges = chunk_ranges(docs, key, text, chunk_bytes)
+    bits = max(0, (ranges.n * chunk_bytes // group_bytes).bit_length())
     keyed = docs.select(
         F.struct(*[F.col(c) for c in names]).alias("row"),
-        F.coalesce(F.col(key).cast("bigint"), F.lit((1 << 63) - 1)).alias("_key"),
+        order_key(key).alias("_key"),
+        order_hash(text).alias("_hash"),
         F.coalesce(F.col(text), F.lit("")).alias("_text"),
-        chunk_of(key, bounds).alias("_chunk"),
+        chunk_of(key, text, ranges).alias("_chunk"),
     )
 
     def send(table: pa.Table) -> pa.Table:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casewright.llm import text as T
-from casewright.llm.chunks import chunk_bounds, chunk_of
+from casewright.llm.chunks import chunk_of, chunk_ranges, order_hash
 from casewright.session import materialize
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -66,17 +66,17 @@ def pack_sequences(
 ) -> DataFrame:
     """``chunk``, ``seq``, ``n_tokens``, ``doc_ids``, ``tokens`` (little-endian unsigned 16-bit ids).
 
-    The documents of a chunk (a range of keys, in key order, nulls last, ties by text) follow
+    The documents of a chunk (a range of keys, in key order, nulls last, ties by a hash of the text) follow
     each other, each closed by the end mark, and are cut every ``length`` ids. The last
     sequence of a chunk is filled up with end marks; ``n_tokens`` counts without them. Null and
     empty texts give the end mark alone.
     """
-    bounds = chunk_bounds(docs, key, text, chunk_bytes)
+    ranges = chunk_ranges(docs, key, text, chunk_bytes)
     rows = docs.select(
         F.col(key).cast("bigint").alias("_key"),
         F.coalesce(F.col(text), F.lit("")).alias("_text"),
-        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_hash"),
-        chunk_of(key, bounds).alias("chunk"),
+        order_hash(text).alias("_hash"),
+        chunk_of(key, text, ranges).alias("chunk"),
     )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +125,7 @@ def training_shards(sequences: DataFrame, seed: int = 1, per_shard: int = SHARD)
     sizes = stored.groupBy("chunk").agg(F.count("*").alias("n"))  # one row per chunk
     total = sizes.agg(F.sum("n")).first()[0] or 0
     starts = sizes.select("chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    # one row per chunk, of which there are at most ``chunks.SAMPLE``
+    # one row of two numbers per chunk of ``CHUNK_BYTES``
     numbered = stored.join(F.broadcast(starts), "chunk").withColumn("index", F.col("start") + F.col("seq"))
 
     @F.pandas_udf("bigint")

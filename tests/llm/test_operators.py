@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from casewright.llm import features, html_text, mixing, quality, quality_rules, queries, search, simhash, token_shards, tokenizer, toxicity
+from casewright.llm import chunks, features, html_text, mixing, quality, quality_rules, queries, search, simhash, token_shards, tokenizer, toxicity
 from casewright.llm.substring_dedup import substring_dedup
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, _key string, words int"
@@ -472,3 +472,63 @@ def test_pipeline_stages(spark, tmp_path):
         out = corpus_pipeline.run(spark, str(tmp_path))
         assert out.columns == ["doc_id", "source", "ids", "n_tokens", "decodes"] and (out.count() > 0) == (some is columns)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "SimHash near-dedup", "substring dedup", "mixing", "sentencepiece"]
+
+
+def test_chunks_keep_order_and_size():
+    """Ranges follow (key, hash), whatever the sample; a key of many rows is spread, as are rows between sampled keys."""
+    pick = np.random.default_rng(3)
+    for every in (1, 10):
+        for hot in (chunks.LAST, 17, 0):
+            keys = np.concatenate([np.arange(20_000) * 3, np.full(20_000, hot)])
+            hashes = pick.integers(-(1 << 63), 1 << 63, len(keys), np.int64)
+            sizes = np.full(len(keys), 100)
+            some = hashes % every == 0
+            k, at, rows = np.unique(keys[some], return_inverse=True, return_counts=True)
+            ranges = chunks.Ranges(k, np.bincount(at, sizes[some]).astype(np.int64), rows, every, 10_000)
+            placed = ranges.place(keys, hashes)[np.lexsort((hashes, keys))]
+            assert (np.diff(placed) >= 0).all() and placed[0] >= 0 and placed[-1] < ranges.n
+            assert np.bincount(placed).max() * 100 <= 2 * 10_000 * (1 if every == 1 else 1.6)
+    k = np.arange(1000) * 1_000_000  # a sample of one row in a million: chunks lie between sampled keys
+    ranges = chunks.Ranges(k, np.full(1000, 2000), np.ones(1000, np.int64), 1_000_000, 8 << 20)
+    assert ranges.n > 200_000
+    keys = np.sort(pick.integers(0, 999_000_000, 400_000))  # up to the last one
+    assert np.bincount(ranges.place(keys, np.zeros(len(keys), np.int64)), minlength=ranges.n).max() < 20
+    assert chunks.Ranges(*[np.zeros(0, np.int64)] * 3, 1, 1).place(np.array([-5, chunks.LAST]), np.zeros(2, np.int64)).tolist() == [0, 0]
+    below = chunks.Ranges(np.array([100]), np.array([500]), np.array([5]), 1, 100)
+    assert below.place(np.array([-7, 3]), np.array([(1 << 63) - 1, -(1 << 63)])).tolist() == [0, 0]
+
+
+def test_hot_null_key_is_spread(spark):
+    """Half of the rows have no id: several chunks, and the same result as in one."""
+    pick = random.Random(5)
+    vocab = [f"v{i}" for i in range(300)]
+    passage = " ".join(pick.choices(vocab, k=25))
+    texts = [" ".join(pick.choices(vocab, k=40)) + (" " + passage if i % 3 == 0 else "") for i in range(400)]
+    docs = spark.createDataFrame([(None if i % 2 else i // 2, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(4)
+    ranges = chunks.chunk_ranges(docs, "doc_id", "text", 4000)
+    placed = docs.groupBy(chunks.chunk_of("doc_id", "text", ranges).alias("c")).agg(F.sum(F.length("text") + chunks.ROW_BYTES).alias("n"), F.count("*").alias("m")).collect()
+    assert max(r["n"] for r in placed) < 2.5 * 4000 and len(placed) > 15
+    far = spark.range(0, 40_000).select((F.col("id") * 7 - 5000).alias("doc_id"), F.lit("x" * 36).alias("text"))
+    spread = far.groupBy(chunks.chunk_of("doc_id", "text", chunks.chunk_ranges(far, "doc_id", "text", 1000, sample=100))).count()
+    assert spread.agg(F.max("count")).first()[0] < 60 and spread.count() > 3000  # 10 on average, sampled or not
+    order = {r["text"]: r["h"] for r in docs.select("text", chunks.order_hash("text").alias("h")).collect()}
+    seen, want = set(), []
+    for doc, t in sorted(((None if i % 2 else i // 2, t) for i, t in enumerate(texts)), key=lambda r: (r[0] is None, r[0] or 0, order[r[1]])):
+        words, gone = t.split(), set()
+        for i in range(len(words) - 19):
+            if (window := tuple(words[i : i + 20])) in seen:
+                gone.update(range(i, i + 20))
+            seen.add(window)
+        want.append((doc, " ".join(w for i, w in enumerate(words) if i not in gone)))
+    for size in (4000, 8 << 20):
+        got = [(r["row"]["doc_id"], r["kept_text"]) for r in substring_dedup(docs, chunk_bytes=size, group_bytes=1 << 14).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+    packed = token_shards.pack_sequences(docs, length=64, chunk_bytes=4000).collect()
+    assert len({r["chunk"] for r in packed}) == len(placed)
+    coder = token_shards.coder(token_shards.RANKS)
+    assert sum(r["n_tokens"] for r in packed) == sum(len(coder.encode_ordinary(t)) + 1 for t in texts)
+    best = [
+        sorted((r["qid"], r["rank"], r["score"]) for r in search.bm25_top_k(docs, docs.filter("doc_id % 50 = 0"), k=3, shard_bytes=size).collect())
+        for size in (4000, 8 << 20)
+    ]
+    assert best[0] == best[1] and len(best[0]) == 12
