@@ -45,7 +45,7 @@ class Ranges:
                         first.append(k), span.append(1), parts.append(1)
                     held = 0
                 held += n
-                parts[-1] = max(1, -(-held // target)) if held > target and every > 1 else 1
+                parts[-1] = max(1, held // target)  # more than one only where sampled rows stand for more than a chunk
             span[-1] = max(span[-1], (int(keys[i + 1]) if i + 1 < len(keys) else k + 1) - first[-1])
         self.first = np.array(first or [0], np.int64)
         self.span = np.array(span or [1], float)

@@ -488,6 +488,7 @@ def test_chunks_keep_order_and_size():
             placed = ranges.place(keys, hashes)[np.lexsort((hashes, keys))]
             assert (np.diff(placed) >= 0).all() and placed[0] >= 0 and placed[-1] < ranges.n
             assert np.bincount(placed).max() * 100 <= 2 * 10_000 * (1 if every == 1 else 1.6)
+            assert ranges.n <= 1.1 * sizes.sum() / 10_000 + 3  # and chunks are not smaller than they need to be
     k = np.arange(1000) * 1_000_000  # a sample of one row in a million: chunks lie between sampled keys
     ranges = chunks.Ranges(k, np.full(1000, 2000), np.ones(1000, np.int64), 1_000_000, 8 << 20)
     assert ranges.n > 200_000
