@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from casewright.llm import text as T
 from casewright.llm.chunks import chunk_of, chunk_ranges, order_hash
-from casewright.session import materialize
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed values of the rank file's vocabulary: the pattern that splits text before merging, and the end mark's id.
@@ -26,6 +25,7 @@ SHARD = 1024  # sequences in a shard
 ROUNDS = 4
 CHUNK_BYTES = 8 << 20
 
+
 @functools.lru_cache(2)
 def coder(path: str):
     """A public byte-pair vocabulary, from its rank file."""
@@ -118,28 +118,41 @@ def training_shards(sequences: DataFrame, seed: int = 1, per_shard: int = SHARD)
 
     A sequence's number is its place in (chunk, seq) order: the count of the chunks before,
     plus its own. The permutation of all numbers gives its slot; shard s holds the slots from
-    s * per_shard on. No sequences give no shards.
+    s * per_shard on. No sequences give no shards. Nothing runs before the result is asked for:
+    chunks are counted from the shuffle that packs them, and each task gets a run of shards,
+    sorted by slot, of which it holds one shard at a time.
     """
-    stored = materialize(sequences, compression="zstd")
     before = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = stored.groupBy("chunk").agg(F.count("*").alias("n"))  # one row per chunk
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    starts = sizes.select("chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    # one row of two numbers per chunk of ``CHUNK_BYTES``
-    numbered = stored.join(F.broadcast(starts), "chunk").withColumn("index", F.col("start") + F.col("seq"))
+    sizes = sequences.groupBy("chunk").agg(F.count("*").alias("n"))  # one row per chunk
+    starts = sizes.select(
+        "chunk",
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"),
+        F.sum("n").over(Window.partitionBy()).alias("total"),
+    )
+    # three numbers per chunk of ``CHUNK_BYTES``
+    numbered = sequences.join(F.broadcast(starts), "chunk").withColumn("index", F.col("start") + F.col("seq"))
 
     @F.pandas_udf("bigint")
-    def slot(index: pd.Series) -> pd.Series:
-        return pd.Series(feistel(index.to_numpy(), total, seed))
-
-    placed = numbered.select(slot("index").alias("slot"), "n_tokens", "doc_ids", "tokens")
+    def slot(index: pd.Series, total: pd.Series) -> pd.Series:
+        return pd.Series(feistel(index.to_numpy(), int(total.iloc[0]), seed) if len(index) else [], dtype="int64")
+
+    tasks = int(sequences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = F.ceil(F.col("total") / per_shard)
+    run = F.expr(f"int(slot div {per_shard} * {tasks} div shards)")  # consecutive shards, about equally many in each task
+    placed = (
+        numbered.select(slot("index", "total").alias("slot"), shards.alias("shards"), "n_tokens", "doc_ids", "tokens")
+        .repartitionById(tasks, run)
+        .select("slot", "n_tokens", "doc_ids", "tokens")
+        .sortWithinPartitions("slot")
+    )
+    schema = pa.list_(pa.struct([("slot", pa.int64()), ("n_tokens", pa.int32()), ("doc_ids", pa.list_(pa.int64()))]))
 
-    def assemble(table: pa.Table) -> pa.Table:
-        table = table.sort_by("slot")
+    def shard_row(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts)
         first = table["slot"][0].as_py()
         rows = table.select(["slot", "n_tokens", "doc_ids"]).to_pylist()
         tokens = table["tokens"].to_pylist()
-        return pa.table(
+        return pa.RecordBatch.from_pydict(
             {
                 "shard": pa.array([first // per_shard], pa.int64()),
                 "first_slot": pa.array([first], pa.int64()),
@@ -150,18 +163,36 @@ def training_shards(sequences: DataFrame, seed: int = 1, per_shard: int = SHARD)
             }
         )
 
-    schema = pa.list_(pa.struct([("slot", pa.int64()), ("n_tokens", pa.int32()), ("doc_ids", pa.list_(pa.int64()))]))
-    shard = F.floor(F.col("slot") / per_shard).cast("bigint")
-    ranged = placed.withColumn("shard", shard).repartitionByRange("shard")  # a file holds a run of shards
-    return ranged.groupBy("shard").applyInArrow(
-        lambda table: assemble(table),
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, current = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            numbers = batch.column("slot").to_numpy() // per_shard
+            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if held and numbers[lo] != current:
+                    yield shard_row(held)
+                    held = []
+                current = numbers[lo]
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield shard_row(held)
+
+    return placed.mapInArrow(
+        assemble,
         "shard bigint, first_slot bigint, n_sequences int, stride int, "
         "sequences array<struct<slot:bigint,n_tokens:int,doc_ids:array<bigint>>>, payload binary",
     )
 
 
 def write_shards(shards: DataFrame, path: str) -> None:
-    """Append the shards that ``path`` does not have yet, so a stopped write goes on where it stopped."""
+    """Append the shards that ``path`` does not have yet, so a stopped write goes on where it stopped.
+
+    A task's file, a run of shards, is in place once that task is committed (the second commit
+    algorithm), not at the end of the job. What a stopped job leaves are whole files, and a
+    task that runs twice writes the same file again.
+    """
     spark = shards.sparkSession
     try:
         done = spark.read.parquet(path).select("shard")
@@ -169,8 +200,9 @@ def write_shards(shards: DataFrame, path: str) -> None:
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
         done = None
-    left = shards if done is None else shards.join(done, "shard", "left_anti")
-    left.sortWithinPartitions("shard").write.mode("append").option("compression", "zstd").parquet(path)
+    left = shards if done is None else shards.join(done, "shard", "left_anti").sortWithinPartitions("shard")
+    writer = left.write.mode("append").option("compression", "zstd")
+    writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(path)
 
 
 def read_slots(spark: SparkSession, path: str, start: int, n: int) -> DataFrame:

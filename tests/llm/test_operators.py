@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -214,6 +215,33 @@ def test_shards_query_writes_ranges(spark, tmp_path):
     assert len(runs) > 2 and all(a[1] < b[0] for a, b in zip(runs, runs[1:]))
 
 
+def test_stopped_shard_write_keeps_finished_tasks(spark, tmp_path):
+    docs, _ = awkward(spark, n=40)
+    shards = token_shards.training_shards(token_shards.pack_sequences(docs, length=64, chunk_bytes=1 << 14), per_shard=4)
+    whole = {r["shard"]: bytes(r["payload"]) for r in shards.collect()}
+    last = max(whole)
+
+    def fail(batches):
+        for batch in batches:
+            if last in batch.column("shard").to_pylist():
+                time.sleep(6)  # the other tasks are committed meanwhile
+                raise ValueError("lost")
+            yield batch
+
+    path = f"{tmp_path}/stopped"
+    with pytest.raises(Exception, match="lost"):
+        token_shards.write_shards(shards.mapInArrow(fail, shards.schema), path)
+    kept = {f for f in os.listdir(path) if f.endswith(".parquet")}
+    there = {r["shard"] for r in spark.read.parquet(path).collect()}
+    assert there and last not in there
+    token_shards.write_shards(shards, path)
+    back = spark.read.parquet(path).collect()
+    assert len(back) == len(whole) and {r["shard"]: bytes(r["payload"]) for r in back} == whole
+    assert kept <= set(os.listdir(path))
+    # chunks are counted from the shuffle that packs them: nothing is encoded twice
+    assert "ReusedExchange" in shards._jdf.queryExecution().executedPlan().toString()
+
+
 def test_main_text():
     page = (
         "<html><head><title>t</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href=x>Home</a></li></ul></nav>"
