@@ -207,7 +207,7 @@ def scoring_stream(spark, d, starts=1, **options):
     store, checkpoint = _store(spark), _store(spark)
     _earlier_run(spark, d, store)
     docs = A.table(spark, d, "documents").schema
-    cases = read_case_stream(spark, d, docs, "documents.parquet").select(
+    cases = read_case_stream(spark, f"{d}/documents.parque[t]", docs, "*").select(  # one file or a folder of parts
         F.col("doc_id").alias("llm_caseID"),
         F.lit(vocab.NO_REPORTS).alias("formatted_radiology_text"),
         F.col("text").alias("formatted_progress_text"),

@@ -18,7 +18,11 @@ from casewright.sources.tables import is_absent
 def read_case_stream(
     spark: SparkSession, path: str, schema: T.StructType = schemas.CASE, name_filter: str = "*.parquet"
 ) -> DataFrame:
-    """Case files of a folder as they arrive."""
+    """Case files of a folder as they arrive.
+
+    A plain path is a folder. A pattern like ``cases.parque[t]`` takes a single file as well as a folder of that name,
+    but no values from the names of subfolders.
+    """
     return spark.readStream.schema(schema).option("pathGlobFilter", name_filter).parquet(path)
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from casewright import schemas
 from casewright.catalog import adapters as A
+from casewright.catalog import answer_queries as Q
 from casewright.operators import progress as P
 from casewright.operators.cases import with_prompt
 from casewright.operators.scoring import score
@@ -186,6 +187,18 @@ def test_stream_scores_new_files_once(spark, tmp_path):
     assert run() == 9
 
 
+@pytest.mark.parametrize("name", ["scoring_stream"])
+def test_streams_read_tables_of_several_files(spark, tmp_path, name):
+    """The documents as one file and as a folder of parts, whatever the parts are called, give the same results."""
+    given = "/root/testdata/sf0.001"
+    A.table(spark, given, "labels").write.parquet(f"{tmp_path}/labels.parquet")
+    A.table(spark, given, "documents").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    first = next((tmp_path / "documents.parquet").glob("part-*.parquet"))
+    first.rename(first.with_name("first"))
+    whole, parts = (rows(getattr(Q, name)(spark, str(d))) for d in (given, tmp_path))
+    assert parts == whole and len(parts) == A.table(spark, given, "documents").count()
+
+
 def test_status_and_batches(spark):
     done = spark.createDataFrame([(i, "Yes" if i < 14 else None, i % 2) for i in [*range(1, 16), 1]], "llm_caseID bigint, decision string, batch_no int")
     status = P.progress_status(cases(spark), done).first()
