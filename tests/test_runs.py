@@ -187,7 +187,7 @@ def test_stream_scores_new_files_once(spark, tmp_path):
     assert run() == 9
 
 
-@pytest.mark.parametrize("name", ["scoring_stream"])
+@pytest.mark.parametrize("name", ["scoring_stream", "stream_ids_in_state"])
 def test_streams_read_tables_of_several_files(spark, tmp_path, name):
     """The documents as one file and as a folder of parts, whatever the parts are called, give the same results."""
     given = "/root/testdata/sf0.001"
