@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casewright import schemas
 from casewright.functions.answers import path_safe_name
 from casewright.sources.tables import empty, is_absent
 
 PRIORITY = ["run_id", "stored_in"]
+FILE_BYTES = 128 << 20  # of texts in one compacted file
+ROW_BYTES = 64  # what a row weighs beside its texts
 _ROWS = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.RESULT) + ", stored_in string, version int"
 
 
@@ -76,11 +79,12 @@ def latest_version(spark: SparkSession, path: str) -> int:
     return 0 if files is None else files.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
 
 
-def compact_results(spark: SparkSession, path: str, rows_per_file: int = 1_000_000) -> int:
-    """Rewrite all stored results into files of about ``rows_per_file`` rows, as a new version; returns its number.
+def compact_results(spark: SparkSession, path: str, rows_per_file: int = 1_000_000, bytes_per_file: int = FILE_BYTES) -> int:
+    """Rewrite all stored results into files of about ``rows_per_file`` rows or ``bytes_per_file`` bytes of texts, whichever
+    is less, as a new version; returns its number.
 
-    The rows go to ``<path>_compacted/rows/version=N`` by hash of the case, each with the name of the file it came from, so that
-    the order of precedence stays. The list of the files that the version covers is written last: without it
+    The rows go to ``<path>_compacted/rows/version=N`` by hash of the whole row, so that a case with many results has no
+    file to itself, each with the name of the file it came from, so that the order of precedence stays. The list of the files that the version covers is written last: without it
     the version does not exist, and a stopped compaction is taken up under the next number. Nothing is removed
     or overwritten, so readers of an older version, and of the store itself, go on undisturbed. The store
     must not lose files; when to remove covered files is the owner's choice.
@@ -89,8 +93,10 @@ def compact_results(spark: SparkSession, path: str, rows_per_file: int = 1_000_0
     rows, kept = _versions(spark, path, "rows"), f"{path.rstrip('/')}_compacted"
     used = 0 if rows is None else rows.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
     version = max(used, latest_version(spark, path)) + 1
-    n = max(1, -(-current.count() // rows_per_file))
-    stamped = current.repartition(n, F.col("llm_caseID")).withColumn("version", F.lit(version))
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)).cast("bigint") for f in current.schema if f.dataType == T.StringType()]
+    n_rows, n_bytes = current.agg(F.count("*"), F.coalesce(F.sum(sum(texts, F.lit(ROW_BYTES))), F.lit(0))).first()
+    n = max(1, -(-n_rows // rows_per_file), -(-n_bytes // bytes_per_file))
+    stamped = current.repartition(n, *current.columns).withColumn("version", F.lit(version))
     stamped.write.mode("append").partitionBy("version").parquet(f"{kept}/rows")
     files = _versions(spark, path, "rows").filter(F.col("version") == version).select("stored_in", "version").distinct()
     files.coalesce(1).write.mode("append").partitionBy("version").parquet(f"{kept}/files")  # one row a file

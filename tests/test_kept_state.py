@@ -130,6 +130,19 @@ def test_versions(spark, tmp_path):
     assert all("_compacted" in f for f in names(second))
 
 
+def test_compacted_files_are_bounded_in_bytes(spark, tmp_path):
+    """Few rows of long texts, half of them of one case, are spread over files; nothing is lost."""
+    store = f"{tmp_path}/store"
+    given = {"llm_caseID": F.when(F.col("id") % 2 == 0, F.col("id")), "provider": F.lit("p"), "reasoning": F.repeat(F.md5(F.col("id").cast("string")), 300)}
+    blank = {f.name: F.lit(None).cast(f.dataType) for f in schemas.RESULT}
+    R.append_results(spark.range(200).select(*[given.get(n, c).alias(n) for n, c in blank.items()]), store, "r0")
+    assert R.compact_results(spark, store, bytes_per_file=200_000) == 1
+    kept = R.read_version(spark, store)
+    sizes = [r["n"] for r in kept.groupBy(F.col("_metadata.file_name")).agg(F.sum(F.length("reasoning")).alias("n")).collect()]
+    assert len(sizes) >= 8 and max(sizes) < 500_000
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, R.read_results(spark, store).collect()))
+
+
 def test_unreadable_files(spark, tmp_path):
     store = f"{tmp_path}/store"
     assert R.unreadable_files(spark, store).count() == 0
