@@ -31,14 +31,19 @@ def released(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-            if trim is not None:
-                trim(0)
+            release()
 
     return whole
 
 
+def release() -> None:
+    """Give back the memory that this worker has freed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def powers(n: int, factor: int = _FACTOR) -> np.ndarray:
     """factor ** 0 .. factor ** (n - 1) modulo 2 ** 64."""
     steps = np.full(max(n, 1), factor, np.uint64)

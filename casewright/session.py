@@ -39,15 +39,19 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
 
 
-def materialize(df: DataFrame, compression: str = "snappy", by: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, compression: str = "snappy", by: str | None = None, whole: bool = False) -> DataFrame:
     """Write the frame once as parquet in the shared folder and read it back.
 
     Later passes then read only the columns they need, and a lost executor re-reads
     files instead of recomputing the job. ``compression="zstd"`` suits large binary columns.
     ``by`` names a column whose values get folders of their own, so that one can be read alone.
+    ``whole`` keeps what a task writes to a folder in one file and, up to 512 MB, in one row group,
+    which a single task reads.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/casewright/{uuid.uuid4().hex}"
     writer = df.write.option("compression", compression)
+    if whole:
+        writer = writer.options(**{"maxRecordsPerFile": 0, "parquet.block.size": 512 << 20})
     (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

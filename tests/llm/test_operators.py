@@ -325,6 +325,54 @@ def test_shard_scores_from_one_copy_of_its_postings(spark, monkeypatch):
     assert search.bm25_top_k(docs, docs).count() > 0
 
 
+def test_search_moves_neither_index_nor_queries_for_each_other(spark, monkeypatch):
+    """Queries travel in packed groups of bounded size, some groups at a time; a shard's index is read whole where it lies."""
+    docs, _ = awkward(spark, n=80)
+    asked = docs.filter("doc_id % 3 = 0")
+    got = search.bm25_top_k(docs, asked, k=5, shard_bytes=1 << 12, pairs_per_task=200, sent_bytes=1)
+    plan = got._jdf.queryExecution().toString()
+    assert "CoGroup" not in plan and "hashpartitioning(shard" not in plan
+    assert plan.split("== Physical Plan ==")[1].count("MapInArrow") > 3  # one for each group sent
+    rows = sorted(got.collect())
+    assert len(rows) > 100 and rows == sorted(search.bm25_top_k(docs, asked, k=5).collect())
+    assert search.bm25_top_k(docs, docs.filter("false")).count() == 0
+    monkeypatch.setattr(search, "WHOLE", 0)  # as for shards too large for one row group
+    assert rows == sorted(search.bm25_top_k(docs, asked, k=5, shard_bytes=1 << 12, pairs_per_task=200, sent_bytes=1 << 10).collect())
+
+
+def test_query_groups_are_bounded(spark):
+    """A task holds about a million pairs of a query and a term, however many there are."""
+    pairs = F.expr("transform(sequence(1, 500), x -> struct(id * 7 + x * x as term, x as df, cast(x % 3 + 1 as int) as qtf))")
+    weighed = spark.range(3000, numPartitions=4).select(F.col("id").alias("qid"), pairs.cast("array<struct<term:bigint,df:bigint,qtf:int>>").alias("terms"))
+    sent = list(search.rounds(search.query_groups(weighed, search.PAIRS), search.SENT))
+    groups = [search.Asked(packed) for packed in itertools.chain(*sent)]
+    assert len(sent) == 1 and len(groups) == 2 and all(len(g.steps) < 1 << 20 for g in groups)
+    assert sorted(q for g in groups for q in g.qids.to_pylist()) == list(range(3000))
+    for g in groups:
+        for qid, (numbers, counts) in list(zip(g.qids.to_pylist(), g.queries(0, len(g.qids))))[:20]:
+            want = {qid * 7 + x * x: (x, x % 3 + 1) for x in range(1, 501)}
+            assert {t: c for t, c in zip(g.terms[numbers].tolist(), counts.tolist())} == {t: c for t, (_, c) in want.items()}
+    frame = spark.createDataFrame([(bytes(n),) for n in (3, 3, 9, 1, 2, 4)], "packed binary").coalesce(1)
+    assert [[len(x) for x in r] for r in search.rounds(frame, 6)] == [[3, 3], [9], [1, 2], [4]]
+    assert list(search.rounds(frame.limit(0), 6)) == [[]]
+
+
+def test_index_of_a_shard_is_read_whole(spark):
+    texts = [" ".join(f"w{(i * j) % 997}" for j in range(40)) for i in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    index = search.materialize(search.build_index(docs, "doc_id", "text", 1 << 14), by="shard", whole=True)
+    shards = index.select("shard").distinct().count()
+    assert shards > 4 and len(index.inputFiles()) == shards
+    assert index.mapInArrow(lambda b: (t.select(["shard"]).slice(0, 1).to_batches()[0] for t in search.whole_shards(b)), "shard int").distinct().count() == shards
+    rows = pa.table({"shard": pa.array([4, 4, 4, 2, 9, 9], pa.int32()), "slices": pa.array([3, 3, 3, 1, 2, 2], pa.int32()), "slice": range(6)})
+    for cut in ([6], [1, 5], [2, 2, 2], [3, 1, 2], [4, 1, 1]):
+        batches = [rows.slice(a, n).combine_chunks().to_batches()[0] for a, n in zip(itertools.accumulate([0, *cut]), cut)]
+        assert [t["slice"].to_pylist() for t in search.whole_shards(iter(batches))] == [[0, 1, 2], [3], [4, 5]]
+    for a, n in ((0, 2), (1, 5), (3, 2)):
+        with pytest.raises(ValueError, match="several tasks"):
+            list(search.whole_shards(iter(rows.slice(a, n).combine_chunks().to_batches())))
+
+
 def test_base_metrics(spark):
     docs, rows = awkward(spark, n=30)
     rows_ = [(i, t) for i, t in enumerate([*(r[1] for r in rows), "a a a a a a a", "x\nx\n \nx", "#a $b <c> É"])]
